@@ -4,12 +4,12 @@ Two detections confirm each other when they come from different sources, share
 the acquisition date, lie within a radius in planar metres and are at most a
 few hours apart.
 
-No list of pairs is ever built. The grid cell is just small enough that any two
-points in one cell are within the radius, so inside a cell only sources and
-minutes matter: at most 1440 rows per source, date and cell, however many
-detections lie there. Only detections left open by that step look at
-neighbouring cells, only at cells that hold another source in a fitting time
-slot, only at distinct positions, and stop at the first partner.
+No list of pairs is ever built. A fine grid has cells just small enough that
+any two points in one cell are within the radius, so inside a cell only sources
+and minutes matter: at most 1440 rows per source, date and cell, however many
+detections lie there. Only detections left open by that step look around, on a
+second grid as wide as the radius: only at blocks that hold another source in a
+fitting time slot, only at distinct positions, and only for a first partner.
 """
 
 from __future__ import annotations
@@ -54,15 +54,18 @@ def located(df: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:
     )
 
 
-def _neighbours(df: DataFrame) -> DataFrame:
-    """One row per surrounding cell that can hold a point within the radius (all within two)."""
-    steps = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) != (0, 0)]
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])
-    return (
-        df.withColumn("_o", F.explode(offsets))
-        .withColumn("_nx", F.col("_cx") + F.col("_o.i"))
-        .withColumn("_ny", F.col("_cy") + F.col("_o.j"))
-        .drop("_o")
+def _block(radius_m: float) -> list:
+    """Keys of the coarse grid; a point's partners lie in its block or one of the eight around."""
+    return [
+        F.floor(F.col("_x") / radius_m).alias("_kx"), F.floor(F.col("_y") / radius_m).alias("_ky")
+    ]
+
+
+def _around(df: DataFrame) -> DataFrame:
+    """One row per block of the three by three around a row's block, as (_nx, _ny)."""
+    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    return df.withColumn("_nx", F.explode(F.transform(steps, lambda i: F.col("_kx") + i))).withColumn(
+        "_ny", F.explode(F.transform(steps, lambda i: F.col("_ky") + i))
     )
 
 
@@ -70,31 +73,34 @@ def _slot(window_min: int):
     return F.floor(F.col("_m") / window_min)
 
 
-def _open_probes(open_sites: DataFrame, targets: DataFrame, window_min: int) -> DataFrame:
-    """Open sites, once per neighbouring (cell, source, slot) that may hold a partner.
+def _open_probes(
+    open_sites: DataFrame, targets: DataFrame, radius_m: float, window_min: int
+) -> DataFrame:
+    """Open sites, once per surrounding (block, source, slot) that may hold a partner.
 
-    ``targets`` are sites too. Both sides are first reduced to (cell, source,
-    slot), so the choice of neighbours works on a few rows per cell.
+    ``targets`` are sites too. Both sides are first reduced to (block, source,
+    slot), so the choice of neighbours works on a few rows per block.
     """
-    key = [*_CELL, "_s", "_slot"]
-    asking = open_sites.select(*_CELL, "_s", _slot(window_min).alias("_slot")).distinct()
+    slot = _slot(window_min).alias("_slot")
+    asking = open_sites.select("*", *_block(radius_m), slot)
+    key = ["_d", "_kx", "_ky", "_s", "_slot"]
+    kx, ky = _block(radius_m)
     offered = targets.select(
-        F.col("_d"), F.col("_cx").alias("_nx"), F.col("_cy").alias("_ny"),
-        F.col("_s").alias("_ps"), _slot(window_min).alias("_pslot"),
+        "_d", kx.alias("_nx"), ky.alias("_ny"), F.col("_s").alias("_ps"),
+        _slot(window_min).alias("_pslot"),
     ).distinct()
     pairs = (
-        _neighbours(asking)
+        _around(asking.select(*key).distinct())
         .join(offered, ["_d", "_nx", "_ny"])
         .where((F.col("_s") != F.col("_ps")) & (F.abs(F.col("_slot") - F.col("_pslot")) <= 1))
     )
-    return salted_join(
-        open_sites.withColumn("_slot", _slot(window_min)), pairs, key, ["_x", "_y", "_m"], how="inner"
-    )
+    return salted_join(asking, pairs, key, ["_x", "_y", "_m"], how="inner")
 
 
-def _as_partner(sites: DataFrame, window_min: int, *extra: str) -> DataFrame:
+def _as_partner(sites: DataFrame, radius_m: float, window_min: int, *extra: str) -> DataFrame:
+    kx, ky = _block(radius_m)
     return sites.select(
-        F.col("_d"), F.col("_cx").alias("_nx"), F.col("_cy").alias("_ny"), F.col("_s").alias("_ps"),
+        "_d", kx.alias("_nx"), ky.alias("_ny"), F.col("_s").alias("_ps"),
         _slot(window_min).alias("_pslot"), F.col("_x").alias("_px"), F.col("_y").alias("_py"),
         F.col("_m").alias("_pm"), *extra,
     )
@@ -126,8 +132,8 @@ def confirmed_sites(
         salted_join(sites.drop("_rows"), judged, _MOMENT, ["_x", "_y"], how="inner"), "marked"
     )
     open_sites = marked.where(~F.col("_sure")).select(*_SITE)
-    partners = _as_partner(sites, window_min)
-    beyond = _open_probes(open_sites, sites, window_min).alias("q").join(
+    partners = _as_partner(sites, radius_m, window_min)
+    beyond = _open_probes(open_sites, sites, radius_m, window_min).alias("q").join(
         partners.alias("p"),
         [F.col(f"q.{k}") == F.col(f"p.{k}") for k in _PARTNER_KEY] + [_close(radius_m, window_min)],
         "left_semi",
@@ -190,8 +196,8 @@ def _keepers(
     open_sites = open_rows.select(*_SITE).distinct()
     target_sites = targets.groupBy(*_SITE).agg(F.min("detection_id").alias("_t"))
     found = (
-        _open_probes(open_sites, target_sites, window_min)
-        .join(_as_partner(target_sites, window_min, "_t"), _PARTNER_KEY)
+        _open_probes(open_sites, target_sites, radius_m, window_min)
+        .join(_as_partner(target_sites, radius_m, window_min, "_t"), _PARTNER_KEY)
         .where(_close(radius_m, window_min))
         .groupBy(*_SITE)
         .agg(F.min("_t").alias("keeper_id"))

@@ -193,16 +193,16 @@ def model_search(
     return table, best
 
 
-def _fold_scores(rows: DataFrame, folds: Sequence[int], train_rows=None, classifier=None):
-    """Yields (fold, metrics row on the held-out fold, metrics row on the training rows)."""
+def _fold_scores(rows: DataFrame, folds: Sequence[int], train_rows=None, classifier=None, both=False):
+    """Yields (fold, metrics row on the held-out fold, and with ``both`` on the training rows)."""
     for f in folds:
         train = rows.where(F.col("fold") != f)
         if train_rows is not None:
             train = train_rows(train)
         model = (classifier or forest()).fit(train)
         held_out = overall_metrics(model.transform(rows.where(F.col("fold") == f)), "label", "prediction")
-        seen = overall_metrics(model.transform(train), "label", "prediction")
-        yield f, held_out.first(), seen.first()
+        seen = overall_metrics(model.transform(train), "label", "prediction").first() if both else None
+        yield f, held_out.first(), seen
 
 
 def cv_summary(df: DataFrame, classifier=None) -> DataFrame:
@@ -232,7 +232,7 @@ def learning_curve(df: DataFrame, shares: Sequence[float] = CURVE_SHARES, classi
         sample = None
         if share < 1.0:
             sample = lambda train, s=share: stratified_split(train, test_share=s, seed="curve").where("is_test")
-        for f, held, seen in _fold_scores(rows, range(3), sample, classifier):
+        for f, held, seen in _fold_scores(rows, range(3), sample, classifier, both=True):
             scores.append((share, f, int(seen["n"]), float(seen["macro_f1"]), float(held["macro_f1"])))
     table = df.sparkSession.createDataFrame(
         scores, "share double, fold int, rows long, train_f1 double, held_out_f1 double"

@@ -20,8 +20,6 @@ def local_session(app: str = "emberfield", cores: int | str = "*", shuffle: int
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("EMBERFIELD_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.streaming.stateStore.providerClass",
-                "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
