@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.places import (
     edge_distance, floor_cell, mercator, mercator_edges, ring_edges, strictly_inside,
 )
-from .skew import salted_join
+from .skew import salted_join, spread_out
 
 # Distance when no industrial polygon is in reach, and the polygon tags measured.
 MAX_DISTANCE_M = 50_000.0
@@ -114,11 +114,12 @@ def _blocked(cells: DataFrame, size: float) -> DataFrame:
     # a cell may straddle two blocks by rounding; its centre decides, and the boxes are
     # grown by one cell to make up for it
     centre = lambda c: (F.col(c) + 0.5) * size
-    return (
+    placed = (
         cells.withColumn("_clat", centre("_ci")).withColumn("_clon", centre("_cj"))
         .withColumn("_bi", floor_cell(F.col("_clat"), _BLOCK_DEG))
         .withColumn("_bj", floor_cell(F.col("_clon"), _BLOCK_DEG))
     )
+    return spread_out(placed, "_bi", "_bj")
 
 
 _KEY = ["_ci", "_cj"]
@@ -142,7 +143,7 @@ def polygon_hits(df: DataFrame, polygons: DataFrame, size: float = _CONTAIN_DEG)
     )
     x, y = F.col("longitude"), F.col("latitude")
     return (
-        salted_join(rows, listed, _KEY, ["detection_id"], how="inner", counts=cells)
+        salted_join(rows, listed, _KEY, ["detection_id"], how="inner", counts=cells, heavy_work=True)
         .where(x.between(F.col("_w"), F.col("_e")) & y.between(F.col("_s"), F.col("_n")))
         .where(strictly_inside(x, y, F.col("_edges")))
         .select("detection_id", "poly_id", "landuse")
@@ -210,12 +211,12 @@ def with_industrial_distance(
             & F.col("_clat").between(F.col("_s") - grow, F.col("_n") + grow)
         )
         .withColumn("_centre", centre)
-        .where(F.col("_centre") - F.col("_half") <= max_m)
         .select(*_KEY, "poly_id", "_half", "_centre")
         .withColumn("_best", F.min("_centre").over(Window.partitionBy(*_KEY)))
     )
+    # both filters stand after the window: below it the distance would be computed again for them
     listed = (
-        measured.where(F.col("_centre") <= F.col("_best") + 2 * F.col("_half"))
+        measured.where(F.col("_centre") <= F.least(F.col("_best") + 2 * F.col("_half"), max_m + F.col("_half")))
         .select(*_KEY, "poly_id")
         .join(
             sources.select("poly_id", mercator_edges(F.col("_edges")).alias("_edges")), "poly_id"
@@ -228,7 +229,7 @@ def with_industrial_distance(
     nearest = (
         salted_join(
             rows.withColumn("_px", px).withColumn("_py", py), listed, _KEY, ["detection_id"],
-            how="inner", counts=cells,
+            how="inner", counts=cells, heavy_work=True,
         )
         .groupBy("detection_id")
         .agg(F.min(exact).alias("_dist"))

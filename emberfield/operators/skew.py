@@ -41,20 +41,21 @@ def heavy_keys(
 def salted_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: Sequence[str],
     how: str = "left", counts: DataFrame | None = None,
-    slots: int | None = None, min_rows: int | None = None,
+    slots: int | None = None, min_rows: int | None = None, heavy_work: bool = False,
 ) -> DataFrame:
     """Equi-join where heavy keys of ``left`` are split over salts and ``right`` follows.
 
     ``counts`` (keys plus ``_rows``) may be passed when the caller has it
     already. ``spread_by`` are columns of ``left`` that vary within a key.
     The salt is a hash of them, so a re-run task gives the same rows.
+    ``heavy_work`` spreads the left rows by key even if ``right`` can be broadcast.
     """
     keys = list(keys)
     if counts is None:
         counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     heavy = heavy_keys(counts, keys, slots=slots, min_rows=min_rows)
     if heavy is None:
-        return left.join(right, keys, how)
+        return (spread_out(left, *keys) if heavy_work else left).join(right, keys, how)
     heavy = F.broadcast(heavy)  # at most SLOTS rows
     fan = F.coalesce(F.col(_FAN), F.lit(1))
     spread = (
@@ -67,4 +68,16 @@ def salted_join(
         .withColumn(_SALT, F.explode(F.sequence(F.lit(0), fan - 1)))
         .drop(_FAN)
     )
+    if heavy_work:
+        spread = spread_out(spread, *keys, _SALT)
     return spread.join(copies, [*keys, _SALT], how).drop(_SALT)
+
+
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` into the session's number of shuffle partitions.
+
+    For rows that are few bytes but much work each: adaptive execution sizes
+    partitions by bytes and would leave such work to a handful of tasks. A
+    shuffled join on the same keys afterwards needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

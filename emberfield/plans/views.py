@@ -1,14 +1,21 @@
 """Detections and land-use polygons derived from the given tables.
 
-The SQL text runs unchanged in Spark SQL and DuckDB. Spark reads only the
-event and supplier columns the text names.
+The SQL text runs unchanged in Spark SQL and DuckDB. The detections are stored
+once per session and input folder, as landed detections would be: later scans
+prune columns and push filters down to the file, and the derivation (regular
+expressions, nested conditions) is not inlined into every plan, where it makes
+generated code too long for the JVM to compile.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import spread_out
+from ..session import work_path
+
 HOTSPOTS_SQL = """
 WITH e AS (
  SELECT event_id, user_id, event_type, value, ts,
@@ -61,8 +68,21 @@ def _derive(spark: SparkSession, sf_dir: str, name: str, text: str) -> DataFrame
     return spark.sql(text.replace(f"FROM {name}", "FROM {source}"), source=source)
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derive(spark, sf_dir, "events", HOTSPOTS_SQL)
+    """The stored detections, derived on first use and spread evenly over files."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _STORED:
+        try:
+            return spark.read.parquet(_STORED[key])
+        except AnalysisException:  # the shared folder was cleaned meanwhile
+            del _STORED[key]
+    path = work_path(spark, "detections")
+    spread_out(_derive(spark, sf_dir, "events", HOTSPOTS_SQL), "detection_id").write.parquet(path)
+    _STORED[key] = path
+    return spark.read.parquet(path)
 
 
 def landuse(spark: SparkSession, sf_dir: str) -> DataFrame:
