@@ -230,7 +230,7 @@ _HOT = "detection_id, latitude, longitude, acq_date, acq_time, satellite_source,
 
 def _windows(length_days: int) -> str:
     return _with("hotspots", f"""
-SELECT CAST(acq_date - CAST(i AS INTEGER) AS TIMESTAMP) AS window_start, {_ZONE} AS zone, count(*) AS n
+SELECT CAST(acq_date - CAST(i AS INTEGER) AS DATE) AS window_start, {_ZONE} AS zone, count(*) AS n
 FROM hotspots CROSS JOIN range(0, {length_days}) AS t(i) GROUP BY 1, 2""")
 
 

@@ -547,14 +547,19 @@ def stream_dedup(spark, sf_dir):
     return jobs.stream_dedup(stream).select(*combine.SAME_DETECTION)
 
 
+def _by_day(counts: DataFrame) -> DataFrame:
+    day = F.floor(F.unix_seconds("window_start") / 86400).cast("int")
+    return counts.withColumn("window_start", F.date_from_unix_date(day))
+
+
 @query
 def stream_daily_counts(spark, sf_dir):
-    return jobs.stream_window_counts(views.hotspots_stream(spark, sf_dir))
+    return _by_day(jobs.stream_window_counts(views.hotspots_stream(spark, sf_dir)))
 
 
 @query
 def stream_weekly_counts(spark, sf_dir):
-    return jobs.stream_window_counts(views.hotspots_stream(spark, sf_dir), "7 days", "1 day")
+    return _by_day(jobs.stream_window_counts(views.hotspots_stream(spark, sf_dir), "7 days", "1 day"))
 
 
 @query

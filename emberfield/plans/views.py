@@ -13,7 +13,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.skew import spread_out
 from ..session import work_path
 
 HOTSPOTS_SQL = """
@@ -80,7 +79,8 @@ def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
         except AnalysisException:  # the shared folder was cleaned meanwhile
             del _STORED[key]
     path = work_path(spark, "detections")
-    spread_out(_derive(spark, sf_dir, "events", HOTSPOTS_SQL), "detection_id").write.parquet(path)
+    derived = _derive(spark, sf_dir, "events", HOTSPOTS_SQL)
+    derived.repartition("detection_id").write.parquet(path)
     _STORED[key] = path
     return spark.read.parquet(path)
 

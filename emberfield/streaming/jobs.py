@@ -34,7 +34,8 @@ def read_files(spark: SparkSession, folder: str, schema: T.StructType, pattern:
 
 
 def with_event_time(df: DataFrame, col: str = "seen_at") -> DataFrame:
-    seconds = F.unix_timestamp(F.col("acq_date").cast("timestamp"))
+    """Adds the UTC time of the overpass, whatever the session's time zone."""
+    seconds = F.unix_date("acq_date").cast("bigint") * 86400
     return df.withColumn(
         col, F.timestamp_seconds(seconds + minute_of_day(F.col("acq_time")) * 60)
     )
