@@ -9,12 +9,13 @@ any two points in one cell are within the radius, so inside a cell only sources
 and minutes matter: at most 1440 rows per source, date and cell, however many
 detections lie there. Only detections left open by that step look around, on a
 second grid as wide as the radius: only at blocks that hold another source in a
-fitting time slot, only at distinct positions, and only for a first partner.
+fitting time slot, only at distinct positions, and by tiles where it is crowded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,45 +74,125 @@ def _slot(window_min: int):
     return F.floor(F.col("_m") / window_min)
 
 
-def _open_probes(
-    open_sites: DataFrame, targets: DataFrame, radius_m: float, window_min: int
-) -> DataFrame:
-    """Open sites, once per surrounding (block, source, slot) that may hold a partner.
+_PARTNER_KEY = ["_d", "_nx", "_ny", "_ps", "_pslot"]
+_ASKING_KEY = ["_d", "_kx", "_ky", "_s", "_slot"]
+
+# Two neighbouring (block, source, slot) groups are compared site by site up to this product.
+CROWDED = 1_000_000
+
+
+def _block_pairs(asking: DataFrame, partners: DataFrame) -> DataFrame:
+    """Which (block, source, slot) groups can hold partners of which, and the comparisons that takes.
 
-    ``targets`` are sites too. Both sides are first reduced to (block, source,
-    slot), so the choice of neighbours works on a few rows per block.
+    Both sides are reduced to their group sizes first: a few rows per block.
     """
-    slot = _slot(window_min).alias("_slot")
-    asking = open_sites.select("*", *_block(radius_m), slot)
-    key = ["_d", "_kx", "_ky", "_s", "_slot"]
-    kx, ky = _block(radius_m)
-    offered = targets.select(
-        "_d", kx.alias("_nx"), ky.alias("_ny"), F.col("_s").alias("_ps"),
-        _slot(window_min).alias("_pslot"),
-    ).distinct()
-    pairs = (
-        _around(asking.select(*key).distinct())
-        .join(offered, ["_d", "_nx", "_ny"])
+    size = lambda df, key, name: df.groupBy(*key).agg(F.count(F.lit(1)).alias(name))
+    return (
+        _around(size(asking, _ASKING_KEY, "_na"))
+        .join(size(partners, _PARTNER_KEY, "_np"), ["_d", "_nx", "_ny"])
         .where((F.col("_s") != F.col("_ps")) & (F.abs(F.col("_slot") - F.col("_pslot")) <= 1))
+        .select(*_ASKING_KEY, *_PARTNER_KEY[1:], (F.col("_na") * F.col("_np")).alias("_work"))
     )
-    return salted_join(asking, pairs, key, ["_x", "_y", "_m"], how="inner")
 
 
-def _as_partner(sites: DataFrame, radius_m: float, window_min: int, *extra: str) -> DataFrame:
+def _as_partner(sites: DataFrame, radius_m: float, window_min: int) -> DataFrame:
     kx, ky = _block(radius_m)
     return sites.select(
         "_d", kx.alias("_nx"), ky.alias("_ny"), F.col("_s").alias("_ps"),
         _slot(window_min).alias("_pslot"), F.col("_x").alias("_px"), F.col("_y").alias("_py"),
-        F.col("_m").alias("_pm"), *extra,
+        F.col("_m").alias("_pm"), "_t",
     )
 
 
+def _in_time(window_min: int):
+    return F.abs(F.col("_m") - F.col("_pm")) <= window_min
+
+
 def _close(radius_m: float, window_min: int):
     dx, dy = F.col("_x") - F.col("_px"), F.col("_y") - F.col("_py")
-    return (F.sqrt(dx * dx + dy * dy) <= radius_m) & (F.abs(F.col("_m") - F.col("_pm")) <= window_min)
+    return (F.sqrt(dx * dx + dy * dy) <= radius_m) & _in_time(window_min)
 
 
-_PARTNER_KEY = ["_d", "_nx", "_ny", "_ps", "_pslot"]
+def _least_partner(
+    open_sites: DataFrame, targets: DataFrame, radius_m: float, window_min: int, any_one: bool
+) -> DataFrame:
+    """(site, _t): the lowest ``_t`` among the ``targets`` sites of another source in reach.
+
+    With ``any_one`` only the existence counts, and the first partner ends the
+    search. Groups whose product of sizes is large are refined by tiles.
+    """
+    asking = open_sites.select(*_SITE, *_block(radius_m), _slot(window_min).alias("_slot"))
+    partners = _as_partner(targets, radius_m, window_min)
+    pairs = written(_block_pairs(asking, partners), "blocks")
+    probes = lambda some: salted_join(
+        asking, some.drop("_work"), _ASKING_KEY, ["_x", "_y", "_m"], how="inner"
+    )
+    plain = probes(pairs.where(F.col("_work") <= CROWDED))
+    if any_one:
+        found = plain.alias("q").join(
+            partners.alias("p"),
+            [F.col(f"q.{k}") == F.col(f"p.{k}") for k in _PARTNER_KEY] + [_close(radius_m, window_min)],
+            "left_semi",
+        ).select(*_SITE, F.lit(0).cast("bigint").alias("_t"))
+    else:
+        found = (
+            plain.join(partners, _PARTNER_KEY).where(_close(radius_m, window_min))
+            .select(*_SITE, "_t")
+        )
+    crowded = pairs.where(F.col("_work") > CROWDED)
+    if not crowded.isEmpty():
+        near = partners.join(crowded.select(*_PARTNER_KEY).distinct(), _PARTNER_KEY, "left_semi")
+        found = found.unionByName(_by_tiles(probes(crowded), near, radius_m, window_min))
+    return found.groupBy(*_SITE).agg(F.min("_t").alias("_t"))
+
+
+def _by_tiles(
+    probes: DataFrame, partners: DataFrame, radius_m: float, window_min: int
+) -> DataFrame:
+    """(site, _t) for crowded groups, in work that grows with the sites and not their product.
+
+    A site meets the tiles that hold partners, at most 256 per minute and
+    block. A tile wholly in reach answers for all its partners at once, one
+    wholly out of reach is dropped, and only tiles on the rim that could still
+    lower the answer are split, into tiles of about four metres. Positions have
+    five decimals, so such a tile holds few distinct ones; these are compared.
+    """
+    inside, known = [], []
+    for level, parts in enumerate((16, 256)):
+        side = radius_m / parts
+        tx, ty = f"_tx{level}", f"_ty{level}"
+        partners = partners.withColumn(tx, F.floor(F.col("_px") / side)).withColumn(
+            ty, F.floor(F.col("_py") / side)
+        )
+        tile = [*_PARTNER_KEY, *inside, tx, ty]
+        tiles = partners.groupBy(*tile, "_pm").agg(F.min("_t").alias("_t"))
+        gap, span = [], []
+        for axis, t in (("_x", tx), ("_y", ty)):
+            low, high = F.col(t) * side - F.col(axis), F.col(axis) - (F.col(t) + 1) * side
+            gap.append(F.greatest(low, high, F.lit(0.0)))
+            span.append(F.greatest(F.abs(low), F.abs(high)))
+        norm = lambda d: F.sqrt(d[0] * d[0] + d[1] * d[1])
+        slack = 1e-6  # metres; borders are left to the finer comparison
+        met = written(
+            salted_join(
+                probes, tiles, [*_PARTNER_KEY, *inside], ["_x", "_y", "_m"], how="inner", heavy_work=True
+            )
+            .where(_in_time(window_min) & (norm(gap) <= radius_m + slack))
+            .select(*_SITE, *tile[1:], "_t", (norm(span) <= radius_m - slack).alias("_whole")),
+            "tiles",
+        )
+        known.append(met.where("_whole").select(*_SITE, "_t"))
+        best = reduce(DataFrame.unionByName, known).groupBy(*_SITE).agg(F.min("_t").alias("_best"))
+        probes = (
+            met.where("NOT _whole").join(best, _SITE, "left")
+            .where(F.col("_best").isNull() | (F.col("_t") < F.col("_best")))
+            .select(*_SITE, *tile[1:]).distinct()
+        )
+        inside += [tx, ty]
+    rim = salted_join(
+        probes, partners, [*_PARTNER_KEY, *inside], ["_x", "_y", "_m"], how="inner", heavy_work=True
+    ).where(_close(radius_m, window_min))
+    return reduce(DataFrame.unionByName, known).unionByName(rim.select(*_SITE, "_t"))
 
 
 def confirmed_sites(
@@ -132,13 +213,9 @@ def confirmed_sites(
         salted_join(sites.drop("_rows"), judged, _MOMENT, ["_x", "_y"], how="inner"), "marked"
     )
     open_sites = marked.where(~F.col("_sure")).select(*_SITE)
-    partners = _as_partner(sites, radius_m, window_min)
-    beyond = _open_probes(open_sites, sites, radius_m, window_min).alias("q").join(
-        partners.alias("p"),
-        [F.col(f"q.{k}") == F.col(f"p.{k}") for k in _PARTNER_KEY] + [_close(radius_m, window_min)],
-        "left_semi",
-    )
-    confirmed = marked.where("_sure").select(*_SITE).unionByName(beyond.select(*_SITE).distinct())
+    targets = sites.select(*_SITE, F.lit(0).cast("bigint").alias("_t"))
+    beyond = _least_partner(open_sites, targets, radius_m, window_min, any_one=True)
+    confirmed = marked.where("_sure").select(*_SITE).unionByName(beyond.select(*_SITE))
     return sites, confirmed
 
 
@@ -195,15 +272,9 @@ def _keepers(
     open_rows = first.where("_own IS NULL").select(*_SITE, "detection_id")
     open_sites = open_rows.select(*_SITE).distinct()
     target_sites = targets.groupBy(*_SITE).agg(F.min("detection_id").alias("_t"))
-    found = (
-        _open_probes(open_sites, target_sites, radius_m, window_min)
-        .join(_as_partner(target_sites, radius_m, window_min, "_t"), _PARTNER_KEY)
-        .where(_close(radius_m, window_min))
-        .groupBy(*_SITE)
-        .agg(F.min("_t").alias("keeper_id"))
-    )
+    found = _least_partner(open_sites, target_sites, radius_m, window_min, any_one=False)
     reached = salted_join(open_rows, found, _SITE, ["detection_id"], how="inner")
-    return settled.unionByName(reached.select("detection_id", "keeper_id"))
+    return settled.unionByName(reached.select("detection_id", F.col("_t").alias("keeper_id")))
 
 
 def merge_coincident(

@@ -50,14 +50,18 @@ def brute_pairs(df):
     return pairs
 
 
-def test_confirmation_equals_brute_force(spark, skewed):
+@pytest.mark.parametrize("crowded", [coincidence.CROWDED, 0])
+def test_confirmation_equals_brute_force(spark, skewed, monkeypatch, crowded):
+    monkeypatch.setattr(coincidence, "CROWDED", crowded)
     df = crowd(spark)
     want = {a["detection_id"] for a, _ in brute_pairs(df)}
     got = {r[0] for r in coincidence.with_co_confirmed(df).where("co_confirmed").select("detection_id").collect()}
     assert got == want and 0 < len(want) < df.count()
 
 
-def test_merge_equals_greedy(spark, skewed):
+@pytest.mark.parametrize("crowded", [coincidence.CROWDED, 0])
+def test_merge_equals_greedy(spark, skewed, monkeypatch, crowded):
+    monkeypatch.setattr(coincidence, "CROWDED", crowded)
     df = crowd(spark, 300)
     pairs = brute_pairs(df)
     frp = {r["detection_id"]: r["frp"] for r in df.collect()}
