@@ -237,6 +237,25 @@ def with_co_confirmed(
     return placed.unionByName(unplaced.withColumn("co_confirmed", F.lit(False)))
 
 
+def first_partners(
+    df: DataFrame, radius_m: float = RADIUS_M, window_min: int = WINDOW_MIN
+) -> DataFrame:
+    """(detection_id, partner_id): one confirming detection of another source for each confirmed one.
+
+    The partner is the lowest id in the own cell if there is one, else the
+    lowest id in reach. One row per confirmed detection, where a list of all
+    pairs would be quadratic in a crowded cell. Runs once per source name, of
+    which there are as many as sensors.
+    """
+    rows = written(located(df, radius_m).select("detection_id", *_SITE), "located")
+    sources = sorted(r[0] for r in rows.select("_s").distinct().collect())
+    parts = [
+        _keepers(rows.where(F.col("_s") == s), rows.where(F.col("_s") != s), radius_m, window_min)
+        for s in sources
+    ]
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("keeper_id", "partner_id")
+
+
 # ---------------------------------------------------------------------------
 # Merge mode
 # ---------------------------------------------------------------------------

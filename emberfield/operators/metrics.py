@@ -103,3 +103,15 @@ def class_weights(df: DataFrame, label: str = "category") -> DataFrame:
 def with_class_weights(df: DataFrame, label: str = "category", col: str = "weight") -> DataFrame:
     weights = class_weights(df, label).select(label, F.col("weight").alias(col))
     return df.join(weights, label)
+
+
+def write_report(
+    df: DataFrame, path: str, truth: str = "category", predicted: str = "predicted_category"
+) -> None:
+    """Stores the per-class report, the confusion counts and the overall figures as Parquet tables."""
+    for name, table in (
+        ("per_class", classification_report(df, truth, predicted)),
+        ("confusion", confusion_counts(df, truth, predicted)),
+        ("overall", overall_metrics(df, truth, predicted)),
+    ):
+        table.write.mode("overwrite").parquet(f"{path}/{name}")

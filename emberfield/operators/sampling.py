@@ -46,7 +46,8 @@ def hash_cuts(
     """Keys at the ranks that ``ranks(sizes)`` asks for, per class of column ``by``.
 
     ``ranks`` maps the class sizes to {class: [rank, ...]}; rank 0 means "before
-    all rows". What reaches the driver is one count per class and hash prefix.
+    all rows". What reaches the driver is one count per class and hash prefix,
+    so ``by`` must be a label column with few distinct values.
     """
     stratum = F.col(by) if by else F.lit("all")
     keyed = df.select(

@@ -291,6 +291,8 @@ SELECT detection_id, latitude, longitude, acq_date, acq_time, satellite_source,
     q["co_confirmed"] = _with("flagged", "SELECT detection_id, co_confirmed FROM flagged")
     q["co_confirmed_counts"] = _with("flagged", """
 SELECT satellite_source, count(*) AS n, count(*) FILTER (co_confirmed) AS confirmed FROM flagged GROUP BY 1""")
+    q["co_pairs"] = _with("pairs", """
+SELECT id AS detection_id, coalesce(min(other) FILTER (same_cell), min(other)) AS partner_id FROM pairs GROUP BY 1""")
     q["coincident_merge"] = _with("flagged pairs", """
 SELECT * FROM (WITH gone1 AS (
   SELECT id, coalesce(min(other) FILTER (same_cell), min(other)) AS keeper FROM pairs

@@ -241,6 +241,12 @@ def co_confirmed_counts(spark, sf_dir):
     return reports.confirmation_summary(coincidence.with_co_confirmed(views.hotspots(spark, sf_dir)))
 
 
+@query
+def co_pairs(spark, sf_dir):
+    """One partner per confirmed detection."""
+    return coincidence.first_partners(views.hotspots(spark, sf_dir))
+
+
 @query
 def coincident_merge(spark, sf_dir):
     return coincidence.merge_coincident(views.hotspots(spark, sf_dir)).select(
