@@ -132,7 +132,7 @@ def with_category(df: DataFrame, mode: Mode = NRT) -> DataFrame:
     return df.withColumn("category", category(mode))
 
 
-def build_features(df: DataFrame, mode: Mode = NRT) -> DataFrame:
+def all_features(df: DataFrame, mode: Mode = NRT) -> DataFrame:
     """All features and the category, original columns first.
 
     Runs two scalar jobs (the medians); everything else is one lazy plan.

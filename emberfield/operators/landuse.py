@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.places import (
     edge_distance, floor_cell, mercator, mercator_edges, ring_edges, strictly_inside,
 )
+from ..schema import drop_without_coordinates
 from .skew import salted_join, spread_out
 
 # Distance when no industrial polygon is in reach, and the polygon tags measured.
@@ -127,7 +128,7 @@ _KEY = ["_ci", "_cj"]
 
 def polygon_hits(df: DataFrame, polygons: DataFrame, size: float = _CONTAIN_DEG) -> DataFrame:
     """(detection_id, poly_id, landuse) for each polygon that strictly contains a detection."""
-    narrow = df.select("detection_id", "latitude", "longitude").dropna()
+    narrow = drop_without_coordinates(df.select("detection_id", "latitude", "longitude"))
     rows, cells = _cells(narrow, size)
     half = size / 2 * 1.001
     boxes = _per_block(_with_bounds(polygons), size, size).select(
@@ -178,7 +179,7 @@ def with_industrial_distance(
     lower bound exceeds the best upper bound cannot be nearest to any point
     there and is not listed.
     """
-    narrow = df.select("detection_id", "latitude", "longitude").dropna()
+    narrow = drop_without_coordinates(df.select("detection_id", "latitude", "longitude"))
     rows, cells = _cells(narrow, size)
     metres_per_degree = 111319.490793  # of longitude, everywhere in this projection
     reach_deg = max_m / metres_per_degree + size

@@ -9,6 +9,7 @@ from ..functions import clock
 from ..functions.numbers import fixed_text, half_even, percent
 from ..functions.places import FEED_LINK, map_link, zone
 from ..mode import Mode, NRT
+from ..schema import drop_without_coordinates
 from .landuse import MAX_DISTANCE_M
 from .medians import exact_median
 from .sampling import sample_exactly
@@ -190,7 +191,7 @@ def confirmation_summary(df: DataFrame) -> DataFrame:
 
 
 def priority_feed(df: DataFrame, col: str = "category") -> DataFrame:
-    """The dashboard's short list: two strongest wildfires, two strongest others, first three."""
+    """The short list: two strongest wildfires, two strongest others, first three."""
     wild = F.col(col) == "Wildfire Risk"
     order = [F.col("frp").desc_nulls_last(), F.col("detection_id")]
     pick = lambda rows, group: rows.orderBy(*order).limit(2).withColumn("_group", F.lit(group))
@@ -214,7 +215,7 @@ def priority_feed(df: DataFrame, col: str = "category") -> DataFrame:
 
 def map_points(df: DataFrame, k: int = 1200, col: str = "category", seed: int = 42) -> DataFrame:
     """A uniform sample of ``k`` detections as JSON points with colour and marker radius."""
-    placed = df.dropna(subset=["latitude", "longitude"])
+    placed = drop_without_coordinates(df)
     sample = sample_exactly(placed, k, seed=seed)
     frp = F.coalesce("frp", F.lit(15.0))
     point = F.struct(

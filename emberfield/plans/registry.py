@@ -44,7 +44,7 @@ def ruled(spark: SparkSession, sf_dir: str, mode: Mode = NRT) -> DataFrame:
 
 
 def featured(spark: SparkSession, sf_dir: str, mode: Mode = NRT) -> DataFrame:
-    return features.build_features(written(with_use(spark, sf_dir), "enriched"), mode)
+    return features.all_features(written(with_use(spark, sf_dir), "enriched"), mode)
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +220,7 @@ def features_labeled(spark, sf_dir):
     polygons = views.landuse(spark, sf_dir)
     rows = written(coincidence.with_co_confirmed(placed(spark, sf_dir)), "confirmed")
     rows = landuse.with_industrial_distance(landuse.with_land_use(rows, polygons), polygons)
-    out = features.build_features(written(rows, "enriched")).withColumn(
+    out = features.all_features(written(rows, "enriched")).withColumn(
         "distance_to_industrial", half_even(F.col("distance_to_industrial"), 3)
     )
     return out.withColumn("log_frp", half_even(F.col("log_frp"), 6))

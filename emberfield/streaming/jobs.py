@@ -25,6 +25,7 @@ from ..operators.combine import SAME_DETECTION
 from ..operators.features import FREQUENCY_CELL_DEG, with_category, with_frp
 from ..operators.landuse import with_land_use_defaults
 from ..operators.skew import salted_join
+from ..schema import drop_without_coordinates
 from ..session import work_path
 
 
@@ -112,7 +113,7 @@ def stream_frequency(stream: DataFrame, cell: float = FREQUENCY_CELL_DEG, mode:
     counts over the whole data.
     """
     counts = (
-        stream.dropna(subset=["latitude", "longitude"])
+        drop_without_coordinates(stream)
         .groupBy(round_cell(F.col("latitude"), cell).alias("cell_lat"),
                  round_cell(F.col("longitude"), cell).alias("cell_lon"))
         .agg(F.count(F.lit(1)).alias("n"))
@@ -178,7 +179,7 @@ def stream_alerts(
 
     def alert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = with_land_use_defaults(with_frp(batch.dropna(subset=["latitude", "longitude"])))
+        rows = with_land_use_defaults(with_frp(drop_without_coordinates(batch)))
         rows = rows.withColumn("_fi", round_cell(F.col("latitude"), FREQUENCY_CELL_DEG)).withColumn(
             "_fj", round_cell(F.col("longitude"), FREQUENCY_CELL_DEG)
         )
