@@ -95,20 +95,26 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """doc_id, start, stop, first_doc_id, n_chunks: stretches of a text that come in an earlier document.
+    """doc_id, start, stop, first_doc_ids, n_chunks: stretches of a text that come in an earlier document.
 
     Bytes of the UTF-8 text, end exclusive. Neighbouring repeated chunks whose first document is an earlier one form
-    a stretch; stretches under ``least_bytes`` do not count. ``first_doc_id`` is the smallest first document of its
-    chunks. Rows without doc_id or text have none; repeated rows of one doc_id are one document; other columns
+    a stretch; stretches under ``least_bytes`` do not count. ``first_doc_ids`` lists the documents that come
+    first with at least ``least_bytes`` of it, where the text stays. Rows without doc_id or text have none; repeated rows of one doc_id are one document; other columns
     are ignored; an empty table gives an empty result. Text repeated only within one document stays.
     """
     hits = repeated_chunks(docs).where("first_doc_id < doc_id").dropDuplicates(["doc_id", "start"])
+    # the window holds one document's repeated chunks
     order = W.partitionBy("doc_id").orderBy("start")
     fresh = F.when(F.col("start") == F.lag("stop").over(order), 0).otherwise(1)
     runs = hits.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
-    return runs.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_doc_id").alias("first_doc_id"),
-        F.count(F.lit(1)).alias("n_chunks"),
+    shared = runs.groupBy("doc_id", "run", "first_doc_id").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("stop") - F.col("start")).alias("bytes"),
+    )
+    return shared.groupBy("doc_id", "run").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"),
+        F.array_sort(F.collect_list(F.when(F.col("bytes") >= least_bytes, F.col("first_doc_id")))).alias("first_doc_ids"),
+        F.sum("n").alias("n_chunks"),
     ).where(F.col("stop") - F.col("start") >= least_bytes).drop("run")
 
 

@@ -16,10 +16,12 @@ FEATURE_BITS = 18
 STARTS = (5, 6, 7)
 #: Rows of a fit at most: confirmed toxic documents, and documents used as unlabelled.
 MAX_FIT_POSITIVE = 5_000
-MAX_FIT_UNLABELLED = 10_000
+MAX_FIT_UNLABELLED = 20_000
 THRESHOLD = 0.3
 FOLDS, HELD_FOLD = 4, 2
-EPOCHS, RATE, DECAY, BATCH = 60, 0.02, 2e-5, 512
+EPOCHS, RATE, DECAY, BATCH = 120, 0.03, 5e-4, 1024
+#: Features the classifier may weigh: those that most clearly come oftener in toxic documents than elsewhere.
+MOST_FEATURES, LEAST_Z = 4096, 5.0
 
 
 class FeatureTable(dict):
@@ -48,13 +50,14 @@ def features(text: str) -> np.ndarray:
 
 @dataclass
 class Linear:
-    """Weights per feature and an offset. A text's raw score is the sum over its features; the length does not scale it."""
+    """Weights per feature, for the logarithm of the number of features, and an offset."""
 
     weights: np.ndarray
     offset: float
+    per_width: float
 
     def raw(self, found: np.ndarray) -> float:
-        return float(self.weights[found].sum()) + self.offset
+        return float(self.weights[found].sum() + self.per_width * np.log1p(len(found))) + self.offset
 
     def score(self, texts: list[str]) -> np.ndarray:
         raw = np.array([self.raw(features(t)) for t in texts])
@@ -66,24 +69,29 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
 
     ``prior`` is the share of positives among the unlabelled. Where the corrected negative risk of a step falls below
     zero, the step goes against it, as the non-negative estimator does. Adam over shuffled batches with a fixed seed.
-    Features that come in fewer than three documents keep weight zero. Without positives every score is near zero.
+    Only features that come clearly oftener in positives than in unlabelled texts get a weight.
+    Without positives every score is near zero.
     """
     size = 1 << FEATURE_BITS
-    model = Linear(np.zeros(size), -4.0)
+    model = Linear(np.zeros(size), -4.0, 0.0)
     if not positive or not unlabelled:
         return model
     prior = float(np.clip(prior, 1e-4, 0.9))
-    seen = np.bincount(np.concatenate([*positive, *unlabelled]), minlength=size)
-    names = np.flatnonzero(seen >= 3)
+    share = lambda docs: (np.bincount(np.concatenate(docs), minlength=size) + 0.5) / (len(docs) + 1)
+    p, u = share(positive), share(unlabelled)
+    z = (p - u) / np.sqrt(u * (1 - u) * (1 / len(positive) + 1 / len(unlabelled)))
+    names = np.sort(np.argsort(-z, kind="stable")[:MOST_FEATURES])
+    names = names[z[names] >= LEAST_Z]
     place = np.full(size, -1, np.int64)
     place[names] = np.arange(len(names))
+    widths = np.log1p([len(d) for d in [*positive, *unlabelled]])
     docs = [(p := place[d])[p >= 0] for d in [*positive, *unlabelled]]
     lengths = np.array([len(d) for d in docs])
     starts, flat = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate(docs)
     is_positive = np.arange(len(docs)) < len(positive)
     rng = np.random.default_rng(seed)
-    w, b = np.zeros(len(names) + 1), float(np.log(prior / (1 - prior)))
-    w[-1] = b
+    w = np.zeros(len(names) + 2)
+    w[-1] = np.log(prior / (1 - prior))
     m, v, t = np.zeros_like(w), np.zeros_like(w), 0
     n_p, n_u = len(positive), len(unlabelled)
     steps = max(1, (n_p + n_u) // BATCH)
@@ -96,7 +104,7 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
             owner = np.repeat(np.arange(len(rows)), lengths[rows])
             offsets = np.arange(lengths[rows].sum()) - np.repeat(np.cumsum(lengths[rows]) - lengths[rows], lengths[rows])
             columns = flat[np.repeat(starts[rows], lengths[rows]) + offsets]
-            z = np.bincount(owner, w[columns], len(rows)) + w[-1]
+            z = np.bincount(owner, w[columns], len(rows)) + w[-2] * widths[rows] + w[-1]
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             pos = is_positive[rows]
             loss_as_negative = np.logaddexp(0, z)
@@ -106,12 +114,12 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
                 slope = slope + np.where(pos, -prior * (1 - p) / len(part_p), 0)
             else:
                 slope = -slope
-            grad = np.append(np.bincount(columns, slope[owner], len(names)), slope.sum())
-            grad[:-1] += DECAY * w[:-1]
+            grad = np.concatenate([np.bincount(columns, slope[owner], len(names)), [slope @ widths[rows], slope.sum()]])
+            grad[:-2] += DECAY * w[:-2]
             t += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    model.weights[names], model.offset = w[:-1], float(w[-1])
+    model.weights[names], model.per_width, model.offset = w[:-2], float(w[-2]), float(w[-1])
     return model
 
 
