@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from .texts import by_batch, strings
 
 #: Chunks and words that a worker remembers; the frequent ones come early, later ones are computed anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 _NEVER = 1 << 30
 
@@ -90,7 +90,6 @@ class Bpe:
         self.normal, self.pieces = parts.normalizer.normalize_str, parts.pre_tokenizer.pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
 
         def mark(token: str) -> str:
             body = token.removesuffix(suffix)
@@ -102,7 +101,7 @@ class Bpe:
         self.made_of = {a + b: (a, b, n) for (a, b), n in self.ranks.items()}
         self.automaton = ahocorasick.Automaton()
         self.tokens = {i: t for t, i in self.ids.items()}
-        self.front = max(self.names) + 1  # stands for the empty prefix
+        self.front = max(*self.tokens, *self.special.values()) + 1  # stands for the empty prefix
         for token, i in self.ids.items():
             self.automaton.add_word(token, (len(token), i))
         self.automaton.make_automaton()
@@ -157,7 +156,7 @@ class Bpe:
     def fit(self, pair: int, front: int, token: int) -> bool:
         right = self.tokens[token]
         known = self.alone(right) if front == self.front else self.compatible(self.tokens[front], right)
-        if len(self.fits) < 2 * REMEMBERED:
+        if len(self.fits) < REMEMBERED:
             self.fits[pair] = known
         return known
 
@@ -199,9 +198,21 @@ class Bpe:
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self.table.__getitem__, text.encode("utf-8", "replace").split()))
 
-    def decode(self, ids: Iterable[int]) -> str:
+
+def token_names(spec: dict) -> dict[int, str]:
+    """Id -> token as the file spells it, added tokens included."""
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
+
+class Names(dict):
+    """Id -> token, all that decoding needs."""
+
+    def text(self, ids: list[int]) -> str:
         """The tokens as the file spells them, one space between them; unknown ids are left out."""
-        return " ".join([x for x in map(self.names.get, ids) if x is not None])
+        try:
+            return " ".join(map(self.__getitem__, ids))
+        except KeyError:
+            return " ".join([x for x in map(self.get, ids) if x is not None])
 
 
 _LOADED: dict[str, Bpe] = {}
@@ -214,6 +225,17 @@ def loaded(path: str) -> Bpe:
     return _LOADED[path]
 
 
+_NAMES: dict[str, Names] = {}
+
+
+def loaded_names(path: str) -> Names:
+    """The token names of a file, read once per worker."""
+    if path not in _NAMES:
+        with open(path, encoding="utf-8") as f:
+            _NAMES[path] = Names(token_names(json.load(f)))
+    return _NAMES[path]
+
+
 def encode(docs: DataFrame, path: str, packed: bool = False, keep: Iterable[str] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and ``ids`` (array of int; ``packed``: little-endian 32-bit binary) of every whole text.
 
@@ -245,11 +267,12 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     names = rows.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = loaded(path)
-        ids = batch.column(names.index("ids")).to_pylist()
+        spelled, ids = loaded_names(path), batch.column(names.index("ids"))
         if packed:
-            ids = [np.frombuffer(x, "<u4").tolist() if x else () for x in ids]
-        texts = [bpe.decode(x or ()) for x in ids]
+            rows = (np.frombuffer(x.as_py() or b"", "<u4") for x in ids)
+        else:
+            rows = (x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.empty(0, int) for x in ids)
+        texts = [spelled.text(x.tolist()) for x in rows]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
     schema = ", ".join([*[f"`{c}` {t}" for c, t in rows.dtypes], "decoded string"])

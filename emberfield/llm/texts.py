@@ -53,13 +53,18 @@ def bounded_sample(rows: DataFrame, bound: int, *key: str) -> DataFrame:
     return rows.orderBy(rank, *key).limit(bound)
 
 
+#: Bytes of Arrow data that a worker turns into Python objects at once (one row at least).
+SLICE_BYTES = 4 << 20
+
+
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``fn`` on every Arrow batch of ``df``."""
+    """``fn`` on every Arrow batch of ``df``, in slices of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            step = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+            for start in range(0, batch.num_rows, step):
+                yield fn(batch.slice(start, step))
 
     return df.mapInArrow(run, schema)
 
