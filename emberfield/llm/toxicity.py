@@ -16,7 +16,7 @@ FEATURE_BITS = 18
 STARTS = (5, 6, 7)
 #: Rows of a fit at most: confirmed toxic documents, and documents used as unlabelled.
 MAX_FIT_POSITIVE = 5_000
-MAX_FIT_UNLABELLED = 20_000
+MAX_FIT_UNLABELLED = 8_000
 THRESHOLD = 0.3
 FOLDS, HELD_FOLD = 4, 2
 EPOCHS, RATE, DECAY, BATCH = 120, 0.03, 5e-4, 1024
@@ -82,8 +82,8 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     z = (p - u) / np.sqrt(u * (1 - u) * (1 / len(positive) + 1 / len(unlabelled)))
     names = np.sort(np.argsort(-z, kind="stable")[:MOST_FEATURES])
     names = names[z[names] >= LEAST_Z]
-    place = np.full(size, -1, np.int64)
-    place[names] = np.arange(len(names))
+    place = np.full(size, -1, np.int32)
+    place[names] = np.arange(len(names), dtype=np.int32)
     widths = np.log1p([len(d) for d in [*positive, *unlabelled]])
     docs = [(p := place[d])[p >= 0] for d in [*positive, *unlabelled]]
     lengths = np.array([len(d) for d in docs])
@@ -148,7 +148,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_FIT
         return pa.RecordBatch.from_arrays([batch.column(2), pa.array(found, pa.binary())], ["positive", "found"])
 
     got = sorted((r["positive"], bytes(r["found"])) for r in by_batch(rows, run, "positive int, found binary").collect())
-    side = lambda k: [np.frombuffer(x, "<i4").astype(np.int64) for p, x in got if p == k]
+    side = lambda k: [np.frombuffer(x, "<i4") for p, x in got if p == k]
     return fit_nnpu(side(1)[:max_positive], side(0)[:max_unlabelled], (toxic or 0) / max(n, 1))
 
 
