@@ -32,7 +32,8 @@ def confidence_code(value: Column) -> Column:
 
 
 def clipped_frp(value: Column) -> Column:
-    return F.greatest(F.coalesce(value, F.lit(0.0)), F.lit(0.0))
+    """Missing, NaN and negative values as 0."""
+    return F.greatest(F.coalesce(F.nanvl(value.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
 
 
 def truthy(value: Column) -> Column:

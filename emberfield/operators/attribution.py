@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.numbers import fixed_text
 from .sampling import hash_key, sample_exactly
 
-# The largest sample explained, and reader-friendly feature names.
-MAX_ROWS = 2000
+#: Rows whose values stand in for a feature that is not yet known.
+BACKGROUND_ROWS = 128
+# Reader-friendly feature names.
 FRIENDLY = {
     "frp": "Fire Radiative Power (FRP)",
     "log_frp": "High Thermal Energy (log-FRP)",
@@ -30,23 +31,26 @@ FRIENDLY = {
 
 def shapley_values(
     model, rows: DataFrame, features: list[str], classes: list[str],
-    max_rows: int = MAX_ROWS, orders: int = 6, seed: int = 42,
+    max_rows: int | None = None, orders: int = 6, seed: int = 42, background_rows: int = BACKGROUND_ROWS,
 ) -> DataFrame:
     """(detection_id, feature, class, value): sampled Shapley contributions.
 
-    ``rows`` has detection_id and a ``features`` vector; at most ``max_rows``
-    of them are explained, each against another sampled row. Along a feature
+    ``rows`` has detection_id and a ``features`` vector. All rows are explained (``max_rows``: a uniform
+    sample of that size), each against one of ``background_rows`` sampled rows, picked by a hash of its id.
+    Along a feature
     order the row's values replace those of the other row one by one, all the
     resulting vectors are scored in one distributed pass, and a feature's
     contribution is the change it causes, averaged over ``orders`` orders.
     """
-    sample = sample_exactly(rows, max_rows, seed=seed).select(
-        "detection_id", vector_to_array("features").alias("x")
+    vectors = rows.select("detection_id", vector_to_array("features").alias("x"))
+    chosen = sample_exactly(vectors, max_rows, seed=seed) if max_rows else vectors
+    ring = Window.orderBy(hash_key("detection_id", seed), "detection_id")  # over the background rows
+    background = sample_exactly(vectors, background_rows, seed=seed + 1).select(
+        (F.row_number().over(ring) - 1).alias("slot"), F.col("x").alias("base")
     )
-    # at most max_rows rows: each is paired with the next one in hash order
-    ring = Window.orderBy(hash_key("detection_id", seed), "detection_id")
-    every = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    paired = sample.withColumn("base", F.coalesce(F.lead("x").over(ring), F.first("x").over(every)))
+    slots = background.count()
+    slot = F.pmod(F.xxhash64(F.lit(seed), "detection_id"), F.lit(max(slots, 1)))
+    paired = chosen.withColumn("slot", slot).join(F.broadcast(background), "slot").drop("slot")
 
     n = len(features)
     rng = random.Random(seed)

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import NUMERIC_FEATURES, OPTIONAL_FEATURES, TEXT_FEATURES
@@ -21,23 +21,12 @@ from .metrics import class_weights, overall_metrics
 from .sampling import stratified_folds, stratified_split, stratified_subset
 
 # Fixed values of the training step.
-SEARCH_ABOVE, SEARCH_ROWS, CURVE_ROWS = 50_000, 50_000, 30_000
-SEARCH_TRIES_LARGE, SEARCH_TRIES_SMALL = 10, 25
+SEARCH_TRIES = 10
 CURVE_SHARES = (0.2, 0.4, 0.6, 0.8, 1.0)
 SEARCH_SPACE = {"numTrees": [20, 40, 60], "maxDepth": [6, 8, 10], "minInstancesPerNode": [3, 5],
                 "subsamplingRate": [0.8, 0.9], "featureSubsetStrategy": ["sqrt", "onethird", "all"]}
 
 
-class MacroF1(Evaluator):
-    """Macro-averaged F1, which the built-in evaluator lacks (its ``f1`` is weighted)."""
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        return overall_metrics(dataset, "label", "prediction").first()["macro_f1"]
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
 def prepared(df: DataFrame) -> DataFrame:
     """Model inputs filled so that no row is lost: text ``unknown``, numbers 0."""
     columns = [c for c in (*NUMERIC_FEATURES, *OPTIONAL_FEATURES) if c in df.columns]
@@ -118,21 +107,18 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
     A text value not seen in training counts as the first known one.
     """
-    columns = df.columns
-    rows = prepared(df)
+    columns = [c for c in df.columns if c != "predicted_category"]
+    # the input's own values ride along under other names, so nothing is joined back
+    rows = prepared(df.drop("predicted_category").withColumns({f"_own_{c}": F.col(c) for c in columns}))
     indexer = model.stages[0]
     known = dict(zip(indexer.getInputCols(), indexer.labelsArray))
     rows = rows.withColumns(
         {c: F.when(F.col(c).isin(list(v)), F.col(c)).otherwise(v[0]) for c, v in known.items()}
     )
-    scored = model.transform(rows).select(
-        "detection_id", "predicted_category",
-        vector_to_array("probability").alias("probabilities"),
-    )
-    scored = scored.withColumn("confidence_pct", F.array_max("probabilities") * 100)
-    return df.drop("predicted_category").join(scored, "detection_id").select(
-        *[c for c in columns if c != "predicted_category"],
-        "predicted_category", "confidence_pct", "probabilities",
+    scored = model.transform(rows).withColumn("_probabilities", vector_to_array("probability"))
+    return scored.select(
+        *[F.col(f"_own_{c}").alias(c) for c in columns], "predicted_category",
+        (F.array_max("_probabilities") * 100).alias("confidence_pct"), F.col("_probabilities").alias("probabilities"),
     )
 
 
@@ -141,11 +127,12 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(path: str) -> PipelineModel | None:
-    """The stored model, or None when it cannot be read (callers then keep the rule labels)."""
+    """The stored model, or None when there is none at ``path`` (callers then keep the rule labels)."""
     try:
-        return PipelineModel.load(path)
-    except Exception:
+        SparkSession.active().read.text(f"{path}/metadata")
+    except AnalysisException:
         return None
+    return PipelineModel.load(path)
 
 
 def _draws(space: dict[str, list], tries: int, seed: int) -> list[dict]:
@@ -158,34 +145,28 @@ def _draws(space: dict[str, list], tries: int, seed: int) -> list[dict]:
     return [{p.name: v for p, v in maps[i].items()} for i in picked]
 
 
-def cross_validated(rows: DataFrame, settings: Sequence[dict], parallelism: int = 2) -> CrossValidatorModel:
-    """3-fold cross-validation of the given forest settings by macro F1."""
-    classifier = forest()
-    maps = [{classifier.getParam(k): v for k, v in s.items()} for s in settings]
-    return CrossValidator(
-        estimator=classifier, estimatorParamMaps=maps, evaluator=MacroF1(), numFolds=3,
-        foldCol="fold", parallelism=parallelism, collectSubModels=False,
-    ).fit(stratified_folds(rows))
+def _bounded(rows: DataFrame, max_fit_rows: int | None) -> DataFrame:
+    """Training rows: all, or a class-stratified subset of the given size."""
+    return stratified_subset(rows, max_fit_rows, above=max_fit_rows) if max_fit_rows else rows
 
 
 def model_search(
-    df: DataFrame, space: dict[str, list] | None = None, tries: int | None = None, seed: int = 42
+    df: DataFrame, space: dict[str, list] | None = None, tries: int = SEARCH_TRIES, seed: int = 42,
+    max_fit_rows: int | None = None,
 ) -> tuple[DataFrame, dict]:
-    """Random search over forest settings: (tried settings with mean F1, the best settings).
+    """Random search over forest settings: (tried settings with mean macro F1 over 3 folds, the best settings).
 
-    Above 50 000 rows the search runs on a class-stratified subset of that
-    size with fewer tries.
+    Only the training split is searched. ``max_fit_rows`` bounds the rows of each fit; held-out folds stay whole.
     """
     rows, _ = encoded(df)
-    n = rows.count()
-    tries = tries or (SEARCH_TRIES_LARGE if n > SEARCH_ABOVE else SEARCH_TRIES_SMALL)
-    rows = stratified_subset(rows, SEARCH_ROWS, above=SEARCH_ABOVE)
+    rows = written(stratified_folds(stratified_split(rows).where(~F.col("is_test")).drop("is_test")), "search")
     settings = _draws(space or SEARCH_SPACE, tries, seed)
-    found = cross_validated(rows, settings)
-    results = [
-        (i, str(sorted(s.items())), float(f1), float(sd))
-        for i, (s, f1, sd) in enumerate(zip(settings, found.avgMetrics, found.stdMetrics))
-    ]
+    results = []
+    for i, s in enumerate(settings):
+        got = [float(held["macro_f1"]) for _, held, _ in
+               _fold_scores(rows, range(3), lambda t: _bounded(t, max_fit_rows), forest(**s))]
+        mean = sum(got) / 3
+        results.append((i, str(sorted(s.items())), mean, (sum((x - mean) ** 2 for x in got) / 3) ** 0.5))
     best = settings[max(results, key=lambda r: r[2])[0]]
     table = df.sparkSession.createDataFrame(
         results, "trial int, settings string, mean_macro_f1 double, std_macro_f1 double"
@@ -193,6 +174,13 @@ def model_search(
     return table, best
 
 
+def search_and_refit(df: DataFrame, **search) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """Search on the training split, refit the best settings there with weights: (model, scored test rows, trials)."""
+    trials, best = model_search(df, **search)
+    model, scored = train_and_evaluate(df, forest(**best))
+    return model, scored, trials
+
+
 def _fold_scores(rows: DataFrame, folds: Sequence[int], train_rows=None, classifier=None, both=False):
     """Yields (fold, metrics row on the held-out fold, and with ``both`` on the training rows)."""
     for f in folds:
@@ -205,13 +193,13 @@ def _fold_scores(rows: DataFrame, folds: Sequence[int], train_rows=None, classif
         yield f, held_out.first(), seen
 
 
-def cv_summary(df: DataFrame, classifier=None) -> DataFrame:
-    """Mean and population deviation over 3 folds of accuracy and macro F1."""
+def cv_summary(df: DataFrame, classifier=None, max_fit_rows: int | None = None) -> DataFrame:
+    """Mean and population deviation over 3 folds of accuracy and macro F1. ``max_fit_rows`` bounds training rows only."""
     rows, _ = encoded(df)
-    rows = stratified_folds(stratified_subset(rows, SEARCH_ROWS, above=SEARCH_ABOVE))
+    rows = stratified_folds(rows)
     scores = [
         (name, f, float(held[key]))
-        for f, held, _ in _fold_scores(rows, range(3), classifier=classifier)
+        for f, held, _ in _fold_scores(rows, range(3), lambda t: _bounded(t, max_fit_rows), classifier)
         for name, key in (("accuracy", "accuracy"), ("f1_macro", "macro_f1"))
     ]
     table = df.sparkSession.createDataFrame(scores, "metric string, fold int, score double")
@@ -221,17 +209,20 @@ def cv_summary(df: DataFrame, classifier=None) -> DataFrame:
     )
 
 
-def learning_curve(df: DataFrame, shares: Sequence[float] = CURVE_SHARES, classifier=None) -> DataFrame:
-    """Macro F1 on training and held-out rows for growing nested training samples, 3 folds each."""
+def learning_curve(df: DataFrame, shares: Sequence[float] = CURVE_SHARES, classifier=None,
+                   max_fit_rows: int | None = None) -> DataFrame:
+    """Macro F1 on training and held-out rows for growing nested training samples, 3 folds each.
+
+    ``max_fit_rows`` bounds the training rows that the shares are taken of; held-out rows stay whole.
+    """
     rows, _ = encoded(df)
-    rows = written(
-        stratified_folds(stratified_subset(rows, CURVE_ROWS, above=SEARCH_ABOVE)), "curve"
-    )
+    rows = written(stratified_folds(rows), "curve")
     scores = []
     for share in shares:
-        sample = None
+        sample = lambda train: _bounded(train, max_fit_rows)
         if share < 1.0:
-            sample = lambda train, s=share: stratified_split(train, test_share=s, seed="curve").where("is_test")
+            sample = lambda train, s=share: stratified_split(
+                _bounded(train, max_fit_rows), test_share=s, seed="curve").where("is_test")
         for f, held, seen in _fold_scores(rows, range(3), sample, classifier, both=True):
             scores.append((share, f, int(seen["n"]), float(seen["macro_f1"]), float(held["macro_f1"])))
     table = df.sparkSession.createDataFrame(

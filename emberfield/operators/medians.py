@@ -12,7 +12,7 @@ _ACCURACY = 10_000
 
 
 def exact_median(df: DataFrame, value: Column, direct_rows: int = DIRECT_ROWS) -> float | None:
-    """The exact median of ``value`` as a scalar; None when there is no value.
+    """The exact median of ``value`` as a scalar; None when there is no value (null and NaN are none).
 
     Small inputs use the built-in aggregate. Larger ones are narrowed first:
     an approximate percentile with a guaranteed rank error brackets the middle,
@@ -20,7 +20,7 @@ def exact_median(df: DataFrame, value: Column, direct_rows: int = DIRECT_ROWS) -
     again, each pass leaving about 0.4 % of the values. When a bracket is a
     single value, that value is the answer.
     """
-    values = df.select(value.cast("double").alias("v")).where(F.col("v").isNotNull())
+    values = df.select(value.cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     total = None
     below = 0
     while True:

@@ -213,10 +213,10 @@ def priority_feed(df: DataFrame, col: str = "category") -> DataFrame:
     )
 
 
-def map_points(df: DataFrame, k: int = 1200, col: str = "category", seed: int = 42) -> DataFrame:
-    """A uniform sample of ``k`` detections as JSON points with colour and marker radius."""
+def map_points(df: DataFrame, k: int | None = None, col: str = "category", seed: int = 42) -> DataFrame:
+    """All detections with coordinates (``k``: a uniform sample of that size) as JSON points with colour and marker radius."""
     placed = drop_without_coordinates(df)
-    sample = sample_exactly(placed, k, seed=seed)
+    sample = sample_exactly(placed, k, seed=seed) if k else placed
     frp = F.coalesce("frp", F.lit(15.0))
     point = F.struct(
         F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), frp.alias("frp"),

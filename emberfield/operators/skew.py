@@ -74,12 +74,10 @@ def salted_join(
 
 
 def spread_out(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` hashed by ``keys`` over the shuffle partitions, or four per core if that is fewer.
+    """``df`` hashed by ``keys`` over the shuffle partitions.
 
     For rows that are few bytes but much work each: adaptive execution sizes
     partitions by bytes and would leave such work to a handful of tasks. A
     shuffled join on the same keys afterwards needs no further shuffle.
     """
-    spark = df.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(min(partitions, 4 * spark.sparkContext.defaultParallelism), *keys)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

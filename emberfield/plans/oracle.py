@@ -358,11 +358,13 @@ SELECT *, {pct('wildfire')}, {pct('agricultural')}, {pct('industrial')}, {pct('a
 SELECT *, combined-viirs AS gain, {_r('(combined-viirs)/viirs*100')} AS gain_pct FROM (
  SELECT count(*) FILTER (satellite_source LIKE '%VIIRS%') AS viirs, count(*) AS combined FROM hotspots)""")
     q["priority_feed"] = _simple(f"SELECT * FROM ({_PRIORITY})")
-    q["map_points"] = _simple(f"""
+    points = f"""
 SELECT detection_id, {_r('greatest(4e0, least(12e0, sqrt(frp0)))')} AS radius, latitude AS lat, longitude AS lon, frp0 AS frp,
  category AS cat, CASE category WHEN 'Wildfire Risk' THEN '#E5383B' WHEN 'Agricultural Burning' THEN '#F4A259'
   WHEN 'Industrial (Normal)' THEN '#4A8FE7' ELSE '#9D4EDD' END AS color, CAST(acq_date AS VARCHAR) AS date,
- land_use_type AS land FROM f3 ORDER BY md5('42:'||detection_id), detection_id LIMIT 1200""")
+ land_use_type AS land FROM f3"""
+    q["map_export"] = _simple(points)
+    q["map_points"] = _simple(f"{points} ORDER BY md5('42:'||detection_id), detection_id LIMIT 1200")
     alerts = """SELECT *, row_number() OVER (ORDER BY frp0 DESC, md5(CAST(detection_id AS VARCHAR)), detection_id) AS rank
  FROM f3 WHERE category='Wildfire Risk'"""
     url = "printf('https://www.google.com/maps?q=%.5f,%.5f', latitude, longitude)"

@@ -358,15 +358,24 @@ def priority_feed(spark, sf_dir):
     return reports.priority_feed(written(ruled(spark, sf_dir), "ruled"))
 
 
-@query
-def map_points(spark, sf_dir):
-    points = reports.map_points(written(ruled(spark, sf_dir), "ruled"))
+def _points(points: DataFrame) -> DataFrame:
     shape = "lat double, lon double, frp double, cat string, color string, date string, land string"
     return points.select("detection_id", "radius", F.from_json("point", shape).alias("p")).select(
         "detection_id", "radius", "p.*"
     )
 
 
+@query
+def map_points(spark, sf_dir):
+    return _points(reports.map_points(written(ruled(spark, sf_dir), "ruled"), k=1200))
+
+
+@query
+def map_export(spark, sf_dir):
+    """Every placed detection as a map point."""
+    return _points(reports.map_points(ruled(spark, sf_dir)))
+
+
 # --- alerts ------------------------------------------------------------------
 
 

@@ -53,5 +53,6 @@ def align(df: DataFrame, schema: T.StructType = DETECTION) -> DataFrame:
 
 
 def drop_without_coordinates(df: DataFrame) -> DataFrame:
-    """Plain null tests rather than ``dropna``, whose condition does not reach the file scan."""
-    return df.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    """Plain null tests rather than ``dropna``, whose condition does not reach the file scan; NaN counts as missing."""
+    lat, lon = F.col("latitude"), F.col("longitude")
+    return df.where(lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon))

@@ -26,16 +26,22 @@ def local_session(app: str = "emberfield", cores: int | str = "*", shuffle: int
     return spark
 
 
+def needs_no_shared_folder(master: str) -> bool:
+    """Whether driver and executors are one process, so that they see the same files."""
+    return master == "local" or master.startswith("local[")
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path under ``spark.checkpoint.dir``, the folder every executor can reach.
 
-    Only when a session names no such folder (tests, one-machine runs) is a
-    temporary one made and recorded in the session.
+    The session's setting comes first, then the context's checkpoint folder. Only a local session without
+    either gets a temporary folder, recorded in the session; on a cluster that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("emberfield.work.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    root = root or spark.conf.get("emberfield.work.dir", None)
     if not root:
+        if not needs_no_shared_folder(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="emberfield-")
         spark.conf.set("emberfield.work.dir", root)
     return f"{root.rstrip('/')}/emberfield/{name}-{uuid.uuid4().hex[:12]}"

@@ -9,21 +9,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.combine import share_brightness, tag_source, union_feeds
-from ..schema import DETECTION
+from ..schema import DETECTION, align
 
 BAD_LINE = "_bad_line"
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType = DETECTION) -> DataFrame:
-    """Header CSV with a declared schema: one pass, no inference, damaged lines kept aside.
+    """Header CSV by column name: no inference, damaged lines kept aside.
 
-    Lines that do not parse have ``_bad_line`` set.
+    The header of the first file gives the order; columns of ``schema`` that it lacks come as null, others as
+    text after them. A further file whose header differs is an error, never read by position. Lines that do not parse
+    have ``_bad_line`` set. ``NaN`` in number columns is null.
     """
-    with_bad = T.StructType([*schema.fields, T.StructField(BAD_LINE, T.StringType())])
-    return spark.read.csv(
-        path, schema=with_bad, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_LINE,
-        enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    header = spark.read.csv(path, header=True).columns
+    known = {f.name: f for f in schema}
+    fields = [known.get(c, T.StructField(c, T.StringType())) for c in header]
+    rows = spark.read.csv(
+        path, schema=T.StructType([*fields, T.StructField(BAD_LINE, T.StringType())]), header=True, mode="PERMISSIVE",
+        columnNameOfCorruptRecord=BAD_LINE, enforceSchema=False, ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
     )
+    return align(rows, schema).withColumns({
+        f.name: F.when(~F.isnan(f.name), F.col(f.name)) for f in schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+    })
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -63,23 +71,37 @@ def screen(payloads: DataFrame, body: str = "body") -> tuple[DataFrame, DataFram
 
 
 def parse_payloads(payloads: DataFrame, columns: T.StructType, body: str = "body") -> DataFrame:
-    """The data lines of usable payloads as rows; ``columns`` is the feed's header order."""
+    """The data lines of usable payloads as rows of ``columns``, matched by the names in each body's own header.
+
+    A column that a header lacks is null; columns beyond ``columns`` are left out; NaN is null.
+    """
     lines = F.split(F.regexp_replace(F.col(body), r"^\s+|\s+$", ""), r"\r?\n")
     rest = [c for c in payloads.columns if c != body]
-    exploded = payloads.select(*rest, F.explode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("_line"))
-    parsed = F.from_csv("_line", columns.simpleString()[len("struct<"):-1].replace(":", " "))
-    return exploded.select(*rest, parsed.alias("_r")).select(*rest, "_r.*")
+    exploded = payloads.select(
+        *rest, F.transform(F.split(lines[0], ","), lambda c: F.trim(c)).alias("_header"),
+        F.explode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("_line"),
+    ).withColumn("_cells", F.split("_line", ","))
+
+    def cell(f: T.StructField) -> Column:
+        at = F.array_position("_header", f.name)
+        value = F.when(at > 0, F.trim(F.get("_cells", (at - 1).cast("int"))))
+        value = F.when(~F.lower(value).isin("", "nan"), value)
+        return value.try_cast(f.dataType).alias(f.name)
+
+    return exploded.select(*rest, *[cell(f) for f in columns])
 
 
 def load_feeds(spark: SparkSession, paths: dict[str, tuple[str, T.StructType]]) -> DataFrame:
     """Union of landed CSV folders, one per feed: {feed: (path, schema of that feed)}.
 
-    Unreadable files are skipped. Each feed gets its source tag and brightness
-    layout before the union, since both depend on which columns it has.
+    Columns are matched by name. Each feed gets its source tag and brightness layout before the union, since both
+    depend on which columns it has.
     """
     frames = []
     for feed, (path, schema) in paths.items():
-        rows = spark.read.option("ignoreCorruptFiles", True).csv(path, schema=schema, header=True)
+        header = set(spark.read.csv(path, header=True).columns)
+        rows = read_csv(spark, path, schema).where(F.col(BAD_LINE).isNull()).drop(BAD_LINE)
+        rows = rows.select(*[c for c in rows.columns if c in header])
         tagged = tag_source(rows.withColumn("feed", F.lit(feed)))
         frames.append(share_brightness(tagged).drop("feed"))
     return union_feeds(frames)

@@ -147,8 +147,8 @@ def stream_co_confirmed(
             f"{landed}/batch={batch_id}"
         )
         known = spark.read.schema(schema).parquet(landed).where(F.col("batch") <= batch_id)
-        dates = known.where(F.col("batch") == batch_id).select("acq_date").distinct()
-        rows = known.join(dates, "acq_date", "left_semi").drop("batch")
+        dates = known.where(F.col("batch") == batch_id).select(F.col("acq_date").alias("touched")).distinct()
+        rows = known.join(dates, F.col("acq_date").eqNullSafe(F.col("touched")), "left_semi").drop("batch")
         with_co_confirmed(rows, radius_m, window_min).where("co_confirmed").select(
             "detection_id"
         ).write.mode("overwrite").parquet(f"{flags}/batch={batch_id}")
