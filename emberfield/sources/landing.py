@@ -14,13 +14,14 @@ from ..schema import DETECTION, align
 BAD_LINE = "_bad_line"
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType = DETECTION) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str = DETECTION) -> DataFrame:
     """Header CSV by column name: no inference, damaged lines kept aside.
 
     The header of the first file gives the order; columns of ``schema`` that it lacks come as null, others as
     text after them. A further file whose header differs is an error, never read by position. Lines that do not parse
     have ``_bad_line`` set. ``NaN`` in number columns is null.
     """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     header = spark.read.csv(path, header=True).columns
     known = {f.name: f for f in schema}
     fields = [known.get(c, T.StructField(c, T.StringType())) for c in header]
@@ -91,7 +92,7 @@ def parse_payloads(payloads: DataFrame, columns: T.StructType, body: str = "body
     return exploded.select(*rest, *[cell(f) for f in columns])
 
 
-def load_feeds(spark: SparkSession, paths: dict[str, tuple[str, T.StructType]]) -> DataFrame:
+def load_feeds(spark: SparkSession, paths: dict[str, tuple[str, T.StructType | str]]) -> DataFrame:
     """Union of landed CSV folders, one per feed: {feed: (path, schema of that feed)}.
 
     Columns are matched by name. Each feed gets its source tag and brightness layout before the union, since both
