@@ -82,6 +82,11 @@ def base_spans(text: str) -> list[Span]:
 _COUNTS = ((1, 1), (2, 2), (3, 3), (4, 6), (7, 7), (8, 11), (12, 19), (20, 1 << 60))
 
 
+def _octet(part: str) -> bool:
+    """Whether this is a number up to 255 in plain digits; other scripts' and raised digits do not count."""
+    return part.isascii() and part.isdigit() and len(part) < 4 and int(part) < 256
+
+
 def _flags(token: str, before: str, near: tuple[bool, bool]) -> list[bool]:
     """What is seen of a token: its form, checks, the text before it and whether the neighbours are candidates."""
     body = token.strip(_EDGE)
@@ -92,7 +97,7 @@ def _flags(token: str, before: str, near: tuple[bool, bool]) -> list[bool]:
     last, earlier = (words[-1] if words else ""), (words[-2] if len(words) > 1 else "")
     return [
         True, "@" in token, any(c.isalpha() for c in body), n == len(body), *[a <= n <= b for a, b in _COUNTS],
-        len(parts) == 4, len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts),
+        len(parts) == 4, len(parts) == 4 and all(map(_octet, parts)),
         12 <= n <= 19 and luhn(digits), token.startswith("+"), "(" in token or ")" in token, "-" in body, hexes,
         token[:1] in "\"'", last in ("=", ":"), last[-1:] in ("=", ":"),
         bool(re.search(r"(?i)token|secret|passw|key", earlier + last)), last.startswith("+"), last.startswith("("), *near,
@@ -267,7 +272,7 @@ def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
             digits = _NOT_DIGIT.sub("", body)
             right = {
                 "email": "@" in body[1:-1], "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 7 <= len(digits) <= 15,
-                "ip": body.count(".") == 3 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in body.split(".")),
+                "ip": body.count(".") == 3 and all(map(_octet, body.split("."))),
                 "secret": len(body) >= 16 and body.isascii(),
             }[kind]
             if right:

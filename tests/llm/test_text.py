@@ -247,6 +247,13 @@ def test_pii_keeps_base_and_finds_repeats(spark):
     assert pii.added_spans("The year 1999 had 365 days and 4845168114407328 things.", [], field) == []
 
 
+def test_digits_of_other_scripts_do_not_stop_the_field(spark):
+    texts = ["1.2.3.²", "۱.۲.۳.4 and 5.6.7.٨", "x@1.²", "1²3.4.5.6"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.pii_spans(docs, pii.fit_pii(docs)).collect()
+    assert [r.n_ip for r in sorted(rows)] == [len(re.findall(r"[0-9]+(?:\.[0-9]+){3}", t)) for t in texts]
+
+
 def test_equal_tokens_agree():
     flags = np.zeros((3, pii.N_FLAGS))
     flags[:, 0] = 1
