@@ -14,6 +14,8 @@ WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 SHARDS = 64
 BLOCK_WORDS = 16_384
+#: Members of a node of the splitting tree at most.
+BUNDLE = 256
 #: A prime above any number of blocks of a source: multiplying by it permutes the block numbers.
 STRIDE = 2_147_483_647
 
@@ -93,23 +95,42 @@ def hypergeometric(total: str, marked: str, drawn: str, u: str) -> str:
     return f"element_at(transform({with_sum}, p -> {pick}), 1)"
 
 
-def shard_quotas(sources: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def shard_quotas(sources: DataFrame, shards: int = SHARDS, seed: int = SEED, bundle: int = BUNDLE) -> DataFrame:
     """(sid, cuts): of each source's blocks in permuted order, ``cuts[m]`` come before shard m; ``shards + 1`` values.
 
-    ``sources`` has sid and ``blocks``. All shards hold equally many blocks, give or take one. From the root on, a
-    node's shards fall into two halves; the left half's blocks are a draw without replacement from the node's blocks,
-    so the counts by source are multivariate hypergeometric: source after source, a hypergeometric number given what
-    the earlier sources took. One row per node holds one count per source, whatever the number of documents.
+    ``sources`` has sid and ``blocks``. All shards hold equally many blocks, give or take one. Sources are taken in
+    bundles of ``bundle`` neighbours, these in bundles of bundles up to one: a bundle's quotas are split among its
+    members once its own are known, so that no row holds more than ``bundle`` counts, however many sources there are.
     """
-    counts = F.array_sort(F.collect_list(F.struct("sid", F.col("blocks").cast("double").alias("k"))))
-    nodes = sources.groupBy().agg(counts.alias("counts"), F.sum("blocks").cast("double").alias("total")).select(
-        F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "counts", "total"
-    )
-    quota = lambda m: f"floor(total * ({m}) / {shards})"
-    u = f"(shiftrightunsigned(xxhash64({seed}, lo, hi, c.sid), 11) * pow(2D, -53))"
+    own = sources.select(F.col("sid").alias("id"), F.col("blocks").cast("double").alias("k"))
+    largest = own.agg(F.max("id")).first()[0] or 0
+    height = 1
+    while bundle**height <= largest:
+        height += 1
+    total = own.agg(F.sum("k")).first()[0] or 0.0
+    even = F.transform(F.sequence(F.lit(0), F.lit(shards)), lambda m: F.floor(F.lit(total) * m / shards).cast("bigint"))
+    cuts = own.groupBy().agg(F.lit(0).cast("bigint").alias("id")).select("id", even.alias("cuts"))
+    for level in reversed(range(height)):
+        members = own.groupBy(F.floor(F.col("id") / bundle**level).cast("bigint").alias("sid")).agg(F.sum("k").alias("k"))
+        bundles = members.groupBy(F.floor(F.col("sid") / bundle).cast("bigint").alias("id")).agg(
+            F.array_sort(F.collect_list(F.struct("sid", "k"))).alias("counts")
+        )
+        cuts = _split(bundles.join(cuts, "id"), shards, f"{seed}, {level}").withColumnRenamed("sid", "id")
+    return cuts.withColumnRenamed("id", "sid")
+
+
+def _split(bundles: DataFrame, shards: int, seed: str) -> DataFrame:
+    """(sid, cuts) for the members of bundles (id, counts, cuts), by a tree over the shards.
+
+    From the root on, a node's shards fall into two halves; the left half's blocks are a draw without replacement
+    from the node's blocks, so the counts by member are multivariate hypergeometric: member after member, a
+    hypergeometric number given what the earlier ones took. The bundle's own cuts say how many blocks a half holds.
+    """
+    nodes = bundles.select("id", F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "counts", "cuts")
+    u = f"(shiftrightunsigned(xxhash64({seed}, id, lo, hi, c.sid), 11) * pow(2D, -53))"
     draw = hypergeometric("a.total", "c.k", "a.drawn", u)
     left = f"""aggregate(counts,
-        named_struct('total', aggregate(counts, 0D, (s, c) -> s + c.k), 'drawn', cast({quota("mid")} - {quota("lo")} as double),
+        named_struct('total', aggregate(counts, 0D, (s, c) -> s + c.k), 'drawn', cast(cuts[mid] - cuts[lo] as double),
                      'got', cast(array() as array<struct<sid: bigint, k: double>>)),
         (a, c) -> element_at(transform(array(cast({draw} as double)), x -> named_struct(
             'total', a.total - c.k, 'drawn', a.drawn - x,
@@ -119,12 +140,12 @@ def shard_quotas(sources: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
         nodes = (
             nodes.withColumn("mid", F.floor((F.col("lo") + F.col("hi")) / 2).cast("int"))
             .withColumn("left", F.when(F.col("hi") - F.col("lo") > 1, F.expr(left)))
-            .selectExpr("total", f"""explode(CASE WHEN hi - lo > 1 THEN array(
+            .selectExpr("id", "cuts", """explode(CASE WHEN hi - lo > 1 THEN array(
                 named_struct('lo', lo, 'hi', mid, 'counts', left),
                 named_struct('lo', mid, 'hi', hi, 'counts',
                     zip_with(counts, left, (c, d) -> named_struct('sid', c.sid, 'k', c.k - d.k))))
                 ELSE array(named_struct('lo', lo, 'hi', hi, 'counts', counts)) END) AS node""")
-            .select("node.lo", "node.hi", "node.counts", "total")
+            .select("id", "node.lo", "node.hi", "node.counts", "cuts")
         )
     cells = nodes.selectExpr("lo AS shard", "inline(counts)").groupBy("sid").agg(
         F.array_sort(F.collect_list(F.struct("shard", "k"))).alias("cells")

@@ -93,6 +93,17 @@ def test_tree_keeps_quotas_and_fills_shards(spark):
     assert all(c == sorted(c) for c in rows.values())
 
 
+@pytest.mark.parametrize("bundle", [2, 3, 256])
+def test_bundles_of_sources_keep_quotas_and_shard_sizes(spark, bundle):
+    blocks = [0, 5, 1, 40, 3, 3, 0, 17, 200, 8]
+    sources = spark.createDataFrame(list(enumerate(blocks)), "sid long, blocks long")
+    cuts = {r.sid: r.cuts for r in mixing.shard_quotas(sources, shards=5, bundle=bundle).collect()}
+    assert {s: c[-1] for s, c in cuts.items()} == dict(enumerate(blocks))
+    assert all(a <= b for c in cuts.values() for a, b in zip(c, c[1:]))
+    sums = [sum(c[m + 1] - c[m] for c in cuts.values()) for m in range(5)]
+    assert sum(sums) == sum(blocks) and max(sums) - min(sums) <= 1
+
+
 def test_hypergeometric_draws_have_the_right_mean(spark):
     draw = mixing.hypergeometric("n", "k", "d", "u")
     rows = spark.range(2000).selectExpr("500D n", "120D k", "200D d", "(id + 0.5D) / 2000 u").selectExpr(f"{draw} x")
