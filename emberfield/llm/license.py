@@ -65,7 +65,7 @@ SPELLINGS = (
 COPYRIGHT_LINE = r"(^|\n)[^\na-z0-9]*(copyright[^a-z0-9\n]|\(c\)|all rights reserved)[^\n]*"
 PUNCTUATION = r"[^a-z0-9\n\x{80}-\x{10FFFF}]+"
 
-#: Known digests go into the plan as one constant; a longer list is refused.
+#: Known digests are broadcast; a longer list is refused.
 MAX_KNOWN = 10_000
 
 
@@ -100,8 +100,8 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     canonical text. Null counts as empty; empty and punctuation-only texts match nothing; repeated rows give repeated
     rows; other columns are ignored.
 
-    At most ``MAX_KNOWN`` known digests are hashed on every executor as one constant; documents are not shuffled,
-    whatever their size and however frequent a licence is.
+    Whole texts meet the known digests in a hash join, lines in a constant map. Both hold at most ``MAX_KNOWN`` digests,
+    so they may be broadcast; documents are not shuffled, whatever their size and however frequent a licence is.
     """
     known = known_digests(docs.sparkSession) if known is None else known
     pairs = known.limit(MAX_KNOWN + 1).collect()
@@ -113,12 +113,13 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     )
     rows = docs.select("doc_id", canonical_lines(whole("text")).alias("lines"))
     names = F.transform(F.split("lines", "\n"), lambda line: F.element_at(by_digest, F.md5(F.trim(line))))
-    digest = F.md5(one_line(F.col("lines")))
-    return rows.select(
-        "doc_id", F.element_at(by_digest, digest).alias("text_license"),
+    rows = rows.select(
+        "doc_id",
         F.array_join(F.array_sort(F.array_distinct(F.filter(names, lambda x: x.isNotNull()))), ",").alias("line_licenses"),
-        digest.alias("text_md5"),
+        F.md5(one_line(F.col("lines"))).alias("text_md5"),
     )
+    texts = F.broadcast(known.select(F.col("digest").alias("text_md5"), F.col("license").alias("text_license")))
+    return rows.join(texts, "text_md5", "left").select("doc_id", "text_license", "line_licenses", "text_md5")
 
 
 def license_sql() -> str:
