@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from .texts import by_batch, strings
 
 #: Chunks and words that a worker remembers; the frequent ones come early, later ones are computed anew.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 _NEVER = 1 << 30
 
