@@ -104,60 +104,63 @@ def _as_partner(sites: DataFrame, radius_m: float, window_min: int) -> DataFrame
     )
 
 
-def _in_time(window_min: int):
-    return F.abs(F.col("_m") - F.col("_pm")) <= window_min
+def _distance(x: str = "_px", y: str = "_py"):
+    dx, dy = F.col("_x") - F.col(x), F.col("_y") - F.col(y)
+    return F.sqrt(dx * dx + dy * dy)
 
 
 def _close(radius_m: float, window_min: int):
-    dx, dy = F.col("_x") - F.col("_px"), F.col("_y") - F.col("_py")
-    return (F.sqrt(dx * dx + dy * dy) <= radius_m) & _in_time(window_min)
+    return (_distance() <= radius_m) & (F.abs(F.col("_m") - F.col("_pm")) <= window_min)
 
 
-def _least_partner(
-    open_sites: DataFrame, targets: DataFrame, radius_m: float, window_min: int, any_one: bool
+def _reached(
+    asking: DataFrame, targets: DataFrame, radius_m: float, window_min: int, nearest: bool
 ) -> DataFrame:
-    """(site, _t): the lowest ``_t`` among the ``targets`` sites of another source in reach.
+    """The sites of ``asking`` with a site of another source among ``targets`` in reach.
 
-    With ``any_one`` only the existence counts, and the first partner ends the
-    search. Groups whose product of sizes is large are refined by tiles.
+    With ``nearest`` also ``_t`` of the nearest one, by whole millimetres, then the lowest ``_t``; otherwise the
+    first partner ends the search. Groups whose product of sizes is large are refined by tiles.
     """
-    asking = open_sites.select(*_SITE, *_block(radius_m), _slot(window_min).alias("_slot"))
+    asking = asking.select(*_SITE, *_block(radius_m), _slot(window_min).alias("_slot"))
     partners = _as_partner(targets, radius_m, window_min)
     pairs = written(_block_pairs(asking, partners), "blocks")
     probes = lambda some: salted_join(
         asking, some.drop("_work"), _ASKING_KEY, ["_x", "_y", "_m"], how="inner"
     )
     plain = probes(pairs.where(F.col("_work") <= CROWDED))
-    if any_one:
+    answer = F.struct(F.floor(_distance() * 1000).alias("mm"), "_t").alias("_near")
+    if nearest:
+        found = plain.join(partners, _PARTNER_KEY).where(_close(radius_m, window_min)).select(*_SITE, answer)
+    else:
         found = plain.alias("q").join(
             partners.alias("p"),
             [F.col(f"q.{k}") == F.col(f"p.{k}") for k in _PARTNER_KEY] + [_close(radius_m, window_min)],
             "left_semi",
-        ).select(*_SITE, F.lit(0).cast("bigint").alias("_t"))
-    else:
-        found = (
-            plain.join(partners, _PARTNER_KEY).where(_close(radius_m, window_min))
-            .select(*_SITE, "_t")
-        )
+        ).select(*_SITE)
     crowded = pairs.where(F.col("_work") > CROWDED)
     if not crowded.isEmpty():
         near = partners.join(crowded.select(*_PARTNER_KEY).distinct(), _PARTNER_KEY, "left_semi")
-        found = found.unionByName(_by_tiles(probes(crowded), near, radius_m, window_min))
-    return found.groupBy(*_SITE).agg(F.min("_t").alias("_t"))
+        sure, rim = _by_tiles(probes(crowded), near, radius_m, window_min, nearest)
+        found = reduce(
+            DataFrame.unionByName, [found, *sure, rim.select(*_SITE, *([answer] if nearest else []))]
+        )
+    if nearest:
+        return found.groupBy(*_SITE).agg(F.min("_near").alias("_near")).select(*_SITE, "_near._t")
+    return found.distinct()
 
 
 def _by_tiles(
-    probes: DataFrame, partners: DataFrame, radius_m: float, window_min: int
-) -> DataFrame:
-    """(site, _t) for crowded groups, in work that grows with the sites and not their product.
-
-    A site meets the tiles that hold partners, at most 256 per minute and
-    block. A tile wholly in reach answers for all its partners at once, one
-    wholly out of reach is dropped, and only tiles on the rim that could still
-    lower the answer are split, into tiles of about four metres. Positions have
-    five decimals, so such a tile holds few distinct ones; these are compared.
+    probes: DataFrame, partners: DataFrame, radius_m: float, window_min: int, nearest: bool
+) -> tuple[list[DataFrame], DataFrame]:
+    """(tables of sites surely reached, site and partner rows of the rest) for crowded groups.
+
+    The work grows with the sites and not their product. A site meets the tiles that hold partners, at most 256 per
+    slot and block; of a tile's minutes the first and last in a slot decide. A tile wholly out of reach is dropped.
+    For the nearest partner, tiles further away than the far corner of another one are dropped too; otherwise a
+    tile wholly in reach answers for the site. The tiles left are split into tiles of about four metres. Positions
+    have five decimals, so such a tile holds few distinct ones; these are compared.
     """
-    inside, known = [], []
+    inside, sure = [], []
     for level, parts in enumerate((16, 256)):
         side = radius_m / parts
         tx, ty = f"_tx{level}", f"_ty{level}"
@@ -165,34 +168,36 @@ def _by_tiles(
             ty, F.floor(F.col("_py") / side)
         )
         tile = [*_PARTNER_KEY, *inside, tx, ty]
-        tiles = partners.groupBy(*tile, "_pm").agg(F.min("_t").alias("_t"))
+        tiles = partners.groupBy(*tile).agg(F.min("_pm").alias("_first"), F.max("_pm").alias("_last"))
+        # a slot is as long as the window, so its extremes tell whether any of its minutes fits
+        in_time = (F.col("_last") >= F.col("_m") - window_min) & (F.col("_first") <= F.col("_m") + window_min)
         gap, span = [], []
         for axis, t in (("_x", tx), ("_y", ty)):
             low, high = F.col(t) * side - F.col(axis), F.col(axis) - (F.col(t) + 1) * side
             gap.append(F.greatest(low, high, F.lit(0.0)))
             span.append(F.greatest(F.abs(low), F.abs(high)))
         norm = lambda d: F.sqrt(d[0] * d[0] + d[1] * d[1])
-        slack = 1e-6  # metres; borders are left to the finer comparison
+        slack = 0.01  # metres; borders are left to the finer comparison
         met = written(
             salted_join(
                 probes, tiles, [*_PARTNER_KEY, *inside], ["_x", "_y", "_m"], how="inner", heavy_work=True
             )
-            .where(_in_time(window_min) & (norm(gap) <= radius_m + slack))
-            .select(*_SITE, *tile[1:], "_t", (norm(span) <= radius_m - slack).alias("_whole")),
+            .where(in_time & (norm(gap) <= radius_m + slack))
+            .select(*_SITE, *tile[1:], norm(gap).alias("_gap"), norm(span).alias("_span")),
             "tiles",
         )
-        known.append(met.where("_whole").select(*_SITE, "_t"))
-        best = reduce(DataFrame.unionByName, known).groupBy(*_SITE).agg(F.min("_t").alias("_best"))
-        probes = (
-            met.where("NOT _whole").join(best, _SITE, "left")
-            .where(F.col("_best").isNull() | (F.col("_t") < F.col("_best")))
-            .select(*_SITE, *tile[1:]).distinct()
-        )
+        if nearest:
+            bound = met.groupBy(*_SITE).agg(F.min("_span").alias("_bound"))
+            left = met.join(bound, _SITE).where(F.col("_gap") <= F.col("_bound") + slack)
+        else:
+            sure.append(met.where(F.col("_span") <= radius_m - slack).select(*_SITE).distinct())
+            left = met.join(sure[-1], _SITE, "left_anti")
+        probes = left.select(*_SITE, *tile[1:])
         inside += [tx, ty]
     rim = salted_join(
         probes, partners, [*_PARTNER_KEY, *inside], ["_x", "_y", "_m"], how="inner", heavy_work=True
     ).where(_close(radius_m, window_min))
-    return reduce(DataFrame.unionByName, known).unionByName(rim.select(*_SITE, "_t"))
+    return sure, rim
 
 
 def confirmed_sites(
@@ -214,8 +219,8 @@ def confirmed_sites(
     )
     open_sites = marked.where(~F.col("_sure")).select(*_SITE)
     targets = sites.select(*_SITE, F.lit(0).cast("bigint").alias("_t"))
-    beyond = _least_partner(open_sites, targets, radius_m, window_min, any_one=True)
-    confirmed = marked.where("_sure").select(*_SITE).unionByName(beyond.select(*_SITE))
+    beyond = _reached(open_sites, targets, radius_m, window_min, nearest=False)
+    confirmed = marked.where("_sure").select(*_SITE).unionByName(beyond)
     return sites, confirmed
 
 
@@ -240,20 +245,12 @@ def with_co_confirmed(
 def first_partners(
     df: DataFrame, radius_m: float = RADIUS_M, window_min: int = WINDOW_MIN
 ) -> DataFrame:
-    """(detection_id, partner_id): one confirming detection of another source for each confirmed one.
+    """(detection_id, partner_id): the nearest detection of another source for each confirmed one, then the lowest id.
 
-    The partner is the lowest id in the own cell if there is one, else the
-    lowest id in reach. One row per confirmed detection, where a list of all
-    pairs would be quadratic in a crowded cell. Runs once per source name, of
-    which there are as many as sensors.
+    One row per confirmed detection, where a list of all pairs would be quadratic in a crowded place.
     """
     rows = written(located(df, radius_m).select("detection_id", *_SITE), "located")
-    sources = sorted(r[0] for r in rows.select("_s").distinct().collect())
-    parts = [
-        _keepers(rows.where(F.col("_s") == s), rows.where(F.col("_s") != s), radius_m, window_min)
-        for s in sources
-    ]
-    return reduce(DataFrame.unionByName, parts).withColumnRenamed("keeper_id", "partner_id")
+    return _keepers(rows, rows, radius_m, window_min).withColumnRenamed("keeper_id", "partner_id")
 
 
 # ---------------------------------------------------------------------------
@@ -265,35 +262,19 @@ KEEP_ORDER = ("VIIRS_SNPP", "VIIRS_NOAA20", "MODIS")
 MERGED_SUFFIX = "+MODIS"
 
 
+#: Each source is one pass of the merge, as what it keeps depends on the sources before.
+MAX_SOURCES = 50
+
+
 def _keepers(
     queries: DataFrame, targets: DataFrame, radius_m: float, window_min: int
 ) -> DataFrame:
-    """(detection_id, keeper_id) for each query row with a partner among ``targets``.
-
-    The keeper is the lowest id in the query's own cell if that cell has a
-    partner, else the lowest id among the neighbours within the radius.
-    """
-    moment = [*_CELL, "_m"]
-    least = targets.groupBy(*moment).agg(F.min("detection_id").alias("_t"))
-    asked = queries.select(*moment).distinct()
-    near = Window.partitionBy(*_CELL).orderBy("_m").rangeBetween(-window_min, window_min)
-    own = (
-        least.withColumn("_q", F.lit(False))
-        .unionByName(asked.withColumn("_q", F.lit(True)).withColumn("_t", F.lit(None).cast("bigint")))
-        .withColumn("_own", F.min("_t").over(near))
-        .where("_q")
-        .select(*moment, "_own")
-    )
+    """(detection_id, keeper_id) for each query row with a partner among ``targets``: the nearest, then the lowest id."""
     narrow = queries.select(*_SITE, "detection_id")
-    first = written(salted_join(narrow, own, moment, ["detection_id"], how="inner"), "keepers")
-    settled = first.where("_own IS NOT NULL").select("detection_id", F.col("_own").alias("keeper_id"))
-
-    open_rows = first.where("_own IS NULL").select(*_SITE, "detection_id")
-    open_sites = open_rows.select(*_SITE).distinct()
     target_sites = targets.groupBy(*_SITE).agg(F.min("detection_id").alias("_t"))
-    found = _least_partner(open_sites, target_sites, radius_m, window_min, any_one=False)
-    reached = salted_join(open_rows, found, _SITE, ["detection_id"], how="inner")
-    return settled.unionByName(reached.select("detection_id", F.col("_t").alias("keeper_id")))
+    found = _reached(narrow.select(*_SITE).distinct(), target_sites, radius_m, window_min, nearest=True)
+    joined = salted_join(narrow, found, _SITE, ["detection_id"], how="inner")
+    return joined.select("detection_id", F.col("_t").alias("keeper_id"))
 
 
 def merge_coincident(
@@ -302,19 +283,22 @@ def merge_coincident(
 ) -> DataFrame:
     """Merges confirmed detections into one record each, in a fixed order.
 
-    Sources are taken in ``keep_order``: a detection that has a kept partner
-    from an earlier source is dropped and absorbed by one of them, which then
-    carries the larger FRP and a source suffix (once). A keeper whose own FRP
-    is missing keeps it missing. Sources not listed are flagged but not merged.
+    Sources are taken in ``keep_order``, others after these by name: a detection
+    that has a kept partner from an earlier source is dropped and absorbed by
+    the nearest of them (then the lowest id), which then carries the larger FRP
+    and a source suffix (once). A keeper whose own FRP is missing keeps it missing.
     """
     flagged = with_co_confirmed(df, radius_m, window_min)
     rows = written(
         located(flagged.where("co_confirmed"), radius_m).select("detection_id", "frp", *_SITE),
         "confirmed",
     )
+    others = rows.where(~F.col("_s").isin(*keep_order)).select("_s").distinct().limit(MAX_SOURCES + 1).collect()
+    if len(others) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources besides {keep_order}")
     kept = rows.where(F.col("_s") == keep_order[0])
     dropped = None
-    for source in keep_order[1:]:
+    for source in (*keep_order[1:], *sorted(r[0] for r in others)):
         candidates = rows.where(F.col("_s") == source)
         gone = written(_keepers(candidates, kept, radius_m, window_min), "absorbed")
         dropped = gone if dropped is None else dropped.unionByName(gone)

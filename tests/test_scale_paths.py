@@ -71,8 +71,8 @@ def test_merge_equals_greedy(spark, skewed, monkeypatch, crowded):
         for a, b in pairs:
             earlier = order.index(b["satellite_source"]) < order.index(source)
             if a["satellite_source"] == source and earlier and b["detection_id"] not in gone:
-                same = (a["_cx"], a["_cy"]) == (b["_cx"], b["_cy"])
-                found.setdefault(a["detection_id"], []).append((not same, b["detection_id"]))
+                mm = int(((a["_x"] - b["_x"]) ** 2 + (a["_y"] - b["_y"]) ** 2) ** 0.5 * 1000)
+                found.setdefault(a["detection_id"], []).append((mm, b["detection_id"]))
         gone.update({k: min(v)[1] for k, v in found.items()})
     got = {r["detection_id"]: r for r in coincidence.merge_coincident(df).collect()}
     assert set(got) == set(frp) - set(gone)
@@ -82,6 +82,21 @@ def test_merge_equals_greedy(spark, skewed, monkeypatch, crowded):
         assert got[keeper]["frp"] == want and got[keeper]["satellite_source"].endswith("+MODIS")
 
 
+def test_partners_do_not_depend_on_the_grid(spark):
+    """Moved along the meridian, three detections and their distances stay as they are."""
+    degree = 1 / 111_194.93
+    rows = [(1, "VIIRS_SNPP", -600.0), (2, "VIIRS_SNPP", 20.0), (3, "MODIS", 30.0), (4, "LANDSAT", 45.0)]
+    for shift in (0.0, 100.0, 333.0, 650.0):
+        df = spark.createDataFrame(
+            [(i, s, 20 + (m + shift) * degree, 80.0, 600, float(i)) for i, s, m in rows],
+            "detection_id long, satellite_source string, latitude double, longitude double, acq_time int, frp double",
+        ).withColumn("acq_date", F.to_date(F.lit("2024-01-01")))
+        got = {tuple(r) for r in coincidence.first_partners(df).collect()}
+        assert got == {(1, 3), (2, 3), (3, 2), (4, 3)}
+        merged = {r["detection_id"]: (r["frp"], r["satellite_source"]) for r in coincidence.merge_coincident(df).collect()}
+        assert merged == {1: (1.0, "VIIRS_SNPP"), 2: (4.0, "VIIRS_SNPP+MODIS")}
+
+
 def test_frequency_with_hot_cell(spark, skewed):
     df = crowd(spark)
     cell = [F.rint(F.col(c) / 0.01).cast("bigint") for c in ("latitude", "longitude")]
