@@ -193,10 +193,11 @@ def stratified_folds(
 
 def with_label_noise(
     df: DataFrame, share: float = 0.05, col: str = "category",
-    id_col: str = "detection_id", seed: int = 7,
+    id_col: str = "detection_id", seed: int = 7, to: str | None = None,
 ) -> DataFrame:
     """Replaces exactly max(1, int(share*n)) labels by a uniform pick among the labels
-    present, which may be the old one."""
+    present, which may be the old one. The result goes to the column ``to``, by default
+    in place."""
     labels: list = []
 
     def plan(n: dict) -> dict:
@@ -206,12 +207,12 @@ def with_label_noise(
     sizes = hash_cuts(df, id_col, seed, plan, by=col).sizes
     total = sum(sizes.values())
     if total == 0:
-        return df
+        return df.withColumn(to or col, F.col(col))
     cut = hash_cuts(df, id_col, seed, lambda n: {"all": [max(1, int(total * share))]})
     draw = F.conv(F.substring(hash_key(id_col, f"{seed}-label"), 1, 8), 16, 10).cast("bigint")
     pick = F.element_at(
         F.array(*[F.lit(s) for s in labels]), (draw % len(labels) + 1).cast("int")
     )
     return df.withColumn(
-        col, F.when(up_to(cut.keys["all"][0], id_col, seed), pick).otherwise(F.col(col))
+        to or col, F.when(up_to(cut.keys["all"][0], id_col, seed), pick).otherwise(F.col(col))
     )

@@ -50,8 +50,7 @@ def featured(spark: SparkSession, sf_dir: str, mode: Mode = NRT) -> DataFrame:
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule label as truth and the noisy label as prediction."""
     rows = written(ruled(spark, sf_dir).select("detection_id", "category"), "ruled")
-    noisy = sampling.with_label_noise(rows)
-    return noisy.withColumnRenamed("category", "predicted_category").join(rows, "detection_id")
+    return sampling.with_label_noise(rows, to="predicted_category")
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
