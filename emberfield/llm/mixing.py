@@ -109,13 +109,14 @@ def shard_quotas(sources: DataFrame, shards: int = SHARDS, seed: int = SEED, bun
         height += 1
     total = own.agg(F.sum("k")).first()[0] or 0.0
     even = F.transform(F.sequence(F.lit(0), F.lit(shards)), lambda m: F.floor(F.lit(total) * m / shards).cast("bigint"))
-    cuts = own.groupBy().agg(F.lit(0).cast("bigint").alias("id")).select("id", even.alias("cuts"))
+    cuts = None
     for level in reversed(range(height)):
         members = own.groupBy(F.floor(F.col("id") / bundle**level).cast("bigint").alias("sid")).agg(F.sum("k").alias("k"))
         bundles = members.groupBy(F.floor(F.col("sid") / bundle).cast("bigint").alias("id")).agg(
             F.array_sort(F.collect_list(F.struct("sid", "k"))).alias("counts")
         )
-        cuts = _split(bundles.join(cuts, "id"), shards, f"{seed}, {level}").withColumnRenamed("sid", "id")
+        known = bundles.withColumn("cuts", even) if cuts is None else bundles.join(cuts, "id")  # the top is one bundle
+        cuts = _split(known, shards, f"{seed}, {level}").withColumnRenamed("sid", "id")
     return cuts.withColumnRenamed("id", "sid")
 
 
