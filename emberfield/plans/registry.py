@@ -498,7 +498,7 @@ def explain_text(spark, sf_dir):
     return attribution.explain_text(long, verdicts)
 
 
-# --- learning (rows only: no SQL equivalent) ---------------------------------
+# --- learning (SQL states counts and properties; scores themselves have none) ---------------------------------
 
 
 def _training_rows(spark, sf_dir) -> DataFrame:
@@ -511,18 +511,58 @@ def train_and_evaluate(spark, sf_dir):
     return metrics.classification_report(scored)
 
 
-@query
-def score_batch(spark, sf_dir):
+def _scored_by_stored_model(spark, sf_dir) -> DataFrame:
     """Train, store the model, load it again and score every detection."""
     rows = _training_rows(spark, sf_dir)
     model, _ = learning.train_and_evaluate(rows, learning.forest(numTrees=20))
     path = work_path(spark, "model")
     learning.save_model(model, path)
-    return learning.score(learning.load_model(path), rows).select(
+    return learning.score(learning.load_model(path), rows)
+
+
+@query
+def score_batch(spark, sf_dir):
+    return _scored_by_stored_model(spark, sf_dir).select(
         "detection_id", "category", "predicted_category", "confidence_pct"
     )
 
 
+@query
+def score_validity(spark, sf_dir):
+    """Every detection scored once: number of classes, sum of probabilities, whether the confidence is the largest one."""
+    p = F.col("probabilities")
+    return _scored_by_stored_model(spark, sf_dir).select(
+        "detection_id", F.size(p).alias("n_classes"),
+        half_even(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), 6).alias("probability_sum"),
+        ((F.array_min(p) >= 0) & (F.abs(F.array_max(p) * 100 - F.col("confidence_pct")) < 1e-9)).alias("confident"),
+    )
+
+
+@query
+def evaluation_support(spark, sf_dir):
+    """Held-out rows per class as the rows of a trained model's confusion matrix; whether it beats the largest class."""
+    _, scored = learning.train_and_evaluate(_training_rows(spark, sf_dir), learning.forest(numTrees=20))
+    scored = written(scored, "scored")
+    table = metrics.confusion_matrix(scored, CATEGORIES)
+    support = sum((F.col(f"`{c}`") for c in CATEGORIES), F.lit(0))
+    table = table.select(F.col("truth").alias("category"), support.cast("long").alias("support"))
+    largest = table.agg(F.max("support")).first()[0] or 0
+    hits = scored.where(F.col("category") == F.col("predicted_category")).count()
+    return table.withColumn("beats_largest", F.lit(hits > largest))
+
+
+@query
+def curve_rows(spark, sf_dir):
+    """Mean training rows of a short learning curve, and whether its scores are shares."""
+    curve = learning.learning_curve(
+        _training_rows(spark, sf_dir), shares=(0.5, 1.0), classifier=learning.forest(numTrees=3, maxDepth=4)
+    )
+    return curve.select(
+        "share", half_even(F.col("train_rows"), 6).alias("train_rows"),
+        (F.col("train_mean").between(0, 1) & F.col("held_out_mean").between(0, 1)).alias("in_range"),
+    )
+
+
 @query
 def cv_summary(spark, sf_dir):
     return learning.cv_summary(_training_rows(spark, sf_dir), learning.forest(numTrees=20))
