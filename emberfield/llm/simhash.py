@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .components import components
-from .texts import by_batch, strings
+from .exact import content_digest
+from .texts import by_batch, strings, whole
 
 SHINGLE = 3
 HASH_SEED = 42
@@ -42,14 +43,17 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > last, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as the bits of a long."""
+def fingerprints(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint of every whole text as the bits of a long; with ``digest`` also the text's hash."""
+    more = [content_digest(whole("text")).alias("digest")] if digest else []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t) for t in strings(batch.column(1))], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        columns = [batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", *batch.schema.names[2:]])
 
-    return by_batch(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, fp long" + (", digest binary" if digest else "")
+    return by_batch(docs.select("doc_id", "text", *more), run, schema)
 
 
 # --- the trie ----------------------------------------------------------------------------------------------------
@@ -246,22 +250,31 @@ def near_groups(docs: DataFrame, most: int = MOST_BITS, group_rows: int = GROUP_
     Only distinct fingerprints are compared, so copies cost one row each.
     """
     rows = written(fingerprints(docs), "simhash-fingerprints")
+    return rows.join(_components_of(rows, most, group_rows), "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def _components_of(rows: DataFrame, most: int, group_rows: int) -> DataFrame:
+    """(fp, component_id) of the distinct fingerprints among ``rows`` (doc_id, fp)."""
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
     roots = components(linked(distinct.select("fp"), most, group_rows))
     named = roots.join(distinct, roots["node"] == distinct["fp"]).select("fp", "root", "least_id")
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_fp = distinct.join(named.select("fp", "root").join(ids, "root").drop("root"), "fp", "left").select(
+    return distinct.join(named.select("fp", "root").join(ids, "root").drop("root"), "fp", "left").select(
         "fp", F.coalesce("component_id", "least_id").alias("component_id")
     )
-    return rows.join(of_fp, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the near copies: of each group the document with the smallest doc_id stays.
 
-    Rows that repeat this doc_id all stay; rows without an id stay only in groups where no row has one.
+    Every row is judged by its id and its text, so an id that comes with several texts loses only those that are
+    copies. Rows of a group that share its smallest doc_id all stay; rows without an id stay only in groups where no
+    row has one.
     """
-    gone = near_groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone.distinct(), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    rows = written(fingerprints(docs, digest=True), "simhash-fingerprints")
+    gone = rows.join(_components_of(rows, MOST_BITS, GROUP_ROWS), "fp").where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (content_digest(whole("text")) == F.col("gone_digest"))
+    return docs.join(gone, same, "left_anti")
