@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import SPACES, bounded_sample, by_batch, strings
+from .texts import SPACES, bounded_sample, by_batch, sampled_texts, strings
 from .trees import FlatTrees, fit_trees
 
 #: Labelled documents that a fit may use at most.
@@ -89,20 +89,22 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_
     """Trees for ``labels.quality`` from at most ``max_fit_rows`` labelled documents, the only thing the driver collects.
 
     Rows without a label or an id are not used; without both classes the score is constant. The sample of
-    labels has a fixed bound and is broadcast, so texts are measured where they are read.
+    labels has a fixed bound and is broadcast, so texts are measured where they are read. An id's texts count once
+    each, and what they make of the sample is bounded by hash again.
     """
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality")
-    known = bounded_sample(known, max_fit_rows, "doc_id", "quality").withColumnRenamed("doc_id", "label_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("text", "quality")
+    known = bounded_sample(known, max_fit_rows, "doc_id", "quality").withColumnRenamed("doc_id", "sample_id")
+    rows = sampled_texts(docs, known, max_fit_rows, "quality")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = np.array([measure(t)[1] for t in strings(batch.column(0))])
-        return pa.RecordBatch.from_arrays([*map(pa.array, values.T), batch.column(1)], [*FEATURES, "quality"])
-
-    schema = ", ".join([*[f"{f} double" for f in FEATURES], "quality int"])
-    got = np.array(by_batch(rows.withColumn("quality", F.col("quality").cast("int")), run, schema).collect(), float)
-    got = got.reshape(-1, len(FEATURES) + 1)
-    got = got[np.lexsort(got.T)][:max_fit_rows]
+        values = np.array([measure(t)[1] for t in strings(batch.column(2))])
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *map(pa.array, values.T), batch.column(3)], ["doc_id", "digest", *FEATURES, "quality"])
+
+    schema = ", ".join([f"doc_id {dict(docs.dtypes)['doc_id']}, digest string", *[f"{f} double" for f in FEATURES], "quality int"])
+    measured = by_batch(rows.withColumn("quality", F.col("quality").cast("int")), run, schema)
+    measured = measured.dropDuplicates(["doc_id", "digest", "quality"])
+    got = np.array(measured.select(*FEATURES, "quality").collect(), float).reshape(-1, len(FEATURES) + 1)
+    got = got[np.lexsort(got.T)]
     return fit_trees(got[:, :-1], got[:, -1], SIGNS)
 
 

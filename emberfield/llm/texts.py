@@ -53,6 +53,20 @@ def bounded_sample(rows: DataFrame, bound: int, *key: str) -> DataFrame:
     return rows.orderBy(rank, *key).limit(bound)
 
 
+def sampled_texts(docs: DataFrame, known: DataFrame, bound: int, *values: str) -> DataFrame:
+    """(doc_id, digest, text, *values): the texts of a bounded table ``known`` (sample_id, *values).
+
+    An id can repeat in ``docs``, so (id, text) pairs are counted and bounded once more, before any text leaves its
+    task. Equal rows come as often as in ``docs``; drop duplicates of (doc_id, digest, *values) once texts are measured.
+    """
+    rows = docs.select("doc_id", "text").withColumn("digest", F.md5(whole("text")))
+    at = F.col("doc_id") == F.col("sample_id")
+    pairs = rows.join(F.broadcast(known), at).select("sample_id", "digest", *values).distinct()
+    chosen = bounded_sample(pairs, bound, "sample_id", "digest", *values).withColumnRenamed("digest", "sample_digest")
+    both = at & (F.col("digest") == F.col("sample_digest"))
+    return rows.join(F.broadcast(chosen), both).select("doc_id", "digest", "text", *values)
+
+
 #: Bytes of Arrow data that a worker turns into Python objects at once (one row at least).
 SLICE_BYTES = 4 << 20
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .texts import bounded_sample, by_batch, strings
+from .texts import bounded_sample, by_batch, sampled_texts, strings
 
 FEATURE_BITS = 18
 STARTS = (5, 6, 7)
@@ -137,19 +137,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_FIT
     """
     known = labels.where(~held_out(F.col("doc_id"))).where("toxic is not null and doc_id is not null").select("doc_id", "toxic")
     n, toxic = known.agg(F.count(F.lit(1)), F.sum((F.col("toxic") == 1).cast("int"))).first()
-    ids = docs.where(~held_out(F.col("doc_id"))).select("doc_id").where("doc_id is not null")
-    chosen = bounded_sample(known.where("toxic = 1").select("doc_id").distinct(), max_positive, "doc_id").withColumn("positive", F.lit(1))
-    plain = bounded_sample(ids, max_unlabelled, "doc_id").withColumn("positive", F.lit(0))
-    chosen = chosen.unionByName(plain).withColumnRenamed("doc_id", "sample_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("sample_id")).select("doc_id", "text", "positive")
+    free = docs.where(~held_out(F.col("doc_id"))).where("doc_id is not null")
+    known = known.where("toxic = 1").select("doc_id").distinct()
+    parts = []
+    for ids, bound, positive in ((known, max_positive, 1), (free.select("doc_id").distinct(), max_unlabelled, 0)):
+        chosen = bounded_sample(ids, bound, "doc_id").select(F.col("doc_id").alias("sample_id"), F.lit(positive).alias("positive"))
+        parts.append(sampled_texts(free, chosen, bound, "positive"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [np.sort(features(t)).astype("<i4").tobytes() for t in strings(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(2), pa.array(found, pa.binary())], ["positive", "found"])
+        found = [np.sort(features(t)).astype("<i4").tobytes() for t in strings(batch.column(2))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(found, pa.binary())], ["doc_id", "digest", "positive", "found"])
 
-    got = sorted((r["positive"], bytes(r["found"])) for r in by_batch(rows, run, "positive int, found binary").collect())
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, digest string, positive int, found binary"
+    measured = by_batch(parts[0].unionByName(parts[1]), run, schema).dropDuplicates(["doc_id", "digest", "positive"])
+    got = sorted((r["positive"], bytes(r["found"])) for r in measured.select("positive", "found").collect())
     side = lambda k: [np.frombuffer(x, "<i4") for p, x in got if p == k]
-    return fit_nnpu(side(1)[:max_positive], side(0)[:max_unlabelled], (toxic or 0) / max(n, 1))
+    return fit_nnpu(side(1), side(0), (toxic or 0) / max(n, 1))
 
 
 def toxicity_scores(docs: DataFrame, model: Linear, threshold: float = THRESHOLD) -> DataFrame:
