@@ -9,14 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import written
 from .texts import by_batch, strings
 
 #: Bytes that the rolling hash sees, mean chunk length, longest chunk.
 GEAR_WINDOW = 16
 MEAN_CHUNK = 32
 LONGEST_CHUNK = 256
-#: A repeated stretch counts from this many bytes of whole chunks on.
+#: A repeated stretch counts from this many bytes on.
 LEAST_BYTES = 100
+#: Bytes beside a chunk whose hash it carries, and bytes compared beside a run of repeated chunks: a natural cut
+#: depends on 16 bytes, so equal text never reaches further than a chunk and these bytes without sharing a chunk.
+CONTEXT = 32
+REACH = 2 * LONGEST_CHUNK
 GEAR_SEED = 2024
 
 #: One 32-bit number per byte value.
@@ -40,7 +45,7 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
     """Where chunks end: after bytes whose hash has its lowest values, and where a chunk would grow too long.
 
     A cut depends on the 16 bytes before it alone, so insertions shift no later cut; forced cuts of an overlong chunk
-    start from the cut before it.
+    fall on the last lowest hash of the second half, so a repeated word is cut alike wherever it starts.
     """
     n = len(data)
     if not n:
@@ -52,70 +57,166 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
         ends = np.append(ends, n)
     gaps = np.diff(ends, prepend=0)
     if gaps.max() > LONGEST_CHUNK:
-        extra = [np.arange(e - g + LONGEST_CHUNK, e, LONGEST_CHUNK) for e, g in zip(ends[gaps > LONGEST_CHUNK], gaps[gaps > LONGEST_CHUNK])]
-        ends = np.sort(np.concatenate([ends, *extra]))
+        extra = []
+        for at, end in zip((ends - gaps)[gaps > LONGEST_CHUNK].tolist(), ends[gaps > LONGEST_CHUNK].tolist()):
+            while end - at > LONGEST_CHUNK:
+                back = mixed[at + LONGEST_CHUNK // 2:at + LONGEST_CHUNK][::-1]
+                at += LONGEST_CHUNK - int(back.argmin())
+                extra.append(at)
+        ends = np.sort(np.concatenate([ends, extra])).astype(np.int64)
     return ends
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, d0, d1, start, stop): every chunk of every whole text in bytes of UTF-8, with its 128-bit digest."""
+    """(doc_id, d0, d1, start, stop, beside): every chunk of every whole text in bytes of UTF-8, with its 128-bit digest.
+
+    ``beside`` holds the 32-bit hashes of the ``CONTEXT`` bytes before and after the chunk.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, digests, starts, stops = [], [], [], []
-        digest = xxhash.xxh3_128_digest
+        ids, digests, starts, stops, beside = [], [], [], [], []
+        digest, short = xxhash.xxh3_128_digest, xxhash.xxh32_intdigest
         for row, text in enumerate(strings(batch.column(1))):
             data = text.encode("utf-8", "surrogatepass")
             ends = chunk_ends(np.frombuffer(data, np.uint8))
             begin = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
             digests += [digest(data[a:b]) for a, b in zip(begin.tolist(), ends.tolist())]
+            before = np.array([short(data[max(0, a - CONTEXT):a]) for a in [*begin.tolist(), len(data)]], np.uint64)
+            after = np.array([short(data[b:b + CONTEXT]) for b in ends.tolist()], np.uint64)
+            beside.append((before[:-1] << np.uint64(32) | after).view(np.int64))
             ids.append(np.full(len(ends), row))
             starts.append(begin)
             stops.append(ends)
         rows = pa.array(np.concatenate(ids))
         halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
         columns = [batch.column(0).take(rows), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
-                   pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(stops).astype(np.int32))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "d0", "d1", "start", "stop"])
+                   pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(stops).astype(np.int32)), pa.array(np.concatenate(beside))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "d0", "d1", "start", "stop", "beside"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return by_batch(docs.select("doc_id", "text"), run, f"doc_id {kind}, d0 long, d1 long, start int, stop int")
+    return by_batch(docs.select("doc_id", "text"), run, f"doc_id {kind}, d0 long, d1 long, start int, stop int, beside long")
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, stop, first_doc_id): chunks whose digest also comes in an earlier place.
+    """(doc_id, start, stop, first_doc_id, first_start, left, right): chunks whose digest also comes in an earlier place.
 
-    The first place, by doc_id and then by start, keeps its chunk. Counts and first places meet in map-side aggregates;
+    The first place, by doc_id and then by start, keeps its chunk. ``left`` and ``right`` tell whether the bytes
+    beside both places may be equal. Counts and first places meet in map-side aggregates;
     the rows of a very frequent chunk are the long side of a join, which adaptive execution splits.
     """
     pieces = chunks(docs).where("doc_id is not null")
     first = pieces.groupBy("d0", "d1").agg(
-        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc_id")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "beside")).alias("first")
     ).where("n > 1").drop("n")
-    return pieces.join(first, ["d0", "d1"]).select("doc_id", "start", "stop", "first_doc_id")
+    high = lambda c: F.shiftright(c, 32)
+    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    hits = pieces.join(first, ["d0", "d1"]).where(F.struct("first.doc_id", "first.start") < F.struct("doc_id", "start"))
+    return hits.select(
+        "doc_id", "start", "stop", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"),
+        (high("beside") == high("first.beside")).alias("left"), (low("beside") == low("first.beside")).alias("right"),
+    )
 
 
-def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """doc_id, start, stop, first_doc_ids, n_chunks: stretches of a text that come in an earlier document.
+def _beside(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, at, side, bytes) for the places (doc_id, at, side): what stands after (odd side) or, backwards, before it.
 
-    Bytes of the UTF-8 text, end exclusive. Neighbouring repeated chunks whose first document is an earlier one form
-    a stretch; stretches under ``least_bytes`` do not count. ``first_doc_ids`` lists the documents that come
-    first with at least ``least_bytes`` of it, where the text stays. Rows without doc_id or text have none; repeated rows of one doc_id are one document; other columns
-    are ignored; an empty table gives an empty result. Text repeated only within one document stays.
+    Sides from 2 on reach over ``REACH`` bytes, others over ``CONTEXT``.
     """
-    hits = repeated_chunks(docs).where("first_doc_id < doc_id").dropDuplicates(["doc_id", "start"])
-    # the window holds one document's repeated chunks
+    per_doc = wanted.distinct().groupBy(F.col("doc_id").alias("want_id")).agg(F.collect_list(F.struct("at", "side")).alias("places"))
+    rows = docs.select("doc_id", "text").join(per_doc, F.col("doc_id") == F.col("want_id")).select("doc_id", "text", "places")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, ats, sides, found = [], [], [], []
+        for row, (text, places) in enumerate(zip(strings(batch.column(1)), batch.column(2).to_pylist())):
+            data = text.encode("utf-8", "surrogatepass")
+            for place in places:
+                at, side = place["at"], place["side"]
+                ids.append(row)
+                ats.append(at)
+                sides.append(side)
+                reach = REACH if side >= 2 else CONTEXT
+                found.append(data[at:at + reach] if side % 2 else data[max(0, at - reach):at][::-1])
+        columns = [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(ats, pa.int32()), pa.array(sides, pa.int32()), pa.array(found, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "side", "bytes"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return by_batch(rows, run, f"doc_id {kind}, at int, side int, bytes binary").distinct()
+
+
+def _extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """``runs`` with start and stop moved over the bytes beside them that also stand beside their first places.
+
+    Inside one document neither side reaches into the other place.
+    """
+    edge = lambda side, at, first_at: F.struct((F.col(("left", "right")[side]).cast("int") * 2 + side).alias("side"), F.col(at).alias("at"), F.col(first_at).alias("first_at"))
+    edges = runs.select("doc_id", "run", F.col("first_doc_id").alias("first_id"), F.explode(F.array(
+        edge(0, "start", "first_start"), edge(1, "stop", "first_stop")
+    )).alias("e")).select("doc_id", "run", "first_id", "e.*")
+    places = edges.select("doc_id", "at", "side").unionByName(edges.select(F.col("first_id").alias("doc_id"), F.col("first_at").alias("at"), "side"))
+    texts = written(_beside(docs, places), "substring-edges")
+    firsts = texts.select(F.col("doc_id").alias("first_id"), F.col("at").alias("first_at"), "side", F.col("bytes").alias("first_bytes"))
+    both = edges.join(texts, ["doc_id", "at", "side"]).join(firsts, ["first_id", "first_at", "side"]).select("doc_id", "run", "side", "bytes", "first_bytes")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        more = []
+        for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            n = min(len(a), len(b))
+            differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+            more.append(n - (differ.bit_length() + 7) // 8)
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(more, pa.int32())], ["doc_id", "run", "side", "more"])
+
+    grown = by_batch(both, run, f"doc_id {dict(docs.dtypes)['doc_id']}, run long, side int, more int").groupBy("doc_id", "run").agg(
+        F.max(F.when(F.col("side") % 2 == 0, F.col("more"))).alias("more_left"), F.max(F.when(F.col("side") % 2 == 1, F.col("more"))).alias("more_right")
+    )
+    own = F.col("first_doc_id") == F.col("doc_id")
+    left, right = F.coalesce("more_left", F.lit(0)), F.coalesce("more_right", F.lit(0))
+    room = F.greatest(F.col("start") - F.col("first_stop"), F.lit(0))
+    left = F.when(own, F.least(left, room)).otherwise(left)
+    right = F.when(own, F.least(right, room - left)).otherwise(right)
+    return runs.join(grown, ["doc_id", "run"], "left").withColumns({"start": F.col("start") - left, "stop": F.col("stop") + right})
+
+
+def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """doc_id, start, stop, first_doc_ids, n_chunks: stretches of a text that come in an earlier place.
+
+    Bytes of the UTF-8 text, end exclusive. Chunks that follow one another here and at their first place form a run,
+    which grows to both sides as far as the bytes beside its first place are equal; runs that touch form one stretch. Stretches under
+    ``least_bytes`` do not count. An earlier place is an earlier document or the same one further up. ``first_doc_ids``
+    lists the documents that come first with at least ``least_bytes`` of it, where the text stays. Rows without doc_id
+    or text have none; repeated rows of one doc_id are one document; other columns are ignored; an empty table gives an
+    empty result.
+    """
+    hits = repeated_chunks(docs).dropDuplicates(["doc_id", "start"]).withColumn("first_stop", F.col("first_start") + F.col("stop") - F.col("start"))
+    # the windows hold one document's repeated chunks
     order = W.partitionBy("doc_id").orderBy("start")
-    fresh = F.when(F.col("start") == F.lag("stop").over(order), 0).otherwise(1)
-    runs = hits.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(order))
-    shared = runs.groupBy("doc_id", "run", "first_doc_id").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("stop") - F.col("start")).alias("bytes"),
+    near = F.coalesce(F.col("start") == F.lag("stop").over(order), F.lit(False))
+    along = near & (F.col("first_doc_id") == F.lag("first_doc_id").over(order)) & (F.col("first_start") == F.lag("first_stop").over(order))
+    runs = hits.withColumn("fresh", (~near).cast("int")).withColumn("turn", F.when(along, 0).otherwise(1))
+    runs = runs.withColumn("chain", F.sum("fresh").over(order)).withColumn("run", F.sum("turn").over(order))
+    runs = runs.groupBy("doc_id", "chain", "run").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_doc_id").alias("first_doc_id"),
+        F.min("first_start").alias("first_start"), F.max("first_stop").alias("first_stop"), F.count(F.lit(1)).alias("n"),
+        F.min_by("left", "start").alias("left"), F.max_by("right", "start").alias("right"),
+    )
+    # to grow by more than twice CONTEXT, one side at least must be equal over all of it
+    chain = W.partitionBy("doc_id", "chain")
+    size = F.max("stop").over(chain) - F.min("start").over(chain)
+    runs = runs.withColumn("may_grow", F.max(F.col("left") | F.col("right")).over(chain) | (size + 2 * (CONTEXT - 1) >= least_bytes))
+    runs = _extended(docs, written(runs.where("may_grow").drop("chain", "may_grow"), "substring-runs"))
+    order = W.partitionBy("doc_id").orderBy("start", "run")
+    reached = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
+    runs = runs.withColumn("apart", F.coalesce((F.col("start") > reached).cast("int"), F.lit(1)))
+    runs = runs.withColumn("stretch", F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    of_first = W.partitionBy("doc_id", "stretch", "first_doc_id").orderBy("start", "run").rowsBetween(W.unboundedPreceding, -1)
+    covered = F.greatest(F.col("start"), F.coalesce(F.max("stop").over(of_first), F.col("start")))
+    parts = runs.withColumn("fresh", F.greatest(F.col("stop") - covered, F.lit(0))).groupBy("doc_id", "stretch", "first_doc_id").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n"), F.sum("fresh").alias("bytes"),
     )
-    return shared.groupBy("doc_id", "run").agg(
+    return parts.groupBy("doc_id", "stretch").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"),
         F.array_sort(F.collect_list(F.when(F.col("bytes") >= least_bytes, F.col("first_doc_id")))).alias("first_doc_ids"),
         F.sum("n").alias("n_chunks"),
-    ).where(F.col("stop") - F.col("start") >= least_bytes).drop("run")
+    ).where(F.col("stop") - F.col("start") >= least_bytes).drop("stretch")
 
 
 def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
