@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, license, mixing, pii, quality, simhash, substring, toxicity, urls
+from . import bpe, codes, collocations, exact, license, mixing, neighbours, pii, quality, simhash, substring, toxicity, urls
 from .texts import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,9 +75,28 @@ def op10_license_scan(spark, sf_dir):
     return license.license_scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_vector_codes(spark, sf_dir):
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can state; the others are tested against brute force and held-out rows."""
-    return {"op6_exact_dedup": EXACT_SQL, "op10_license_scan": license.license_sql()}
+    return {
+        "op6_exact_dedup": EXACT_SQL, "op10_license_scan": license.license_sql(),
+        "op11_collocations": collocations.collocation_sql(), "op12_vector_codes": codes.codes_sql(),
+    }
 
 
 EXACT_SQL = """

@@ -71,12 +71,12 @@ def sampled_texts(docs: DataFrame, known: DataFrame, bound: int, *values: str) -
 SLICE_BYTES = 4 << 20
 
 
-def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``fn`` on every Arrow batch of ``df``, in slices of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+            step = max(1, batch.num_rows * slice_bytes // max(batch.nbytes, 1))
             for start in range(0, batch.num_rows, step):
                 yield fn(batch.slice(start, step))
 
