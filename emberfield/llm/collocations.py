@@ -19,10 +19,10 @@ LEAST_COUNT = 30
 COVERED_PERCENT = 80
 PER_LANG = 2000
 #: Bytes of text that make one sorted relation, and bytes of one text that are split into words at a time.
-RELATION_BYTES = 16 << 20
+RELATION_BYTES = 8 << 20
 SEGMENT_BYTES = 1 << 20
-#: Frequent keys are broadcast to their semi-join up to this many (8 bytes each), and shuffled beyond.
-BROADCAST_KEYS = 2_000_000
+#: Frequent keys go to every task for the semi-join up to this many (8 bytes each); beyond, the phrases are shuffled to them.
+BROADCAST_KEYS = 1_000_000
 
 BREAK = b"\xff"  # in no UTF-8 text
 _FOLD = bytearray(range(256))
@@ -72,7 +72,7 @@ def _lists(rows: list[dict], name: str, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(flat) if flat else pa.array([], kind))
 
 
-def _batch(rows: list[dict], **more: list) -> pa.RecordBatch:
+def _batch(rows: list[dict]) -> pa.RecordBatch:
     ints, longs, texts = pa.int32(), pa.int64(), pa.string()
     kinds = [ints, ints, ints, longs, texts, texts, longs]
     columns = [pa.array([r["lang"] for r in rows], texts), *[_lists(rows, n, k) for n, k in zip(_NAMES[1:], kinds)]]
@@ -132,8 +132,14 @@ def _groups(relations: DataFrame, size: int) -> DataFrame:
     return by_batch(relations.select("chunk", "lang", "tuples", "counts", "words"), run, "chunk long, item int, key long, n long")
 
 
-def _longer(relations: DataFrame, kept: DataFrame, size: int, longest: int) -> DataFrame:
-    """The relation of phrases of ``size`` + 1 words: two kept phrases at neighbouring places of one piece."""
+def _longer(relations: DataFrame, often: DataFrame, size: int, longest: int) -> DataFrame:
+    """The relation of phrases of ``size`` + 1 words: two phrases with a key in ``often`` at neighbouring places of one piece."""
+    keys, columns = None, ["lang", "step", "item", "tuples", "counts", "words"]
+    if often.count() <= BROADCAST_KEYS:
+        keys = np.sort(often.toArrow().column("key").to_numpy())
+    else:
+        kept = _groups(relations, size).join(often, "key", "left_semi").groupBy("chunk").agg(F.collect_list("item").alias("kept"))
+        relations, columns = relations.join(kept, "chunk"), [*columns, "kept"]
 
     def extend(lang: str, at: np.ndarray, item: np.ndarray, tuples: np.ndarray, counts: np.ndarray, words: pa.Array, keep: np.ndarray) -> dict:
         done = pc.binary_join_element_wise(*[words.take(pa.array(c)) for c in tuples[keep].T], " ")
@@ -152,12 +158,17 @@ def _longer(relations: DataFrame, kept: DataFrame, size: int, longest: int) -> D
         rows = []
         for row, lang in enumerate(batch.column(0).to_pylist()):
             step, item, tuples, counts = (_array(batch.column(c), row) for c in (1, 2, 3, 4))
-            keep = np.sort(_array(batch.column(6), row))
-            rows.append(extend(lang, np.cumsum(step, dtype=np.int64), item, tuples.reshape(-1, size), counts, batch.column(5)[row].values, keep))
+            words, tuples = batch.column(5)[row].values, tuples.reshape(-1, size)
+            if keys is None:
+                keep = np.sort(_array(batch.column(6), row))
+            else:
+                own = _keys(lang, tuples, words)
+                keep = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own) if len(keys) else np.empty(0, np.int64)
+            if len(keep):
+                rows.append(extend(lang, np.cumsum(step, dtype=np.int64), item, tuples, counts, words, keep))
         return _batch(rows)
 
-    both = relations.join(kept, "chunk").select("lang", "step", "item", "tuples", "counts", "words", "kept")
-    return by_batch(both, run, _RELATION)
+    return by_batch(relations.select(*columns), run, _RELATION)
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_COUNT) -> tuple[DataFrame, DataFrame]:
@@ -167,19 +178,15 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     ``least`` leave by a semi-join, and those that stay meet at neighbouring places. The semi-join goes by 64-bit keys
     summed over the corpus: a collision lets a rare phrase pass to the next level and no more, since the result counts
     the phrases themselves. Only phrases, never their occurrences, are shuffled by key; a very common one is one row
-    per relation at most.
+    per relation at most. Up to ``BROADCAST_KEYS`` frequent keys the relations stay where they are.
     """
     numbered = lambda rel, k: written(rel.withColumn("chunk", F.monotonically_increasing_id()), f"occurrences-{k}")
     relations = numbered(occurrences(docs), 1)
     totals = relations.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
     found = []
     for size in range(1, longest + 1):
-        groups = _groups(relations, size)
-        often = written(groups.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"), "frequent-keys")
-        if often.count() <= BROADCAST_KEYS:
-            often = F.broadcast(often)
-        kept = groups.join(often, "key", "left_semi").groupBy("chunk").agg(F.collect_list("item").alias("kept"))
-        relations = numbered(_longer(relations, kept, size, longest), size + 1)
+        often = written(_groups(relations, size).select("key", "n").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"), "frequent-keys")
+        relations = numbered(_longer(relations, often, size, longest), size + 1)
         done = relations.select("lang", F.explode(F.arrays_zip("done", "done_counts")).alias("x"))
         counted = done.groupBy("lang", F.col("x.done").alias("phrase")).agg(F.sum("x.done_counts").alias("f")).where(F.col("f") >= least)
         found.append(written(counted.select("lang", F.lit(size).alias("size"), "phrase", "f"), f"phrases-{size}"))
