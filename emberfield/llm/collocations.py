@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import written
+from ..session import work_path, written
 from .texts import by_batch, whole
 
 LONGEST = 4
@@ -34,12 +34,27 @@ _FOLD = bytes(_FOLD)
 
 #: One sorted relation: occurrence i stands ``step[i]`` places after the one before it and is phrase ``item[i]``, which
 #: has the words ``tuples[item * k : item * k + k]`` of ``words`` and comes ``counts[item]`` times. ``done`` and
-#: ``done_counts`` are the phrases one word shorter that passed the semi-join, with their counts.
-_RELATION = ("lang string, step array<int>, item array<int>, tuples array<int>, counts array<long>, words array<string>, "
-             "done array<string>, done_counts array<long>")
+#: ``done_counts`` are the phrases one word shorter that passed the semi-join, with their counts. The first five are plain
+#: bytes, written without compression, so that a file takes hardly more memory than disk.
+_RELATION = "lang string, step binary, item binary, tuples binary, counts binary, words binary, done array<string>, done_counts array<long>"
 _NAMES = ["lang", "step", "item", "tuples", "counts", "words", "done", "done_counts"]
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """The width of one number, then the numbers in the narrowest unsigned type that holds them all."""
+    kind = np.min_scalar_type(int(numbers.max())) if len(numbers) else np.dtype(np.uint8)
+    return bytes([kind.itemsize]) + numbers.astype(kind).tobytes()
+
+
+def _unpacked(value: pa.Scalar) -> np.ndarray:
+    data = value.as_buffer()
+    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
+
+
+def _word_list(value: pa.Scalar) -> pa.Array:
+    return pa.array(value.as_py().split(b" "), pa.binary()).cast(pa.string())
+
+
 class _Codes(dict):
     """A number for every word, in order of appearance."""
 
@@ -61,21 +76,15 @@ def _coded(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     return np.concatenate(out) if out else np.empty(0, np.int32), list(codes)
 
 
-def _relation(lang: str, at: np.ndarray, item: np.ndarray, tuples: np.ndarray, counts: np.ndarray, words: pa.Array, done: pa.Array, done_counts: np.ndarray) -> dict:
-    return {"lang": lang, "step": np.diff(at, prepend=0).astype(np.int32), "item": item.astype(np.int32), "tuples": tuples.astype(np.int32).ravel(),
-            "counts": counts, "words": words, "done": done, "done_counts": done_counts}
+def _relation(lang: str, at: np.ndarray, item: np.ndarray, tuples: np.ndarray, counts: np.ndarray, words: list[bytes], done: pa.Array, done_counts: np.ndarray) -> list:
+    return [lang, _packed(np.diff(at, prepend=0)), _packed(item), _packed(tuples.ravel()), _packed(counts), b" ".join(words), done, done_counts]
 
 
-def _lists(rows: list[dict], name: str, kind: pa.DataType) -> pa.Array:
-    flat = [x if isinstance(x := r[name], pa.Array) else pa.array(x, kind) for r in rows]
-    ends = np.cumsum([0, *map(len, flat)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(flat) if flat else pa.array([], kind))
-
-
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    ints, longs, texts = pa.int32(), pa.int64(), pa.string()
-    kinds = [ints, ints, ints, longs, texts, texts, longs]
-    columns = [pa.array([r["lang"] for r in rows], texts), *[_lists(rows, n, k) for n, k in zip(_NAMES[1:], kinds)]]
+def _batch(rows: list[list]) -> pa.RecordBatch:
+    lang, *blobs, done, done_counts = zip(*rows) if rows else [()] * len(_NAMES)
+    ends = pa.array(np.cumsum([0, *map(len, done)]).astype(np.int32))
+    lists = lambda flat, kind: pa.ListArray.from_arrays(ends, pa.concat_arrays([pa.array([], kind), *[pa.array(x, kind) for x in flat]]))
+    columns = [pa.array(lang, pa.string()), *[pa.array(b, pa.binary()) for b in blobs], lists(done, pa.string()), lists(done_counts, pa.int64())]
     return pa.RecordBatch.from_arrays(columns, _NAMES)
 
 
@@ -95,16 +104,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
             at = np.flatnonzero(codes)
             if len(at):
                 n = len(words) - 1
-                rows.append(_relation(lang, at, codes[at] - 1, np.arange(n), np.bincount(codes[at] - 1, minlength=n), pa.array(words[1:], pa.binary()).cast(pa.string()), pa.array([], pa.string()), np.empty(0, np.int64)))
+                rows.append(_relation(lang, at, codes[at] - 1, np.arange(n), np.bincount(codes[at] - 1, minlength=n), words[1:], pa.array([], pa.string()), np.empty(0, np.int64)))
         return _batch(rows)
 
     return by_batch(docs.select(F.coalesce("lang", F.lit("und")), whole("text")), run, _RELATION, RELATION_BYTES)
 
 
-def _array(column: pa.Array, row: int) -> np.ndarray:
-    return column[row].values.to_numpy(zero_copy_only=False)
-
-
 def _keys(lang: str, tuples: np.ndarray, words: pa.Array) -> np.ndarray:
     """A 64-bit key per phrase from the hashes of its language and words."""
     hashes = np.array([xxhash.xxh64_intdigest(w) for w in words.cast(pa.binary()).to_pylist()], np.uint64)
@@ -121,11 +126,11 @@ def _groups(relations: DataFrame, size: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         chunks, items, keys, counts = [], [], [], []
         for row, (chunk, lang) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-            tuples = _array(batch.column(2), row).reshape(-1, size)
+            tuples = _unpacked(batch.column(2)[row]).reshape(-1, size)
             chunks.append(np.full(len(tuples), chunk, np.int64))
             items.append(np.arange(len(tuples), dtype=np.int32))
-            keys.append(_keys(lang, tuples, batch.column(4)[row].values))
-            counts.append(_array(batch.column(3), row))
+            keys.append(_keys(lang, tuples, _word_list(batch.column(4)[row])))
+            counts.append(_unpacked(batch.column(3)[row]))
         columns = [pa.array(np.concatenate(x) if x else np.empty(0, k)) for x, k in ((chunks, np.int64), (items, np.int32), (keys, np.int64), (counts, np.int64))]
         return pa.RecordBatch.from_arrays(columns, ["chunk", "item", "key", "n"])
 
@@ -149,28 +154,35 @@ def _longer(relations: DataFrame, often: DataFrame, size: int, longest: int) ->
         at, item = at[stays], item[stays]
         # the merge-join: both sides are this sorted relation
         left = np.flatnonzero(np.diff(at) == 1) if size < longest else np.empty(0, np.int64)
-        pairs, item_of, n = np.unique(item[left].astype(np.int64) * len(tuples) + item[left + 1], return_inverse=True, return_counts=True)
+        pairs, item_of, n = np.unique(item[left] * len(tuples) + item[left + 1], return_inverse=True, return_counts=True)
         longer = np.column_stack([tuples[pairs // len(tuples)], tuples[pairs % len(tuples), -1:]])
         used, codes = np.unique(longer, return_inverse=True)
-        return _relation(lang, at[left], item_of, codes, n, words.take(pa.array(used)), done, counts[keep])
+        return _relation(lang, at[left], item_of, codes, n, words.take(pa.array(used)).cast(pa.binary()).to_pylist(), done, counts[keep])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for row, lang in enumerate(batch.column(0).to_pylist()):
-            step, item, tuples, counts = (_array(batch.column(c), row) for c in (1, 2, 3, 4))
-            words, tuples = batch.column(5)[row].values, tuples.reshape(-1, size)
+            step, item, tuples, counts = (_unpacked(batch.column(c)[row]) for c in (1, 2, 3, 4))
+            words, tuples = _word_list(batch.column(5)[row]), tuples.reshape(-1, size)
             if keys is None:
-                keep = np.sort(_array(batch.column(6), row))
+                keep = np.sort(batch.column(6)[row].values.to_numpy(zero_copy_only=False))
             else:
                 own = _keys(lang, tuples, words)
                 keep = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own) if len(keys) else np.empty(0, np.int64)
             if len(keep):
-                rows.append(extend(lang, np.cumsum(step, dtype=np.int64), item, tuples, counts, words, keep))
+                rows.append(extend(lang, np.cumsum(step), item, tuples, counts, words, keep))
         return _batch(rows)
 
     return by_batch(relations.select(*columns), run, _RELATION)
 
 
+def _stored(relations: DataFrame, size: int) -> DataFrame:
+    """The relations in the shared folder, each with a number; uncompressed."""
+    path = work_path(relations.sparkSession, f"occurrences-{size}")
+    relations.withColumn("chunk", F.monotonically_increasing_id()).write.option("compression", "none").parquet(path)
+    return relations.sparkSession.read.parquet(path)
+
+
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_COUNT) -> tuple[DataFrame, DataFrame]:
     """((lang, size, phrase, f) of all phrases with at least ``least`` occurrences; (lang, n) with all words counted).
 
@@ -180,13 +192,12 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     the phrases themselves. Only phrases, never their occurrences, are shuffled by key; a very common one is one row
     per relation at most. Up to ``BROADCAST_KEYS`` frequent keys the relations stay where they are.
     """
-    numbered = lambda rel, k: written(rel.withColumn("chunk", F.monotonically_increasing_id()), f"occurrences-{k}")
-    relations = numbered(occurrences(docs), 1)
+    relations = _stored(occurrences(docs), 1)
     totals = relations.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
     found = []
     for size in range(1, longest + 1):
         often = written(_groups(relations, size).select("key", "n").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"), "frequent-keys")
-        relations = numbered(_longer(relations, often, size, longest), size + 1)
+        relations = _stored(_longer(relations, often, size, longest), size + 1)
         done = relations.select("lang", F.explode(F.arrays_zip("done", "done_counts")).alias("x"))
         counted = done.groupBy("lang", F.col("x.done").alias("phrase")).agg(F.sum("x.done_counts").alias("f")).where(F.col("f") >= least)
         found.append(written(counted.select("lang", F.lit(size).alias("size"), "phrase", "f"), f"phrases-{size}"))
