@@ -33,11 +33,11 @@ _FOLD[ord("\t")] = ord(" ")
 _FOLD = bytes(_FOLD)
 
 #: One sorted relation: occurrence i stands ``step[i]`` places after the one before it and is phrase ``item[i]``, which
-#: has the words ``tuples[item * k : item * k + k]`` of ``words`` and comes ``counts[item]`` times. ``done`` and
-#: ``done_counts`` are the phrases one word shorter that passed the semi-join, with their counts. The first five are plain
-#: bytes, written without compression, so that a file takes hardly more memory than disk.
-_RELATION = "lang string, step binary, item binary, tuples binary, counts binary, words binary, done array<string>, done_counts array<long>"
-_NAMES = ["lang", "step", "item", "tuples", "counts", "words", "done", "done_counts"]
+#: has the words ``tuples[item * k : item * k + k]`` of ``words`` and comes ``counts[item]`` times. ``n`` is
+#: the number of occurrences; ``done`` and ``done_counts`` are the phrases one word shorter that passed the semi-join, with
+#: their counts. Numbers and words are plain bytes, written without compression, so that a file takes hardly more memory than disk.
+_RELATION = "lang string, step binary, item binary, tuples binary, counts binary, words binary, n long, done array<string>, done_counts array<long>"
+_NAMES = ["lang", "step", "item", "tuples", "counts", "words", "n", "done", "done_counts"]
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -77,14 +77,14 @@ def _coded(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
 
 
 def _relation(lang: str, at: np.ndarray, item: np.ndarray, tuples: np.ndarray, counts: np.ndarray, words: list[bytes], done: pa.Array, done_counts: np.ndarray) -> list:
-    return [lang, _packed(np.diff(at, prepend=0)), _packed(item), _packed(tuples.ravel()), _packed(counts), b" ".join(words), done, done_counts]
+    return [lang, _packed(np.diff(at, prepend=0)), _packed(item), _packed(tuples.ravel()), _packed(counts), b" ".join(words), len(at), done, done_counts]
 
 
 def _batch(rows: list[list]) -> pa.RecordBatch:
-    lang, *blobs, done, done_counts = zip(*rows) if rows else [()] * len(_NAMES)
+    lang, *blobs, n, done, done_counts = zip(*rows) if rows else [()] * len(_NAMES)
     ends = pa.array(np.cumsum([0, *map(len, done)]).astype(np.int32))
     lists = lambda flat, kind: pa.ListArray.from_arrays(ends, pa.concat_arrays([pa.array([], kind), *[pa.array(x, kind) for x in flat]]))
-    columns = [pa.array(lang, pa.string()), *[pa.array(b, pa.binary()) for b in blobs], lists(done, pa.string()), lists(done_counts, pa.int64())]
+    columns = [pa.array(lang, pa.string()), *[pa.array(b, pa.binary()) for b in blobs], pa.array(n, pa.int64()), lists(done, pa.string()), lists(done_counts, pa.int64())]
     return pa.RecordBatch.from_arrays(columns, _NAMES)
 
 
@@ -193,7 +193,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     per relation at most. Up to ``BROADCAST_KEYS`` frequent keys the relations stay where they are.
     """
     relations = _stored(occurrences(docs), 1)
-    totals = relations.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
+    totals = relations.groupBy("lang").agg(F.sum("n").alias("n"))
     found = []
     for size in range(1, longest + 1):
         often = written(_groups(relations, size).select("key", "n").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"), "frequent-keys")
