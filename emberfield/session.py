@@ -57,3 +57,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the stored tables that ``df`` reads, if they lie in the shared working folder.
+
+    For a table from ``written`` once nothing reads it any more; inputs are never touched.
+    """
+    spark = df.sparkSession
+    root = work_path(spark, "").rsplit("/emberfield/", 1)[0] + "/emberfield/"
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    base = path_of(root).toUri().getPath()
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = path_of(folder)
+        if path.toUri().getPath().startswith(base):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

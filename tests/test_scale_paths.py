@@ -1,5 +1,6 @@
 """The code paths that only large or skewed inputs take, forced on small ones."""
 
+import os
 import random
 import statistics
 
@@ -200,3 +201,15 @@ def test_nearest_matches_brute_force(spark):
     both = coarse.select("detection_id", "distance_to_industrial").join(
         fine.select("detection_id", F.col("distance_to_industrial").alias("d")), "detection_id")
     assert both.where(F.abs(F.col("distance_to_industrial") - F.col("d")) > 1e-6).count() == 0
+
+
+def test_discard_removes_only_stored_tables(spark, tmp_path):
+    from emberfield.session import discard, written
+
+    outside = str(tmp_path / "table")
+    spark.range(3).write.parquet(outside)
+    kept, gone = spark.read.parquet(outside), written(spark.range(5), "short-lived")
+    folder = gone.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    discard(kept)
+    discard(gone)
+    assert kept.count() == 3 and not os.path.exists(folder)
