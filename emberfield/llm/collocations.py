@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import work_path, written
+from ..session import discard, work_path, written
 from .texts import by_batch, whole
 
 LONGEST = 4
@@ -193,14 +193,16 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     per relation at most. Up to ``BROADCAST_KEYS`` frequent keys the relations stay where they are.
     """
     relations = _stored(occurrences(docs), 1)
-    totals = relations.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = written(relations.groupBy("lang").agg(F.sum("n").alias("n")), "words-by-language")
     found = []
     for size in range(1, longest + 1):
         often = written(_groups(relations, size).select("key", "n").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"), "frequent-keys")
-        relations = _stored(_longer(relations, often, size, longest), size + 1)
+        shorter, relations = relations, _stored(_longer(relations, often, size, longest), size + 1)
+        discard(shorter)
         done = relations.select("lang", F.explode(F.arrays_zip("done", "done_counts")).alias("x"))
         counted = done.groupBy("lang", F.col("x.done").alias("phrase")).agg(F.sum("x.done_counts").alias("f")).where(F.col("f") >= least)
         found.append(written(counted.select("lang", F.lit(size).alias("size"), "phrase", "f"), f"phrases-{size}"))
+    discard(relations)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
