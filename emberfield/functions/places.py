@@ -44,48 +44,19 @@ def mercator(lat: Column, lon: Column) -> tuple[Column, Column]:
     return x, y
 
 
-def ring_edges(rings: Column) -> Column:
-    """Edges of all rings as structs (x1, y1, x2, y2), each ring closed."""
-
-    def of_ring(ring: Column) -> Column:
-        n = F.size(ring)
-        return F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: F.struct(
-                ring[i]["x"].alias("x1"), ring[i]["y"].alias("y1"),
-                ring[(i + 1) % n]["x"].alias("x2"), ring[(i + 1) % n]["y"].alias("y2"),
-            ),
-        )
-
-    return F.flatten(F.transform(F.filter(rings, lambda r: F.size(r) > 2), of_ring))
-
-
-def mercator_edges(edges: Column) -> Column:
-    def project(e: Column) -> Column:
-        x1, y1 = mercator(e["y1"], e["x1"])
-        x2, y2 = mercator(e["y2"], e["x2"])
-        return F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
-
-    return F.transform(edges, project)
-
+def crossing_x(y: Column, e: Column) -> Column:
+    """Where the line through an edge (x1, y1, x2, y2) meets the height ``y``."""
+    return (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
 
-def strictly_inside(x: Column, y: Column, edges: Column) -> Column:
-    """Even-odd test over all rings; a point on an edge is outside."""
 
-    def crosses(e: Column) -> Column:
-        spans = (e["y1"] > y) != (e["y2"] > y)
-        return spans & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
-
-    def touches(e: Column) -> Column:
-        turn = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-        return (
-            (turn == 0)
-            & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-            & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-        )
-
-    odd = F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
-    return odd & ~F.exists(edges, touches)
+def touches_edge(x: Column, y: Column, e: Column) -> Column:
+    """Whether a point lies on an edge."""
+    turn = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
+    return (
+        (turn == 0)
+        & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
+        & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+    )
 
 
 def edge_distance(x: Column, y: Column, edges: Column) -> Column:

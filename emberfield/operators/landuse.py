@@ -1,22 +1,15 @@
-"""Land-use context: polygon containment and distance to the nearest industrial polygon.
+"""Land-use context: the class of the polygons around a detection, distance to the nearest industrial shape.
 
-Polygons are a table (poly_id, landuse, rings), rings being an array of point
-arrays (x = longitude, y = latitude); several rings mean parts or holes. The
-search for candidate polygons runs on the distinct grid cells of the
-detections, so its cost follows the area covered, not the number of rows; the
-detections then meet only the few polygons listed for their cell.
+Shapes are a table (poly_id, landuse, rings) as described in :mod:`emberfield.operators.shapes`, where the joins are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.places import (
-    edge_distance, floor_cell, mercator, mercator_edges, ring_edges, strictly_inside,
-)
-from ..schema import drop_without_coordinates
-from .skew import salted_join, spread_out
+from ..session import written
+from . import shapes
 
 # Distance when no industrial polygon is in reach, and the polygon tags measured.
 MAX_DISTANCE_M = 50_000.0
@@ -47,10 +40,6 @@ CLASS_PRIORITY = ("industrial", "forest", "farmland", "residential")
 CLUSTER_DEG = 0.5
 CLUSTER_MARGIN_DEG = 0.03
 
-_BLOCK_DEG = 0.5   # candidate search unit
-_CONTAIN_DEG = 0.05
-_NEAREST_DEG = 0.02
-
 
 def land_class(tag: Column) -> Column:
     """Class of a raw map tag; tags not listed and missing ones are ``unknown``."""
@@ -82,73 +71,9 @@ def cluster_boxes(df: DataFrame, margin: float = CLUSTER_MARGIN_DEG) -> DataFram
     )
 
 
-def _with_bounds(polygons: DataFrame) -> DataFrame:
-    edges = F.col("_edges")
-    low = lambda f: F.array_min(F.transform(edges, lambda e: e[f]))
-    high = lambda f: F.array_max(F.transform(edges, lambda e: e[f]))
-    return (
-        polygons.withColumn("_edges", ring_edges(F.col("rings")))
-        .where(F.size("_edges") > 0)
-        .withColumn("_w", low("x1")).withColumn("_e", high("x1"))
-        .withColumn("_s", low("y1")).withColumn("_n", high("y1"))
-    )
-
-
-def _per_block(boxes: DataFrame, grow_lon: Column | float = 0.0, grow_lat: float = 0.0) -> DataFrame:
-    """A row per search block that the (grown) bounding box touches."""
-    span = lambda low, high: F.sequence(floor_cell(low, _BLOCK_DEG), floor_cell(high, _BLOCK_DEG))
-    return boxes.withColumn(
-        "_bi", F.explode(span(F.col("_s") - grow_lat, F.col("_n") + grow_lat))
-    ).withColumn("_bj", F.explode(span(F.col("_w") - grow_lon, F.col("_e") + grow_lon)))
-
-
-def _cells(df: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
-    """(rows with cell keys, the cells with their row counts and search block)."""
-    rows = df.withColumn("_ci", floor_cell(F.col("latitude"), size)).withColumn(
-        "_cj", floor_cell(F.col("longitude"), size)
-    )
-    cells = rows.groupBy("_ci", "_cj").agg(F.count(F.lit(1)).alias("_rows"))
-    return rows, cells
-
-
-def _blocked(cells: DataFrame, size: float) -> DataFrame:
-    # a cell may straddle two blocks by rounding; its centre decides, and the boxes are
-    # grown by one cell to make up for it
-    centre = lambda c: (F.col(c) + 0.5) * size
-    placed = (
-        cells.withColumn("_clat", centre("_ci")).withColumn("_clon", centre("_cj"))
-        .withColumn("_bi", floor_cell(F.col("_clat"), _BLOCK_DEG))
-        .withColumn("_bj", floor_cell(F.col("_clon"), _BLOCK_DEG))
-    )
-    return spread_out(placed, "_bi", "_bj")
-
-
-_KEY = ["_ci", "_cj"]
-
-
-def polygon_hits(df: DataFrame, polygons: DataFrame, size: float = _CONTAIN_DEG) -> DataFrame:
-    """(detection_id, poly_id, landuse) for each polygon that strictly contains a detection."""
-    narrow = drop_without_coordinates(df.select("detection_id", "latitude", "longitude"))
-    rows, cells = _cells(narrow, size)
-    half = size / 2 * 1.001
-    boxes = _per_block(_with_bounds(polygons), size, size).select(
-        "poly_id", "landuse", "_edges", "_w", "_e", "_s", "_n", "_bi", "_bj"
-    )
-    listed = (
-        _blocked(cells, size).join(boxes, ["_bi", "_bj"])
-        .where(
-            (F.col("_clon") + half >= F.col("_w")) & (F.col("_clon") - half <= F.col("_e"))
-            & (F.col("_clat") + half >= F.col("_s")) & (F.col("_clat") - half <= F.col("_n"))
-        )
-        .select(*_KEY, "poly_id", "landuse", "_edges", "_w", "_e", "_s", "_n")
-    )
-    x, y = F.col("longitude"), F.col("latitude")
-    return (
-        salted_join(rows, listed, _KEY, ["detection_id"], how="inner", counts=cells, heavy_work=True)
-        .where(x.between(F.col("_w"), F.col("_e")) & y.between(F.col("_s"), F.col("_n")))
-        .where(strictly_inside(x, y, F.col("_edges")))
-        .select("detection_id", "poly_id", "landuse")
-    )
+def polygon_hits(df: DataFrame, polygons: DataFrame) -> DataFrame:
+    """(detection_id, poly_id, landuse) for each area that strictly contains a detection; lines and points contain none."""
+    return shapes.containment(shapes.placed_rows(df), shapes.edges_of(polygons))
 
 
 def with_land_use(df: DataFrame, polygons: DataFrame) -> DataFrame:
@@ -169,78 +94,18 @@ def with_land_use(df: DataFrame, polygons: DataFrame) -> DataFrame:
     )
 
 
-def with_industrial_distance(
-    df: DataFrame, polygons: DataFrame, max_m: float = MAX_DISTANCE_M, size: float = _NEAREST_DEG
-) -> DataFrame:
+def with_industrial_distance(df: DataFrame, polygons: DataFrame, max_m: float = MAX_DISTANCE_M) -> DataFrame:
     """Adds ``distance_to_industrial`` in web-mercator metres, 0 inside, at most ``max_m``.
 
-    Per cell, the distance from its centre to a polygon bounds the distance
-    from any point of the cell to within half a diagonal, so a polygon whose
-    lower bound exceeds the best upper bound cannot be nearest to any point
-    there and is not listed.
+    Industrial shapes may be areas, lines or points.
     """
-    narrow = drop_without_coordinates(df.select("detection_id", "latitude", "longitude"))
-    rows, cells = _cells(narrow, size)
-    metres_per_degree = 111319.490793  # of longitude, everywhere in this projection
-    reach_deg = max_m / metres_per_degree + size
-    sources = _with_bounds(polygons.where(F.col("landuse").isin(*DISTANCE_TAGS)))
-    # a mercator metre spans at most as many degrees of latitude as of longitude
-    boxes = (
-        _per_block(sources, reach_deg, reach_deg)
-        .withColumn("_edges", mercator_edges(F.col("_edges")))
-        .select("poly_id", "_edges", "_w", "_e", "_s", "_n", "_bi", "_bj")
-    )
-    blocked = _blocked(cells, size)
-    cx, cy = mercator(F.col("_clat"), F.col("_clon"))
-    _, top = mercator(F.col("_clat") + size / 2, F.col("_clon"))
-    half_x = F.lit(metres_per_degree * size / 2)
-    # the side farther from the equator is the longer one in this projection
-    _, bottom = mercator(F.col("_clat") - size / 2, F.col("_clon"))
-    half_y = F.greatest(F.abs(top - cy), F.abs(cy - bottom))
-    blocked = (
-        blocked.withColumn("_mx", cx).withColumn("_my", cy)
-        .withColumn("_half", F.sqrt(half_x * half_x + half_y * half_y) * 1.001)
-    )
-    centre = F.when(
-        strictly_inside(F.col("_mx"), F.col("_my"), F.col("_edges")), F.lit(0.0)
-    ).otherwise(edge_distance(F.col("_mx"), F.col("_my"), F.col("_edges")))
-    grow = reach_deg + size
-    measured = (
-        blocked.join(boxes, ["_bi", "_bj"])
-        .where(
-            F.col("_clon").between(F.col("_w") - grow, F.col("_e") + grow)
-            & F.col("_clat").between(F.col("_s") - grow, F.col("_n") + grow)
-        )
-        .withColumn("_centre", centre)
-        .select(*_KEY, "poly_id", "_half", "_centre")
-        .withColumn("_best", F.min("_centre").over(Window.partitionBy(*_KEY)))
-    )
-    # both filters stand after the window: below it the distance would be computed again for them
-    listed = (
-        measured.where(F.col("_centre") <= F.least(F.col("_best") + 2 * F.col("_half"), max_m + F.col("_half")))
-        .select(*_KEY, "poly_id")
-        .join(
-            sources.select("poly_id", mercator_edges(F.col("_edges")).alias("_edges")), "poly_id"
-        )
-    )
-    px, py = mercator(F.col("latitude"), F.col("longitude"))
-    exact = F.when(
-        strictly_inside(F.col("_px"), F.col("_py"), F.col("_edges")), F.lit(0.0)
-    ).otherwise(edge_distance(F.col("_px"), F.col("_py"), F.col("_edges")))
-    nearest = (
-        salted_join(
-            rows.withColumn("_px", px).withColumn("_py", py), listed, _KEY, ["detection_id"],
-            how="inner", counts=cells, heavy_work=True,
-        )
-        .groupBy("detection_id")
-        .agg(F.min(exact).alias("_dist"))
-    )
+    rows = shapes.placed_rows(df)
+    edges = written(shapes.edges_of(polygons.where(F.col("landuse").isin(*DISTANCE_TAGS))), "industrial-edges")
+    inside = shapes.containment(rows, edges).select("detection_id", F.lit(0.0).alias("distance"))
+    nearest = shapes.nearest_distance(rows, edges, max_m).unionByName(inside).groupBy("detection_id").agg(F.min("distance").alias("_dist"))
     return (
         df.drop("distance_to_industrial").join(nearest, "detection_id", "left")
-        .withColumn(
-            "distance_to_industrial",
-            F.least(F.coalesce("_dist", F.lit(max_m)), F.lit(max_m)),
-        )
+        .withColumn("distance_to_industrial", F.coalesce("_dist", F.lit(max_m)))
         .drop("_dist")
     )
 

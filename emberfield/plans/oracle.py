@@ -53,6 +53,21 @@ SELECT detection_id, poly_id,
     "distances": """
 SELECT p.detection_id, coalesce(least(min(d),50000e0),50000e0) AS distance_to_industrial
 FROM placed p LEFT JOIN reach USING (detection_id) GROUP BY 1""",
+    "shaped": """
+SELECT poly_id, lon0, lat0, r, poly_id%3 AS kind FROM landuse WHERE landuse IN ('industrial','quarry')""",
+    "shape_points": """
+SELECT poly_id, k, kind, radians(lon)*6378137e0 AS x, ln(tan(pi()/4+radians(lat)/2))*6378137e0 AS y FROM (
+ SELECT poly_id, kind, 0 AS k, lon0+r AS lon, lat0 AS lat FROM shaped WHERE kind<2 UNION ALL SELECT poly_id, kind, 1, lon0, lat0+r FROM shaped WHERE kind<2
+ UNION ALL SELECT poly_id, kind, 2, lon0-r, lat0 FROM shaped WHERE kind<2 UNION ALL SELECT poly_id, kind, 3, lon0, lat0-r FROM shaped WHERE kind=0
+ UNION ALL SELECT poly_id, kind, 0, lon0, lat0 FROM shaped WHERE kind=2)""",
+    "shape_sides": """
+SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM shape_points a JOIN shape_points b
+ON a.poly_id=b.poly_id AND b.k=CASE a.kind WHEN 0 THEN (a.k+1)%4 WHEN 1 THEN a.k+1 ELSE a.k END""",
+    "shape_reach": """
+SELECT detection_id, min(sqrt((px-(x1+t*(x2-x1)))*(px-(x1+t*(x2-x1))) + (py-(y1+t*(y2-y1)))*(py-(y1+t*(y2-y1))))) AS d FROM (
+ SELECT *, CASE WHEN x1=x2 AND y1=y2 THEN 0e0 ELSE
+  least(1e0, greatest(0e0, ((px-x1)*(x2-x1)+(py-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)))) END AS t
+ FROM merc CROSS JOIN shape_sides) GROUP BY 1""",
     "full_in": """
 SELECT u.*, d.distance_to_industrial AS dist, CASE WHEN f.co_confirmed THEN 1 ELSE 0 END AS flag
 FROM used u JOIN distances d USING (detection_id) JOIN flagged f USING (detection_id)""",
@@ -317,6 +332,9 @@ SELECT poly_id, CASE WHEN poly_id%5=0 THEN upper(landuse) ELSE landuse END AS la
 SELECT detection_id, poly_id, landuse FROM placed JOIN landuse ON abs(longitude-lon0)+abs(latitude-lat0) < r""")
     q["distance_to_industrial"] = _with("distances", f"""
 SELECT detection_id, {_r('distance_to_industrial', 3)} AS distance_to_industrial FROM distances""")
+    q["distance_mixed_shapes"] = _with("placed shaped shape_reach", f"""
+SELECT detection_id, {_r('CASE WHEN EXISTS (SELECT 1 FROM shaped WHERE kind=0 AND abs(longitude-lon0)+abs(latitude-lat0) < r) THEN 0e0 ELSE least(coalesce(d,50000e0),50000e0) END', 3)}
+ AS distance_to_industrial FROM placed LEFT JOIN shape_reach USING (detection_id)""")
     q["cluster_bbox"] = _with("placed", f"""
 SELECT floor(latitude/0.5e0)*0.5e0 AS cluster_lat, floor(longitude/0.5e0)*0.5e0 AS cluster_lon,
  {_r('min(longitude)-0.03e0')} AS west, {_r('min(latitude)-0.03e0')} AS south,

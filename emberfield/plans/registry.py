@@ -278,6 +278,15 @@ def distance_to_industrial(spark, sf_dir):
     )
 
 
+@query
+def distance_mixed_shapes(spark, sf_dir):
+    """Distance to industrial areas, lines and points."""
+    rows = landuse.with_industrial_distance(placed(spark, sf_dir), views.mixed_shapes(spark, sf_dir))
+    return rows.select(
+        "detection_id", half_even(F.col("distance_to_industrial"), 3).alias("distance_to_industrial")
+    )
+
+
 @query
 def cluster_bbox(spark, sf_dir):
     return rounded(landuse.cluster_boxes(placed(spark, sf_dir)))

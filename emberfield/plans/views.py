@@ -93,6 +93,17 @@ def landuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, "supplier", LANDUSE_SQL).withColumn("rings", F.array(ring))
 
 
+def mixed_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The polygons, with a third as open lines over three of the corners and a third as their centre points."""
+    lat, lon, r = F.col("lat0"), F.col("lon0"), F.col("r")
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    line = F.array(corner(lon + r, lat), corner(lon, lat + r), corner(lon - r, lat))
+    kind = F.col("poly_id") % 3
+    return landuse(spark, sf_dir).withColumn(
+        "rings", F.when(kind == 1, F.array(line)).when(kind == 2, F.array(F.array(corner(lon, lat)))).otherwise(F.col("rings"))
+    ).withColumn("shape", F.when(kind == 1, "line").when(kind == 2, "point").otherwise("polygon"))
+
+
 def hotspots_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The detections as a stream over the event file."""
     schema = table(spark, sf_dir, "events").schema

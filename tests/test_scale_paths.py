@@ -7,7 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from emberfield.operators import coincidence, combine, features, landuse, medians, ranking, sampling, skew
+from emberfield.operators import coincidence, combine, features, landuse, medians, ranking, sampling, shapes, skew
 from emberfield.plans import views
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -193,14 +193,12 @@ def test_dedup_keeps_lowest_id_and_equal_nulls(spark):
     assert got == {1: None, 2: 7.0}
 
 
-def test_nearest_matches_brute_force(spark):
-    df = views.hotspots(spark, SF_DIR).dropna(subset=["latitude", "longitude"])
-    polygons = views.landuse(spark, SF_DIR)
-    coarse = landuse.with_industrial_distance(df, polygons, size=0.11)
-    fine = landuse.with_industrial_distance(df, polygons, size=0.01)
-    both = coarse.select("detection_id", "distance_to_industrial").join(
-        fine.select("detection_id", F.col("distance_to_industrial").alias("d")), "detection_id")
-    assert both.where(F.abs(F.col("distance_to_industrial") - F.col("d")) > 1e-6).count() == 0
+def test_nearest_is_free_of_the_grid(spark):
+    rows = shapes.placed_rows(views.hotspots(spark, SF_DIR))
+    edges = shapes.edges_of(views.landuse(spark, SF_DIR).where("landuse = 'industrial'"))
+    coarse, fine = (shapes.nearest_distance(rows, edges, 50_000.0, size) for size in (7000, 450))
+    both = coarse.join(fine.withColumnRenamed("distance", "d"), "detection_id", "full")
+    assert both.where("not (abs(distance - d) <= 1e-6) or distance is null or d is null").count() == 0
 
 
 def test_discard_removes_only_stored_tables(spark, tmp_path):
