@@ -243,6 +243,13 @@ FROM f3 LEFT JOIN (
   FROM ({long}) WHERE value<>0) GROUP BY 1) USING (detection_id)""")
 
 
+_TURNS = f"""
+SELECT *, acq_date + INTERVAL 1 DAY <= latest - INTERVAL 2 DAY AS late FROM (
+ SELECT detection_id%3 AS turn, acq_date, {_ZONE} AS zone, CASE WHEN coalesce(frp,0e0)>=7 THEN 'Wildfire Risk' ELSE 'Anomaly/Unclassified' END AS category FROM hotspots)
+ LEFT JOIN (SELECT t.turn, max(acq_date + to_minutes(coalesce(acq_time//100*60+acq_time%100, 0)::BIGINT)) AS latest
+  FROM (VALUES (0),(1),(2)) AS t(turn) JOIN hotspots ON detection_id%3 < t.turn - 1 GROUP BY 1) USING (turn)"""
+
+
 _HOT = "detection_id, latitude, longitude, acq_date, acq_time, satellite_source, frp"
 
 
@@ -464,6 +471,20 @@ SELECT DISTINCT latitude, longitude, acq_date, acq_time, satellite_source FROM h
     q["stream_daily_counts"] = _windows(1)
     q["stream_weekly_counts"] = _windows(7)
     q["stream_co_confirmed"] = _with("flagged", "SELECT detection_id FROM flagged WHERE co_confirmed")
+    turns = "SELECT acq_date AS window_start, category, zone, count(*) AS n FROM ({}) WHERE {} GROUP BY ALL"
+    q["stream_category_counts"] = _with("hotspots", turns.format(_TURNS, "late IS NOT TRUE"))
+    q["stream_late_rows"] = _with("hotspots", turns.format(_TURNS, "late"))
+    q["stream_transitions"] = _with("placed", """
+SELECT * FROM (WITH seen AS (
+  SELECT CAST(round_even(latitude/0.01e0,0) AS BIGINT) AS cell_lat, CAST(round_even(longitude/0.01e0,0) AS BIGINT) AS cell_lon,
+   CAST(epoch(acq_date + to_minutes(coalesce(acq_time//100*60+acq_time%100, 0)::BIGINT)) AS BIGINT) AS moment FROM placed),
+ due AS (SELECT *, CASE WHEN moment - lag(moment) OVER w <= 3*86400 THEN 0 ELSE 1 END AS fresh FROM seen
+  WHERE moment <= (SELECT max(moment) FROM seen) - 2*86400 WINDOW w AS (PARTITION BY cell_lat, cell_lon ORDER BY moment)),
+ visits AS (SELECT *, sum(fresh) OVER (PARTITION BY cell_lat, cell_lon ORDER BY moment ROWS UNBOUNDED PRECEDING) AS visit FROM due),
+ counted AS (SELECT *, row_number() OVER (PARTITION BY cell_lat, cell_lon, visit ORDER BY moment) AS n FROM visits)
+ SELECT cell_lat, cell_lon, CASE n WHEN 1 THEN 'new' WHEN 2 THEN 'repeated' ELSE 'persistent' END AS kind, moment AS "at", n FROM counted WHERE n IN (1, 2, 4)
+ UNION ALL SELECT cell_lat, cell_lon, 'expired', max(moment) + 3*86400, count(*) FROM counted GROUP BY cell_lat, cell_lon, visit
+ HAVING max(moment) + 3*86400 <= (SELECT max(moment) FROM seen) - 2*86400)""")
     q["stream_frequency"] = _with("placed", """
 SELECT CAST(round_even(latitude/0.01e0,0) AS BIGINT) AS cell_lat, CAST(round_even(longitude/0.01e0,0) AS BIGINT) AS cell_lon,
  count(*) AS n, CASE WHEN count(*)=1 THEN 'new' WHEN count(*)>3 THEN 'persistent' ELSE 'repeated' END AS kind

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import half_even
-from ..functions.places import FETCH_BOX, PLAUSIBLE_BOX, in_box
+from ..functions.places import FETCH_BOX, PLAUSIBLE_BOX, in_box, zone
 from ..mode import ARCHIVE, NRT, Mode
 from ..operators import (
     alerts, attribution, coincidence, combine, encoding, features, landuse, learning, metrics,
@@ -630,6 +630,47 @@ def stream_co_confirmed(spark, sf_dir):
     return jobs.stream_co_confirmed(views.hotspots_stream(spark, sf_dir))
 
 
+def _landed_in_turn(spark, sf_dir) -> DataFrame:
+    """The detections as a stream of three batches, each over the whole period."""
+    folder = work_path(spark, "landed")
+    rows = views.hotspots(spark, sf_dir)
+    for turn in range(3):  # the file source takes files in the order they were written
+        rows.where(F.col("detection_id") % 3 == turn).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _by_category_and_zone() -> dict:
+    lat, lon = F.col("latitude"), F.col("longitude")
+    first_sight = features.category().alias("category")
+    return {"category": first_sight, "zone": zone(lat, lon)}
+
+
+def _as_first_sight(stream: DataFrame) -> DataFrame:
+    """A detection's category before anything is known of its place."""
+    return landuse.with_land_use_defaults(features.with_frp(stream)).withColumn("historical_frequency", F.lit(0))
+
+
+@query
+def stream_category_counts(spark, sf_dir):
+    """Per day, category and zone, when files land out of order: rows behind the watermark are left out."""
+    stream = _as_first_sight(_landed_in_turn(spark, sf_dir))
+    return _by_day(jobs.stream_window_counts(stream, by=_by_category_and_zone()))
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """The rows that stream_category_counts leaves out."""
+    stream = _as_first_sight(_landed_in_turn(spark, sf_dir))
+    return _by_day(jobs.late_counts(stream, by=_by_category_and_zone()))
+
+
+@query
+def stream_transitions(spark, sf_dir):
+    """New, repeated, persistent and expired cells up to the watermark."""
+    moves = jobs.stream_transitions(views.hotspots_stream(spark, sf_dir), quiet_days=3)
+    return moves.withColumn("at", F.unix_seconds("at"))
+
+
 @query
 def stream_frequency(spark, sf_dir):
     return jobs.stream_frequency(views.hotspots_stream(spark, sf_dir))
