@@ -23,6 +23,8 @@ LEAST_BYTES = 100
 CONTEXT = 32
 REACH = 2 * LONGEST_CHUNK
 GEAR_SEED = 2024
+#: Up to so many repeated digests (8 bytes each) go to every task, so that only repeated chunks leave it; beyond, chunks are joined with them.
+REPEATED_KEYS = 2_000_000
 
 #: One 32-bit number per byte value.
 GEAR = np.random.default_rng(GEAR_SEED).integers(0, 1 << 32, 256, np.uint32)
@@ -67,30 +69,63 @@ def chunk_ends(data: np.ndarray) -> np.ndarray:
     return ends
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, d0, d1, start, stop, beside): every chunk of every whole text in bytes of UTF-8, with its 128-bit digest.
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with doc_id as a struct of the id, whether it lacks, and a hash of the text.
 
-    ``beside`` holds the 32-bit hashes of the ``CONTEXT`` bytes before and after the chunk.
+    So two texts under one id, or without any, are two documents; ids come first in order, rows without one last.
     """
+    return docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("body")).alias("doc_id"), "text")
+
+
+def _cut(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, digests) of the chunks of a text, a digest being two 64-bit numbers."""
+    ends = chunk_ends(np.frombuffer(data, np.uint8))
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    digest = xxhash.xxh3_128_digest
+    digests = b"".join([digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())])
+    return starts, ends, np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2)
+
+
+def repeated_keys(docs: DataFrame) -> DataFrame:
+    """(d0): the first digest halves of chunks that come more than once, from one narrow pass with map-side counts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, digests, starts, stops, beside = [], [], [], [], []
-        digest, short = xxhash.xxh3_128_digest, xxhash.xxh32_intdigest
+        halves = [_cut(text.encode("utf-8", "surrogatepass"))[2][:, 0] for text in strings(batch.column(0))]
+        d0, n = np.unique(np.concatenate(halves) if halves else np.empty(0, np.int64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(d0), pa.array(n.astype(np.int32))], ["d0", "n"])
+
+    found = by_batch(docs.select("text"), run, "d0 long, n int")
+    return written(found.groupBy("d0").agg(F.sum("n").alias("n")).where("n > 1").select("d0"), "substring-keys")
+
+
+def chunks(docs: DataFrame, keys: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, d0, d1, start, stop, beside): the chunks of every whole text in bytes of UTF-8, with their 128-bit digests.
+
+    ``beside`` holds the 32-bit hashes of the ``CONTEXT`` bytes before and after the chunk. With sorted ``keys``, only chunks
+    whose first digest half is among them.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, digests, starts, stops, beside = [], [], [], [], []
+        short = xxhash.xxh32_intdigest
         for row, text in enumerate(strings(batch.column(1))):
             data = text.encode("utf-8", "surrogatepass")
-            ends = chunk_ends(np.frombuffer(data, np.uint8))
-            begin = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-            digests += [digest(data[a:b]) for a, b in zip(begin.tolist(), ends.tolist())]
-            before = np.array([short(data[max(0, a - CONTEXT):a]) for a in [*begin.tolist(), len(data)]], np.uint64)
+            begin, ends, halves = _cut(data)
+            if keys is not None:
+                at = np.searchsorted(keys, halves[:, 0])
+                here = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == halves[:, 0]) if len(keys) else np.empty(0, np.int64)
+                begin, ends, halves = begin[here], ends[here], halves[here]
+            before = np.array([short(data[max(0, a - CONTEXT):a]) for a in begin.tolist()], np.uint64)
             after = np.array([short(data[b:b + CONTEXT]) for b in ends.tolist()], np.uint64)
-            beside.append((before[:-1] << np.uint64(32) | after).view(np.int64))
-            ids.append(np.full(len(ends), row))
+            beside.append((before << np.uint64(32) | after).view(np.int64))
+            rows.append(np.full(len(ends), row))
+            digests.append(halves)
             starts.append(begin)
             stops.append(ends)
-        rows = pa.array(np.concatenate(ids))
-        halves = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-        columns = [batch.column(0).take(rows), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
-                   pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(stops).astype(np.int32)), pa.array(np.concatenate(beside))]
+        joined = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
+        halves = np.concatenate(digests) if digests else np.empty((0, 2), np.int64)
+        columns = [batch.column(0).take(pa.array(joined(rows, np.int64))), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
+                   pa.array(joined(starts, np.int32)), pa.array(joined(stops, np.int32)), pa.array(joined(beside, np.int64))]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "d0", "d1", "start", "stop", "beside"])
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -101,10 +136,16 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, start, stop, first_doc_id, first_start, left, right): chunks whose digest also comes in an earlier place.
 
     The first place, by doc_id and then by start, keeps its chunk. ``left`` and ``right`` tell whether the bytes
-    beside both places may be equal. Counts and first places meet in map-side aggregates;
-    the rows of a very frequent chunk are the long side of a join, which adaptive execution splits.
+    beside both places may be equal. A first pass finds the digests that repeat; only their chunks are stored and moved in
+    full. Counts and first places meet in map-side aggregates; the rows of a very frequent chunk are the long side of a
+    join, which adaptive execution splits.
     """
-    pieces = chunks(docs).where("doc_id is not null")
+    often = repeated_keys(docs)
+    if often.count() <= REPEATED_KEYS:
+        pieces = chunks(docs, np.sort(often.toArrow().column("d0").to_numpy()))
+    else:
+        pieces = chunks(docs).join(often, "d0", "left_semi").select("doc_id", "d0", "d1", "start", "stop", "beside")
+    pieces = written(pieces, "substring-chunks")
     first = pieces.groupBy("d0", "d1").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "beside")).alias("first")
     ).where("n > 1").drop("n")
@@ -177,14 +218,19 @@ def _extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """doc_id, start, stop, first_doc_ids, n_chunks: stretches of a text that come in an earlier place.
+    """doc_id, start, stop, first_doc_ids, n_chunks: every text's stretches that come earlier too; see :func:`stretches`."""
+    return stretches(keyed(docs), least_bytes).withColumn("doc_id", F.col("doc_id.id"))
+
+
+def stretches(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """doc_id, start, stop, first_doc_ids, n_chunks for documents from :func:`keyed`: stretches of a text that come in an earlier place.
 
     Bytes of the UTF-8 text, end exclusive. Chunks that follow one another here and at their first place form a run,
     which grows to both sides as far as the bytes beside its first place are equal; runs that touch form one stretch. Stretches under
     ``least_bytes`` do not count. An earlier place is an earlier document or the same one further up. ``first_doc_ids``
-    lists the documents that come first with at least ``least_bytes`` of it, where the text stays. Rows without doc_id
-    or text have none; repeated rows of one doc_id are one document; other columns are ignored; an empty table gives an
-    empty result.
+    lists the ids of the documents that come first with at least ``least_bytes`` of it, where the text stays. Rows without an
+    id are searched like others, come after them and are not listed; an id with several texts is several documents;
+    repeated rows are one; rows without text have no stretch; other columns are ignored; an empty table gives an empty result.
     """
     hits = repeated_chunks(docs).dropDuplicates(["doc_id", "start"]).withColumn("first_stop", F.col("first_start") + F.col("stop") - F.col("start"))
     # the windows hold one document's repeated chunks
@@ -214,7 +260,7 @@ def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     )
     return parts.groupBy("doc_id", "stretch").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"),
-        F.array_sort(F.collect_list(F.when(F.col("bytes") >= least_bytes, F.col("first_doc_id")))).alias("first_doc_ids"),
+        F.array_sort(F.collect_list(F.when(F.col("bytes") >= least_bytes, F.col("first_doc_id.id")))).alias("first_doc_ids"),
         F.sum("n").alias("n_chunks"),
     ).where(F.col("stop") - F.col("start") >= least_bytes).drop("stretch")
 
@@ -222,12 +268,14 @@ def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
 def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """``docs`` with the repeated stretches cut out of ``text`` (and ``n_chars``, if there, counted anew).
 
-    A character of which a stretch holds only some bytes is cut as a whole. Documents without a stretch stay as they are.
+    A character of which a stretch holds only some bytes is cut as a whole. Documents without a stretch stay as they are;
+    each text is cut at its own stretches, also where ids repeat or lack.
     """
-    spans = repeated_spans(docs, least_bytes).groupBy(F.col("doc_id").alias("span_id")).agg(
-        F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cut_spans")
+    spans = stretches(keyed(docs), least_bytes).groupBy(F.col("doc_id").alias("_cut_key")).agg(
+        F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cut_spans")
     )
-    joined = docs.join(spans, F.col("doc_id") == F.col("span_id"), "left").drop("span_id")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("body"))
+    joined = docs.withColumn("_own_key", key).join(spans, F.col("_own_key") == F.col("_cut_key"), "left").drop("_cut_key", "_own_key")
     names, at = joined.columns, joined.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
