@@ -86,15 +86,26 @@ def _cut(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2)
 
 
+def _once(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A slice of (doc_id, text) without its repeated rows."""
+    ids, seen, keep = batch.column(0).to_pylist(), set(), []
+    for row, (key, text) in enumerate(zip(ids, strings(batch.column(1)))):
+        mark = (key["no_id"], key["id"], text)
+        if mark not in seen:
+            seen.add(mark)
+            keep.append(row)
+    return batch if len(keep) == len(ids) else batch.take(pa.array(keep, pa.int64()))
+
+
 def repeated_keys(docs: DataFrame) -> DataFrame:
     """(d0): the first digest halves of chunks that come more than once, from one narrow pass with map-side counts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        halves = [_cut(text.encode("utf-8", "surrogatepass"))[2][:, 0] for text in strings(batch.column(0))]
+        halves = [_cut(text.encode("utf-8", "surrogatepass"))[2][:, 0] for text in strings(_once(batch).column(1))]
         d0, n = np.unique(np.concatenate(halves) if halves else np.empty(0, np.int64), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(d0), pa.array(n.astype(np.int32))], ["d0", "n"])
 
-    found = by_batch(docs.select("text"), run, "d0 long, n int")
+    found = by_batch(docs.select("doc_id", "text"), run, "d0 long, n int")
     return written(found.groupBy("d0").agg(F.sum("n").alias("n")).where("n > 1").select("d0"), "substring-keys")
 
 
@@ -106,6 +117,7 @@ def chunks(docs: DataFrame, keys: np.ndarray | None = None) -> DataFrame:
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        batch = _once(batch)
         rows, digests, starts, stops, beside = [], [], [], [], []
         short = xxhash.xxh32_intdigest
         for row, text in enumerate(strings(batch.column(1))):
@@ -164,7 +176,7 @@ def _beside(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     Sides from 2 on reach over ``REACH`` bytes, others over ``CONTEXT``.
     """
     per_doc = wanted.distinct().groupBy(F.col("doc_id").alias("want_id")).agg(F.collect_list(F.struct("at", "side")).alias("places"))
-    rows = docs.select("doc_id", "text").join(per_doc, F.col("doc_id") == F.col("want_id")).select("doc_id", "text", "places")
+    rows = docs.select("doc_id", "text").dropDuplicates(["doc_id"]).join(per_doc, F.col("doc_id") == F.col("want_id")).select("doc_id", "text", "places")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, ats, sides, found = [], [], [], []
@@ -181,7 +193,7 @@ def _beside(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "side", "bytes"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return by_batch(rows, run, f"doc_id {kind}, at int, side int, bytes binary").distinct()
+    return by_batch(rows, run, f"doc_id {kind}, at int, side int, bytes binary")
 
 
 def _extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -189,10 +201,10 @@ def _extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
     Inside one document neither side reaches into the other place.
     """
-    edge = lambda side, at, first_at: F.struct((F.col(("left", "right")[side]).cast("int") * 2 + side).alias("side"), F.col(at).alias("at"), F.col(first_at).alias("first_at"))
-    edges = runs.select("doc_id", "run", F.col("first_doc_id").alias("first_id"), F.explode(F.array(
+    edge = lambda side, at, first_at: F.when(F.col(("grows_left", "grows_right")[side]), F.struct((F.col(("left", "right")[side]).cast("int") * 2 + side).alias("side"), F.col(at).alias("at"), F.col(first_at).alias("first_at")))
+    edges = runs.select("doc_id", "run", F.col("first_doc_id").alias("first_id"), F.explode(F.array_compact(F.array(
         edge(0, "start", "first_start"), edge(1, "stop", "first_stop")
-    )).alias("e")).select("doc_id", "run", "first_id", "e.*")
+    ))).alias("e")).select("doc_id", "run", "first_id", "e.*")
     places = edges.select("doc_id", "at", "side").unionByName(edges.select(F.col("first_id").alias("doc_id"), F.col("first_at").alias("at"), "side"))
     texts = written(_beside(docs, places), "substring-edges")
     firsts = texts.select(F.col("doc_id").alias("first_id"), F.col("at").alias("first_at"), "side", F.col("bytes").alias("first_bytes"))
@@ -232,7 +244,8 @@ def stretches(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     id are searched like others, come after them and are not listed; an id with several texts is several documents;
     repeated rows are one; rows without text have no stretch; other columns are ignored; an empty table gives an empty result.
     """
-    hits = repeated_chunks(docs).dropDuplicates(["doc_id", "start"]).withColumn("first_stop", F.col("first_start") + F.col("stop") - F.col("start"))
+    # by document at once, for the windows below; repeated rows are few after the slices have dropped theirs
+    hits = repeated_chunks(docs).repartition("doc_id").dropDuplicates(["doc_id", "start"]).withColumn("first_stop", F.col("first_start") + F.col("stop") - F.col("start"))
     # the windows hold one document's repeated chunks
     order = W.partitionBy("doc_id").orderBy("start")
     near = F.coalesce(F.col("start") == F.lag("stop").over(order), F.lit(False))
@@ -248,7 +261,11 @@ def stretches(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     chain = W.partitionBy("doc_id", "chain")
     size = F.max("stop").over(chain) - F.min("start").over(chain)
     runs = runs.withColumn("may_grow", F.max(F.col("left") | F.col("right")).over(chain) | (size + 2 * (CONTEXT - 1) >= least_bytes))
-    runs = _extended(docs, written(runs.where("may_grow").drop("chain", "may_grow"), "substring-runs"))
+    # between runs of a chain that is long enough without them, edges stay: their neighbours hold those bytes already
+    runs = runs.withColumn("outer_only", size >= 3 * least_bytes)
+    runs = runs.withColumn("grows_left", ~F.col("outer_only") | (F.col("start") == F.min("start").over(chain)))
+    runs = runs.withColumn("grows_right", ~F.col("outer_only") | (F.col("stop") == F.max("stop").over(chain)))
+    runs = _extended(docs, written(runs.where("may_grow").drop("chain", "may_grow", "outer_only"), "substring-runs"))
     order = W.partitionBy("doc_id").orderBy("start", "run")
     reached = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
     runs = runs.withColumn("apart", F.coalesce((F.col("start") > reached).cast("int"), F.lit(1)))
