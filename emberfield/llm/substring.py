@@ -171,29 +171,28 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 
 def _beside(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, at, side, bytes) for the places (doc_id, at, side): what stands after (odd side) or, backwards, before it.
+    """``wanted`` (doc_id, at, side, run, first_id, first_at) with bytes: what stands after (odd side) or, backwards, before a place.
 
-    Sides from 2 on reach over ``REACH`` bytes, others over ``CONTEXT``.
+    Sides from 2 on reach over ``REACH`` bytes, others over ``CONTEXT``. Texts travel to their places once, and a text
+    holds no more places than its length allows.
     """
-    per_doc = wanted.distinct().groupBy(F.col("doc_id").alias("want_id")).agg(F.collect_list(F.struct("at", "side")).alias("places"))
+    kind = dict(docs.dtypes)["doc_id"]
+    per_doc = wanted.groupBy(F.col("doc_id").alias("want_id")).agg(F.collect_list(F.struct("at", "side", "run", "first_id", "first_at")).alias("places"))
     rows = docs.select("doc_id", "text").dropDuplicates(["doc_id"]).join(per_doc, F.col("doc_id") == F.col("want_id")).select("doc_id", "text", "places")
+    names = ["at", "side", "run", "first_id", "first_at"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, ats, sides, found = [], [], [], []
-        for row, (text, places) in enumerate(zip(strings(batch.column(1)), batch.column(2).to_pylist())):
-            data = text.encode("utf-8", "surrogatepass")
-            for place in places:
-                at, side = place["at"], place["side"]
-                ids.append(row)
-                ats.append(at)
-                sides.append(side)
-                reach = REACH if side >= 2 else CONTEXT
-                found.append(data[at:at + reach] if side % 2 else data[max(0, at - reach):at][::-1])
-        columns = [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(ats, pa.int32()), pa.array(sides, pa.int32()), pa.array(found, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "side", "bytes"])
+        places = batch.column(2).flatten()
+        row = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+        texts = [text.encode("utf-8", "surrogatepass") for text in strings(batch.column(1))]
+        found = []
+        for r, at, side in zip(row.tolist(), places.field("at").to_pylist(), places.field("side").to_pylist()):
+            reach = REACH if side >= 2 else CONTEXT
+            found.append(texts[r][at:at + reach] if side % 2 else texts[r][max(0, at - reach):at][::-1])
+        columns = [batch.column(0).take(pa.array(row)), *[places.field(n) for n in names], pa.array(found, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", *names, "bytes"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return by_batch(rows, run, f"doc_id {kind}, at int, side int, bytes binary")
+    return by_batch(rows, run, f"doc_id {kind}, at int, side int, run long, first_id {kind}, first_at int, bytes binary")
 
 
 def _extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -201,14 +200,17 @@ def _extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
     Inside one document neither side reaches into the other place.
     """
-    edge = lambda side, at, first_at: F.when(F.col(("grows_left", "grows_right")[side]), F.struct((F.col(("left", "right")[side]).cast("int") * 2 + side).alias("side"), F.col(at).alias("at"), F.col(first_at).alias("first_at")))
-    edges = runs.select("doc_id", "run", F.col("first_doc_id").alias("first_id"), F.explode(F.array_compact(F.array(
+    kind = dict(docs.dtypes)["doc_id"]
+    edge = lambda side, at, first_at: F.struct((F.col(("left", "right")[side]).cast("int") * 2 + side).alias("side"), F.col(at).alias("at"), F.col(first_at).alias("first_at"))
+    edges = runs.select("doc_id", "run", F.col("first_doc_id").alias("first_id"), F.explode(F.array(
         edge(0, "start", "first_start"), edge(1, "stop", "first_stop")
-    ))).alias("e")).select("doc_id", "run", "first_id", "e.*")
-    places = edges.select("doc_id", "at", "side").unionByName(edges.select(F.col("first_id").alias("doc_id"), F.col("first_at").alias("at"), "side"))
-    texts = written(_beside(docs, places), "substring-edges")
-    firsts = texts.select(F.col("doc_id").alias("first_id"), F.col("at").alias("first_at"), "side", F.col("bytes").alias("first_bytes"))
-    both = edges.join(texts, ["doc_id", "at", "side"]).join(firsts, ["first_id", "first_at", "side"]).select("doc_id", "run", "side", "bytes", "first_bytes")
+    )).alias("e")).select("doc_id", "e.at", "e.side", "run", "first_id", "e.first_at")
+    firsts = edges.select(F.col("first_id").alias("doc_id"), F.col("first_at").alias("at"), "side").distinct().select(
+        "*", F.lit(None).cast("long").alias("run"), F.lit(None).cast(kind).alias("first_id"), F.lit(None).cast("int").alias("first_at"))
+    texts = written(_beside(docs, edges.unionByName(firsts)), "substring-edges")
+    own = texts.where("run is not null").select("doc_id", "run", "side", "first_id", "first_at", "bytes")
+    there = texts.where("run is null").select(F.col("doc_id").alias("first_id"), F.col("at").alias("first_at"), "side", F.col("bytes").alias("first_bytes"))
+    both = own.join(there, ["first_id", "first_at", "side"]).select("doc_id", "run", "side", "bytes", "first_bytes")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         more = []
@@ -261,11 +263,7 @@ def stretches(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     chain = W.partitionBy("doc_id", "chain")
     size = F.max("stop").over(chain) - F.min("start").over(chain)
     runs = runs.withColumn("may_grow", F.max(F.col("left") | F.col("right")).over(chain) | (size + 2 * (CONTEXT - 1) >= least_bytes))
-    # between runs of a chain that is long enough without them, edges stay: their neighbours hold those bytes already
-    runs = runs.withColumn("outer_only", size >= 3 * least_bytes)
-    runs = runs.withColumn("grows_left", ~F.col("outer_only") | (F.col("start") == F.min("start").over(chain)))
-    runs = runs.withColumn("grows_right", ~F.col("outer_only") | (F.col("stop") == F.max("stop").over(chain)))
-    runs = _extended(docs, written(runs.where("may_grow").drop("chain", "may_grow", "outer_only"), "substring-runs"))
+    runs = _extended(docs, written(runs.where("may_grow").drop("chain", "may_grow"), "substring-runs"))
     order = W.partitionBy("doc_id").orderBy("start", "run")
     reached = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
     runs = runs.withColumn("apart", F.coalesce((F.col("start") > reached).cast("int"), F.lit(1)))
