@@ -24,7 +24,7 @@ CONTEXT = 32
 REACH = 2 * LONGEST_CHUNK
 GEAR_SEED = 2024
 #: Up to so many repeated digests (8 bytes each) go to every task, so that only repeated chunks leave it; beyond, chunks are joined with them.
-REPEATED_KEYS = 2_000_000
+REPEATED_KEYS = 8_000_000
 
 #: One 32-bit number per byte value.
 GEAR = np.random.default_rng(GEAR_SEED).integers(0, 1 << 32, 256, np.uint32)
