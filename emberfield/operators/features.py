@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock, radiometry
@@ -89,13 +89,19 @@ def with_frp(df: DataFrame) -> DataFrame:
     )
 
 
-def with_historical_frequency(df: DataFrame, cell: float = FREQUENCY_CELL_DEG) -> DataFrame:
-    """Number of other detections in the same 0.01 degree cell, over the whole input.
+def with_historical_frequency(
+    df: DataFrame, cell: float = FREQUENCY_CELL_DEG, window_days: int | None = None
+) -> DataFrame:
+    """Number of other detections in the same 0.01 degree cell, over the whole input or the last ``window_days``.
 
     Counts are aggregated before the shuffle and then looked up, so a cell that
-    holds much of the data never sits in one task.
+    holds much of the data never sits in one task. With ``window_days``, a detection counts those of its own date and
+    of the days before it that the window reaches; one without a date counts none. Trailing sums run over
+    daily counts, so a cell has one row per day however many detections it has.
     """
     keys = ["_fi", "_fj"]
+    if window_days is not None:
+        return _with_trailing_frequency(df, cell, window_days)
     rows = df.withColumn("_fi", round_cell(F.col("latitude"), cell)).withColumn(
         "_fj", round_cell(F.col("longitude"), cell)
     )
@@ -106,6 +112,19 @@ def with_historical_frequency(df: DataFrame, cell: float = FREQUENCY_CELL_DEG) -
     ).drop(*keys)
 
 
+def _with_trailing_frequency(df: DataFrame, cell: float, window_days: int) -> DataFrame:
+    keys = ["_fi", "_fj", "_day"]
+    day = F.unix_date(F.col("acq_date").cast("date"))
+    rows = df.withColumn("_fi", round_cell(F.col("latitude"), cell)).withColumn(
+        "_fj", round_cell(F.col("longitude"), cell)
+    ).withColumn("_day", day)
+    daily = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    trailing = Window.partitionBy("_fi", "_fj").orderBy("_day").rangeBetween(1 - window_days, 0)
+    per_day = daily.where("_day is not null").select(*keys, (F.sum("_rows").over(trailing) - 1).alias("historical_frequency"))
+    found = salted_join(rows.drop("historical_frequency"), per_day, keys, ["detection_id"], counts=daily)
+    return found.withColumn("historical_frequency", F.coalesce("historical_frequency", F.lit(0).cast("bigint"))).drop(*keys)
+
+
 def category(mode: Mode = NRT) -> Column:
     """The category rule over land_use_type, distance_to_industrial, frp, historical_frequency."""
     use = F.lower(F.coalesce(F.col("land_use_type"), F.lit("unknown")))

@@ -306,6 +306,12 @@ SELECT detection_id, CAST(month(acq_date) AS INTEGER) AS month, {_SEASON} AS sea
     q["landuse_defaults"] = _with("placed", """
 SELECT detection_id, 'unknown' AS land_use_type, 50000e0 AS distance_to_industrial FROM placed""")
     q["historical_frequency"] = _simple("SELECT detection_id, hf AS historical_frequency FROM f3")
+    for days in (7, 30):
+        q[f"historical_frequency_{days}d"] = _with("placed", f"""
+SELECT a.detection_id, count(b.detection_id) - 1 AS historical_frequency
+FROM placed a JOIN placed b ON round_even(a.latitude/0.01e0,0)=round_even(b.latitude/0.01e0,0)
+ AND round_even(a.longitude/0.01e0,0)=round_even(b.longitude/0.01e0,0) AND b.acq_date BETWEEN a.acq_date-{days - 1} AND a.acq_date
+GROUP BY 1""")
     q["category_nrt"] = _simple("SELECT detection_id, category FROM f3")
     q["category_archive"] = _simple("SELECT detection_id, category_archive AS category FROM f3")
     q["features_labeled"] = _with("", f"""

@@ -203,6 +203,21 @@ def historical_frequency(spark, sf_dir):
     )
 
 
+@query
+def historical_frequency_30d(spark, sf_dir):
+    """Other detections in the cell on the same day and the 29 days before."""
+    return features.with_historical_frequency(placed(spark, sf_dir), window_days=30).select(
+        "detection_id", "historical_frequency"
+    )
+
+
+@query
+def historical_frequency_7d(spark, sf_dir):
+    return features.with_historical_frequency(placed(spark, sf_dir), window_days=7).select(
+        "detection_id", "historical_frequency"
+    )
+
+
 @query
 def category_nrt(spark, sf_dir):
     return ruled(spark, sf_dir, NRT).select("detection_id", "category")

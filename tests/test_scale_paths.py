@@ -211,3 +211,13 @@ def test_discard_removes_only_stored_tables(spark, tmp_path):
     discard(kept)
     discard(gone)
     assert kept.count() == 3 and not os.path.exists(folder)
+
+
+def test_trailing_frequency_awkward(spark):
+    """The window's edges, days without a date, several rows of one day, a hot cell."""
+    rows = [(1, 20.0, 75.0, "2024-01-01"), (2, 20.0, 75.0, "2024-01-03"), (3, 20.0, 75.0, "2024-01-03"), (4, 20.0, 75.0, "2024-01-04"),
+            (5, 20.0, 75.0, None), (6, 20.0, 75.0, None), (7, 21.0, 75.0, "2024-01-03")]
+    df = spark.createDataFrame(rows, "detection_id long, latitude double, longitude double, acq_date string")
+    df = df.withColumn("acq_date", F.to_date("acq_date"))
+    got = {r["detection_id"]: r["historical_frequency"] for r in features.with_historical_frequency(df, window_days=3).collect()}
+    assert got == {1: 0, 2: 2, 3: 2, 4: 2, 5: 0, 6: 0, 7: 0}
