@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import written
+from ..session import discard, written
 from .texts import by_batch, strings
 
 #: Bytes that the rolling hash sees, mean chunk length, longest chunk.
@@ -144,8 +144,8 @@ def chunks(docs: DataFrame, keys: np.ndarray | None = None) -> DataFrame:
     return by_batch(docs.select("doc_id", "text"), run, f"doc_id {kind}, d0 long, d1 long, start int, stop int, beside long")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, stop, first_doc_id, first_start, left, right): chunks whose digest also comes in an earlier place.
+def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, start, stop, first_doc_id, first_start, left, right), the stored chunks that it reads): chunks whose digest also comes in an earlier place.
 
     The first place, by doc_id and then by start, keeps its chunk. ``left`` and ``right`` tell whether the bytes
     beside both places may be equal. A first pass finds the digests that repeat; only their chunks are stored and moved in
@@ -158,16 +158,18 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     else:
         pieces = chunks(docs).join(often, "d0", "left_semi").select("doc_id", "d0", "d1", "start", "stop", "beside")
     pieces = written(pieces, "substring-chunks")
+    discard(often)
     first = pieces.groupBy("d0", "d1").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "beside")).alias("first")
     ).where("n > 1").drop("n")
     high = lambda c: F.shiftright(c, 32)
     low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
     hits = pieces.join(first, ["d0", "d1"]).where(F.struct("first.doc_id", "first.start") < F.struct("doc_id", "start"))
-    return hits.select(
+    hits = hits.select(
         "doc_id", "start", "stop", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"),
         (high("beside") == high("first.beside")).alias("left"), (low("beside") == low("first.beside")).alias("right"),
     )
+    return hits, pieces
 
 
 def _beside(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -247,7 +249,8 @@ def stretches(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     repeated rows are one; rows without text have no stretch; other columns are ignored; an empty table gives an empty result.
     """
     # by document at once, for the windows below; repeated rows are few after the slices have dropped theirs
-    hits = repeated_chunks(docs).repartition("doc_id").dropDuplicates(["doc_id", "start"]).withColumn("first_stop", F.col("first_start") + F.col("stop") - F.col("start"))
+    hits, pieces = repeated_chunks(docs)
+    hits = hits.repartition("doc_id").dropDuplicates(["doc_id", "start"]).withColumn("first_stop", F.col("first_start") + F.col("stop") - F.col("start"))
     # the windows hold one document's repeated chunks
     order = W.partitionBy("doc_id").orderBy("start")
     near = F.coalesce(F.col("start") == F.lag("stop").over(order), F.lit(False))
@@ -263,7 +266,9 @@ def stretches(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     chain = W.partitionBy("doc_id", "chain")
     size = F.max("stop").over(chain) - F.min("start").over(chain)
     runs = runs.withColumn("may_grow", F.max(F.col("left") | F.col("right")).over(chain) | (size + 2 * (CONTEXT - 1) >= least_bytes))
-    runs = _extended(docs, written(runs.where("may_grow").drop("chain", "may_grow"), "substring-runs"))
+    runs = written(runs.where("may_grow").drop("chain", "may_grow"), "substring-runs")
+    discard(pieces)
+    runs = _extended(docs, runs)
     order = W.partitionBy("doc_id").orderBy("start", "run")
     reached = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
     runs = runs.withColumn("apart", F.coalesce((F.col("start") > reached).cast("int"), F.lit(1)))
