@@ -412,7 +412,7 @@ SELECT detection_id, rank, printf('#%d  FRP: %.1f MW  |  %.4fN, %.4fE  |  ', ran
  upper(land_use_type[1]) || land_use_type[2:] AS land_use, time_of_day || ' · ' || season AS period,
  hf AS repeats, {url} AS map_url FROM ({alerts})""")
     q["alert_log"] = _simple("""
-SELECT count(*) AS hotspots, 7e0 AS frp_threshold FROM f3 WHERE category='Wildfire Risk' AND frp0>=7""")
+SELECT count(*) FILTER (category='Wildfire Risk' AND frp0>=t) AS hotspots, t AS frp_threshold FROM f3, (VALUES (7e0), (14e0)) AS x(t) GROUP BY t""")
     q["label_encode"] = _with("used", """
 SELECT detection_id, land_use_type, CAST(coalesce(code,0) AS INTEGER) AS land_use_type_enc FROM used LEFT JOIN (
  SELECT land_use_type, dense_rank() OVER (ORDER BY land_use_type)-1 AS code FROM
