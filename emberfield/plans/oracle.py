@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .views import HOTSPOTS_SQL, LANDUSE_SQL, PAYLOADS_SQL
+from .views import HOTSPOTS_SQL, LANDUSE_SQL, PAYLOAD_LINES_SQL, PAYLOADS_SQL
 
 # Common table expressions, in dependency order. Each query takes those it needs.
 _CTES = {
@@ -10,6 +10,7 @@ _CTES = {
     "landuse": LANDUSE_SQL,
     "placed": "SELECT * FROM hotspots WHERE latitude IS NOT NULL AND longitude IS NOT NULL",
     "payloads": PAYLOADS_SQL,
+    "payload_lines": PAYLOAD_LINES_SQL,
     "classed": """
 SELECT *, CASE WHEN landuse IN ('industrial','quarry','military') THEN 1 WHEN landuse='forest' THEN 2
   WHEN landuse='farmland' THEN 3 WHEN landuse IN ('residential','commercial') THEN 4 END AS p FROM landuse""",
@@ -123,7 +124,14 @@ CASE WHEN hf>={hf} OR ({ind} AND hf>=1) THEN 'Industrial (Normal)'
  ELSE 'Anomaly/Unclassified' END"""
 
 
-def _with(names: str, body: str, source: str | None = None) -> str:
+_INGESTED = f"""
+SELECT * REPLACE (CASE WHEN satellite_source='MODIS' THEN brightness ELSE bright_ti4 END AS bright_ti4,
+ CASE WHEN satellite_source='MODIS' THEN brightness ELSE bright_ti4 END AS brightness)
+FROM ({HOTSPOTS_SQL}) QUALIFY row_number() OVER (
+ PARTITION BY latitude, longitude, acq_date, acq_time, satellite_source ORDER BY detection_id)=1"""
+
+
+def _with(names: str, body: str, source: str | None = None, hotspots: str = HOTSPOTS_SQL) -> str:
     """WITH the named expressions and what they stand on, then the feature chain if asked."""
     order = list(_CTES)
     wanted, queue = set(), names.split()
@@ -135,7 +143,7 @@ def _with(names: str, body: str, source: str | None = None) -> str:
             continue
         wanted.add(n)
         queue += [m for m in order if m != n and _mentions(_CTES[n], m)]
-    parts = [(n, _CTES[n]) for n in order if n in wanted]
+    parts = [(n, hotspots if n == "hotspots" else _CTES[n]) for n in order if n in wanted]
     if source:
         parts += _features(source)
     return "WITH " + ",\n".join(f"{n} AS ({sql})" for n, sql in parts) + "\n" + body
@@ -271,6 +279,22 @@ FROM (SELECT payload_id, unnest(string_split(trim(body, ' '||chr(10)), chr(10))[
 UNION ALL SELECT payload_id, NULL, NULL, NULL, true FROM payloads
  WHERE trim(body, ' '||chr(10))='' OR lower(trim(body)) LIKE 'invalid%' OR lower(body) LIKE '%map_key%'
    OR lower(substr(trim(body),1,100)) LIKE '%error%'""")
+    q["landed_payloads"] = _with("payload_lines", """
+SELECT CAST(split_part(line, ',', CASE grp%3 WHEN 1 THEN 2 ELSE 1 END) AS DOUBLE) AS latitude,
+ CAST(split_part(line, ',', CASE grp%3 WHEN 1 THEN 3 ELSE 2 END) AS DOUBLE) AS longitude,
+ CASE grp%3 WHEN 0 THEN CAST(split_part(line, ',', 3) AS DOUBLE) WHEN 1 THEN CAST(split_part(line, ',', 1) AS DOUBLE) END AS frp
+FROM payload_lines WHERE grp%7<>3""")
+    q["load_chunks"] = q["scan_csv_roundtrip"]
+    q["chunk_report"] = _with("hotspots", """
+SELECT 'read' AS reason, count(*) AS n_rows, 0 AS n_bad FROM hotspots
+UNION ALL SELECT 'no column latitude, longitude', 0, 0
+UNION ALL SELECT 'damaged line', count(*), count(*) FROM hotspots
+ WHERE detection_id%50=1 AND latitude IS NOT NULL AND longitude IS NOT NULL""")
+    q["landing_resume"] = _with("hotspots", """
+SELECT *, count(*) OVER (PARTITION BY chunk_key) AS n_rows FROM (
+ SELECT detection_id, frp, satellite_source AS source, strftime(acq_date,'%Y-%m') AS month,
+  replace(satellite_source,'_','-')||'_'||strftime(b,'%Y-%m')||'_'||strftime(b,'%Y-%m-%d') AS chunk_key
+ FROM (SELECT *, acq_date - CAST(day(acq_date)%5 AS INTEGER) AS b FROM hotspots))""")
     q["chunk_plan"] = _with("hotspots", f"""
 SELECT *, CASE WHEN feed='MODIS_NRT' THEN 5 ELSE 7 END AS recent_days FROM ({_chunks('min(acq_date)')})""")
     q["pending_chunks"] = _with("hotspots", f"""
@@ -314,11 +338,13 @@ FROM placed a JOIN placed b ON round_even(a.latitude/0.01e0,0)=round_even(b.lati
 GROUP BY 1""")
     q["category_nrt"] = _simple("SELECT detection_id, category FROM f3")
     q["category_archive"] = _simple("SELECT detection_id, category_archive AS category FROM f3")
-    q["features_labeled"] = _with("", f"""
+    labeled = f"""
 SELECT detection_id, latitude, longitude, acq_date, acq_time, satellite_source, bright_ti4, bright_ti5, bright_t31,
  confidence, scan, track, flag AS co_confirmed, b AS brightness, frp0 AS frp, {_r('ln(1+frp0)')} AS log_frp,
  delta AS delta_brightness, conf AS confidence_enc, land_use_type, {_r('dist', 3)} AS distance_to_industrial,
- hf AS historical_frequency, time_of_day, season, CAST(mon AS INTEGER) AS month, category FROM f3""", "full_in")
+ hf AS historical_frequency, time_of_day, season, CAST(mon AS INTEGER) AS month, category FROM f3"""
+    q["features_labeled"] = _with("", labeled, "full_in")
+    q["features_labeled_ingest"] = _with("", labeled, "full_in", _INGESTED)
     q["co_confirmed"] = _with("flagged", "SELECT detection_id, co_confirmed FROM flagged")
     q["co_confirmed_counts"] = _with("flagged", """
 SELECT satellite_source, count(*) AS n, count(*) FILTER (co_confirmed) AS confirmed FROM flagged GROUP BY 1""")

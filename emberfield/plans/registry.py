@@ -88,6 +88,58 @@ def reject_bad_payloads(spark, sf_dir):
     )
 
 
+@query
+def landed_payloads(spark, sf_dir):
+    """Response bodies landed as one file per user group, each with its own column order, some of them messages."""
+    path = work_path(spark, "payloads")
+    landing.write_bodies(views.payload_lines(spark, sf_dir), path)
+    good, _ = landing.screen(landing.read_payloads(spark, path))
+    return landing.parse_payloads(good, "latitude double, longitude double, frp double").drop("path")
+
+
+def _chunk_folder(spark, sf_dir) -> str:
+    """Chunks of sensors with different columns in one folder, besides files that cannot be used."""
+    path = work_path(spark, "chunk-folder")
+    h = views.hotspots(spark, sf_dir)
+    nowhere = h.where(F.col("detection_id") % 50 == 0).select("detection_id", "frp")
+    torn = h.where(F.col("detection_id") % 50 == 1).select("latitude", F.concat("longitude", F.lit(",9")).alias("longitude"))
+    for feed in (*_by_sensor(spark, sf_dir), nowhere):
+        landing.write_csv(feed, path, "append")
+    torn.na.drop().write.mode("append").csv(path, header=True, quote="")
+    return path
+
+
+@query
+def load_chunks(spark, sf_dir):
+    rows, _ = landing.load_chunks(spark, _chunk_folder(spark, sf_dir))
+    return rows
+
+
+@query
+def chunk_report(spark, sf_dir):
+    """What became of the lines of the files, by the reason for leaving a file out."""
+    _, report = landing.load_chunks(spark, _chunk_folder(spark, sf_dir))
+    return report.groupBy(F.coalesce("reason", F.lit("read")).alias("reason")).agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_bad").alias("n_bad")
+    )
+
+
+@query
+def landing_resume(spark, sf_dir):
+    """Chunks landed in two runs, the second after one that stopped between its data and its manifest."""
+    root = work_path(spark, "landing")
+    h = views.hotspots(spark, sf_dir)
+    begin = F.date_sub("acq_date", F.dayofmonth("acq_date") % fetchplan.CHUNK_DAYS)
+    rows = h.select(
+        "detection_id", "frp", F.col("satellite_source").alias("source"), F.date_format("acq_date", "yyyy-MM").alias("month"),
+        fetchplan.chunk_key(F.col("satellite_source"), begin).alias("chunk_key"),
+    )
+    landing.land_chunks(rows.where(F.col("source") == "MODIS"), root)
+    landing.write_table(rows.where(F.col("source") == "VIIRS_SNPP").where(F.col("detection_id") % 2 == 0), f"{root}/chunks")
+    landing.land_chunks(rows, root)
+    return landing.read_landed(spark, root).join(landing.landed_keys(spark, root), "chunk_key")
+
+
 def _feeds(spark, sf_dir) -> DataFrame:
     """(feed, start, end) from the detections: every sensor over the whole period."""
     h = views.hotspots(spark, sf_dir)
@@ -231,8 +283,11 @@ def category_archive(spark, sf_dir):
 @query
 def features_labeled(spark, sf_dir):
     """The whole path: confirmation, land use, distance, features, category."""
-    polygons = views.landuse(spark, sf_dir)
-    rows = written(coincidence.with_co_confirmed(placed(spark, sf_dir)), "confirmed")
+    return _labeled(placed(spark, sf_dir), views.landuse(spark, sf_dir))
+
+
+def _labeled(rows: DataFrame, polygons: DataFrame) -> DataFrame:
+    rows = written(coincidence.with_co_confirmed(rows), "confirmed")
     rows = landuse.with_industrial_distance(landuse.with_land_use(rows, polygons), polygons)
     out = features.all_features(written(rows, "enriched")).withColumn(
         "distance_to_industrial", half_even(F.col("distance_to_industrial"), 3)
@@ -240,6 +295,15 @@ def features_labeled(spark, sf_dir):
     return out.withColumn("log_frp", half_even(F.col("log_frp"), 6))
 
 
+@query
+def features_labeled_ingest(spark, sf_dir):
+    """From the feeds on: brightness shared per feed, union of overlapping landings, duplicates, then the whole path."""
+    feeds = [combine.share_brightness(f) for f in _by_sensor(spark, sf_dir)]
+    rows = combine.drop_exact_duplicates(views.landed_twice(combine.union_feeds(feeds)))
+    rows = drop_without_coordinates(written(rows, "combined"))
+    return _labeled(rows, views.landuse(spark, sf_dir))
+
+
 # --- spatial joins -----------------------------------------------------------
 
 

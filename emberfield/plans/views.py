@@ -136,3 +136,23 @@ FROM events
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, "events", PAYLOADS_SQL)
+
+
+# Response lines by user group: three column orders, every seventh group a message only.
+PAYLOAD_LINES_SQL = """
+SELECT user_id%40 AS grp, event_id AS at,
+  CASE WHEN user_id%40%7=3 THEN 'Invalid request for this area'
+       WHEN user_id%40%3=0 THEN concat(CAST(8 + event_id%27 AS STRING), '.5,', CAST(69 + user_id%28 AS STRING), '.25,', CAST(event_id%90 AS STRING))
+       WHEN user_id%40%3=1 THEN concat(CAST(event_id%90 AS STRING), ',', CAST(8 + event_id%27 AS STRING), '.5,', CAST(69 + user_id%28 AS STRING), '.25')
+       ELSE concat(CAST(8 + event_id%27 AS STRING), '.5,', CAST(69 + user_id%28 AS STRING), '.25') END AS line
+FROM events
+"""
+
+
+def payload_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(grp, at, line) with a header line of its own for every group."""
+    lines = _derive(spark, sf_dir, "events", PAYLOAD_LINES_SQL)
+    kind = F.col("grp") % 3
+    header = F.when(kind == 0, "latitude,longitude,frp").when(kind == 1, "frp,latitude,longitude").otherwise("latitude,longitude")
+    groups = lines.where(F.col("grp") % 7 != 3).select("grp").distinct()
+    return lines.unionByName(groups.select("grp", F.lit(-1).cast("bigint").alias("at"), header.alias("line")))

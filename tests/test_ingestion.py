@@ -38,3 +38,45 @@ def test_nan_is_missing(spark):
 def test_only_one_process_needs_no_shared_folder():
     assert [session.needs_no_shared_folder(m) for m in ("local", "local[8]", "local-cluster[2,1,512]", "yarn", "spark://h:1")] == [
         True, True, False, False, False]
+
+
+def test_chunks_of_different_layout_load_together(spark, tmp_path):
+    texts = {
+        "a.csv": "latitude,longitude,bright_ti4,extra\n1.5,2,300,q\n2.5,NaN,301,w\n",
+        "b.csv": "﻿longitude,latitude,brightness\r\n3,4,310\r\n",
+        "c.csv": "", "d.csv": "foo,bar\n1,2\n", "e.csv": "latitude,longitude\n1,2,3\n3,4\n",
+        "f.csv": "latitude,longitude,latitude\n1,2,3\n", "g.csv": "latitude,longitude\n", "h.txt": "latitude,longitude\n7,7\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    rows, report = landing.load_chunks(spark, str(tmp_path))
+    got = rows.select("latitude", "longitude", "bright_ti4", "brightness", "extra", "frp").collect()
+    assert sorted(map(tuple, got)) == [(1.5, 2.0, 300.0, None, "q", None), (2.5, None, 301.0, None, "w", None), (4.0, 3.0, None, 310.0, None, None)]
+    assert {r.path.rsplit("/", 1)[1]: (r.reason, r.n_rows, r.n_bad) for r in report.collect()} == {
+        "a.csv": (None, 2, 0), "b.csv": (None, 1, 0), "c.csv": ("empty", 0, 0), "d.csv": ("no column latitude, longitude", 0, 0),
+        "e.csv": ("damaged line", 2, 1), "f.csv": ("repeated column", 0, 0), "g.csv": (None, 0, 0),
+    }
+    nothing, report = landing.load_chunks(spark, str(tmp_path), glob="*.none")
+    assert (nothing.count(), report.count()) == (0, 0)
+
+
+def test_damaged_lines_are_seen_whatever_columns_are_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("latitude,longitude,frp\n1,2,3\n4,5,6,7\n")
+    rows = landing.read_csv(spark, str(tmp_path / "a.csv"), COLUMNS)
+    assert [r.latitude for r in rows.where(F.col(landing.BAD_LINE).isNull()).select("latitude").collect()] == [1.0]
+
+
+def test_a_stopped_landing_leaves_every_chunk_once(spark, tmp_path):
+    root = str(tmp_path / "root")
+    rows = spark.createDataFrame(
+        [("A", "2024-01", "k1", 1), ("A", "2024-01", "k2", 2), ("A", "2024-01", "k2", 3), ("B", "2024-02", "k3", 4)],
+        "source string, month string, chunk_key string, n int",
+    )
+    assert landing.landed_keys(spark, root).count() == 0
+    landing.land_chunks(rows.where("chunk_key = 'k1'"), root)
+    landing.write_table(rows.where("n = 2"), f"{root}/chunks")  # stopped before its manifest
+    assert [r.n for r in landing.read_landed(spark, root).collect()] == [1]
+    landing.land_chunks(rows, root)
+    landing.land_chunks(rows.withColumn("n", F.col("n") + 100), root)  # all landed already
+    assert sorted(r.n for r in landing.read_landed(spark, root).collect()) == [1, 2, 3, 4]
+    assert sorted(map(tuple, landing.landed_keys(spark, root).collect())) == [("k1", 1), ("k2", 2), ("k3", 1)]
