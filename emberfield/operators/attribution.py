@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import fixed_text
@@ -29,18 +29,23 @@ FRIENDLY = {
 }
 
 
+BASE = "(base)"
+
+
 def shapley_values(
     model, rows: DataFrame, features: list[str], classes: list[str],
     max_rows: int | None = None, orders: int = 6, seed: int = 42, background_rows: int = BACKGROUND_ROWS,
+    with_base: bool = False,
 ) -> DataFrame:
     """(detection_id, feature, class, value): sampled Shapley contributions.
 
     ``rows`` has detection_id and a ``features`` vector. All rows are explained (``max_rows``: a uniform
     sample of that size), each against one of ``background_rows`` sampled rows, picked by a hash of its id.
     Along a feature
-    order the row's values replace those of the other row one by one, all the
-    resulting vectors are scored in one distributed pass, and a feature's
-    contribution is the change it causes, averaged over ``orders`` orders.
+    order the row's values replace those of the other row one by one, and a feature's contribution is the change it
+    causes, averaged over ``orders`` orders. A step's two vectors stand in one row and are scored there, so that
+    only sums per detection, feature and class are shuffled. ``with_base`` adds a feature ``(base)``, the class
+    probability of the other row: with it, a class's values add up to the probability that the model gives the detection.
     """
     vectors = rows.select("detection_id", vector_to_array("features").alias("x"))
     chosen = sample_exactly(vectors, max_rows, seed=seed) if max_rows else vectors
@@ -59,39 +64,56 @@ def shapley_values(
         order = rng.sample(range(n), n)
         place.append([order.index(f) for f in range(n)])
     places = F.array(*[F.array(*[F.lit(p) for p in ps]) for ps in place])
-    mixed = (
-        paired.withColumn("place", F.explode(places))
-        .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n))))
-        .withColumn(
-            "features",
-            array_to_vector(
-                F.zip_with(
-                    F.col("place"), F.arrays_zip("x", "base"),
-                    lambda p, v: F.when(p < F.col("step"), v["x"]).otherwise(v["base"]),
-                )
-            ),
-        )
-    )
-    scored = model.transform(mixed).select(
-        "detection_id", "place", "step", vector_to_array("probability").alias("p")
+
+    def switched(step) -> Column:
+        """The vector after ``step`` switches."""
+        return array_to_vector(F.zip_with(
+            F.col("place"), F.arrays_zip("x", "base"), lambda p, v: F.when(p < step, v["x"]).otherwise(v["base"])
+        ))
+
+    steps = (
+        paired.withColumn("place", F.explode(places)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(n))))
+        .select("detection_id", "step", F.array_position("place", F.col("step") - 1).alias("which"),
+                switched(F.col("step") - 1).alias("before"), switched(F.col("step")).alias("after"))
     )
-    along = Window.partitionBy("detection_id", "place").orderBy("step")  # n + 1 rows
-    change = F.zip_with("p", F.lag("p").over(along), lambda a, b: a - b)
-    moved = scored.withColumn("d", change).where(F.col("step") > 0)
-    which = F.array_position("place", F.col("step") - 1)
+    for name in ("before", "after"):
+        steps = _probabilities(model, steps, name)
     names = F.array(*[F.lit(f) for f in features])
     labels = F.array(*[F.lit(c) for c in classes])
+    change = F.struct(F.element_at(names, F.col("which").cast("int")).alias("feature"),
+                      F.zip_with("after", "before", lambda a, b: a - b).alias("d"))
+    start = F.struct(F.lit(BASE).alias("feature"), F.col("before").alias("d"))
+    if with_base:
+        parts = F.when(F.col("step") == 1, F.array(change, start)).otherwise(F.array(change))
+        moved = steps.select("detection_id", F.explode(parts).alias("m"))
+    else:
+        moved = steps.select("detection_id", change.alias("m"))
     return (
-        moved.select("detection_id", F.element_at(names, which.cast("int")).alias("feature"),
-                     F.posexplode("d").alias("k", "value"))
+        moved.select("detection_id", "m.feature", F.posexplode("m.d").alias("k", "value"))
         .groupBy("detection_id", "feature", F.element_at(labels, F.col("k") + 1).alias("class"))
         .agg(F.avg("value").alias("value"))
     )
 
 
+def _probabilities(model, df: DataFrame, vector: str) -> DataFrame:
+    """``df`` with the vector column replaced by the class probabilities that ``model`` gives it."""
+    there = {model.featuresCol: vector, model.probabilityCol: f"_p_{vector}", model.rawPredictionCol: "", model.predictionCol: ""}
+    scored = model.transform(df, there)
+    return scored.withColumn(vector, vector_to_array(f"_p_{vector}")).drop(f"_p_{vector}")
+
+
+def decision_values(values: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(detection_id, feature, value) for the class that each row of ``verdicts`` (detection_id, verdict) names.
+
+    The input of :func:`explain_text`, without the base.
+    """
+    own = values.join(verdicts.select("detection_id", "verdict"), "detection_id")
+    return own.where((F.col("class") == F.col("verdict")) & (F.col("feature") != BASE)).select("detection_id", "feature", "value")
+
+
 def importance(values: DataFrame, top: int | None = None) -> DataFrame:
     """Mean absolute contribution per feature, over rows and classes."""
-    table = values.groupBy("feature").agg(F.avg(F.abs("value")).alias("mean_abs"))
+    table = values.where(F.col("feature") != BASE).groupBy("feature").agg(F.avg(F.abs("value")).alias("mean_abs"))
     table = table.orderBy(F.col("mean_abs").desc(), "feature")
     return table.limit(top) if top else table
 

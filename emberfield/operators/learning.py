@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -20,6 +22,8 @@ from .encoding import feature_names
 from .metrics import class_weights, overall_metrics
 from .sampling import stratified_folds, stratified_split, stratified_subset
 
+#: Folds and settings that are fitted at the same time.
+PARALLEL_FITS = 4
 # Fixed values of the training step.
 SEARCH_TRIES = 10
 CURVE_SHARES = (0.2, 0.4, 0.6, 0.8, 1.0)
@@ -161,10 +165,12 @@ def model_search(
     rows, _ = encoded(df)
     rows = written(stratified_folds(stratified_split(rows).where(~F.col("is_test")).drop("is_test")), "search")
     settings = _draws(space or SEARCH_SPACE, tries, seed)
+    bounded = lambda t: _bounded(t, max_fit_rows)
+    jobs = [(f, bounded, forest(**s)) for s in settings for f in range(3)]
+    scores = [float(held["macro_f1"]) for _, held, _ in _fold_scores(rows, jobs)]
     results = []
     for i, s in enumerate(settings):
-        got = [float(held["macro_f1"]) for _, held, _ in
-               _fold_scores(rows, range(3), lambda t: _bounded(t, max_fit_rows), forest(**s))]
+        got = scores[3 * i:3 * i + 3]
         mean = sum(got) / 3
         results.append((i, str(sorted(s.items())), mean, (sum((x - mean) ** 2 for x in got) / 3) ** 0.5))
     best = settings[max(results, key=lambda r: r[2])[0]]
@@ -181,25 +187,30 @@ def search_and_refit(df: DataFrame, **search) -> tuple[PipelineModel, DataFrame,
     return model, scored, trials
 
 
-def _fold_scores(rows: DataFrame, folds: Sequence[int], train_rows=None, classifier=None, both=False):
-    """Yields (fold, metrics row on the held-out fold, and with ``both`` on the training rows)."""
-    for f in folds:
-        train = rows.where(F.col("fold") != f)
-        if train_rows is not None:
-            train = train_rows(train)
-        model = (classifier or forest()).fit(train)
+def _fold_scores(rows: DataFrame, jobs: Sequence[tuple], both: bool = False, parallel: int = PARALLEL_FITS) -> list[tuple]:
+    """Per job (fold, training rows of all rows outside it, classifier), in order: (fold, metrics row on the fold, and
+    with ``both`` on the training rows). Up to ``parallel`` jobs run at once, so that small fits share the cluster."""
+
+    def run(job: tuple) -> tuple:
+        f, train_rows, classifier = job
+        train = train_rows(rows.where(F.col("fold") != f))
+        model = classifier.fit(train)
         held_out = overall_metrics(model.transform(rows.where(F.col("fold") == f)), "label", "prediction")
         seen = overall_metrics(model.transform(train), "label", "prediction").first() if both else None
-        yield f, held_out.first(), seen
+        return f, held_out.first(), seen
+
+    with ThreadPool(max(1, min(parallel, len(jobs)))) as pool:
+        return pool.map(inheritable_thread_target(rows.sparkSession)(run), jobs, chunksize=1)
 
 
 def cv_summary(df: DataFrame, classifier=None, max_fit_rows: int | None = None) -> DataFrame:
     """Mean and population deviation over 3 folds of accuracy and macro F1. ``max_fit_rows`` bounds training rows only."""
     rows, _ = encoded(df)
-    rows = stratified_folds(rows)
+    rows = written(stratified_folds(rows), "folds")
+    jobs = [(f, lambda t: _bounded(t, max_fit_rows), classifier or forest()) for f in range(3)]
     scores = [
         (name, f, float(held[key]))
-        for f, held, _ in _fold_scores(rows, range(3), lambda t: _bounded(t, max_fit_rows), classifier)
+        for f, held, _ in _fold_scores(rows, jobs)
         for name, key in (("accuracy", "accuracy"), ("f1_macro", "macro_f1"))
     ]
     table = df.sparkSession.createDataFrame(scores, "metric string, fold int, score double")
@@ -217,14 +228,17 @@ def learning_curve(df: DataFrame, shares: Sequence[float] = CURVE_SHARES, classi
     """
     rows, _ = encoded(df)
     rows = written(stratified_folds(rows), "curve")
-    scores = []
-    for share in shares:
-        sample = lambda train: _bounded(train, max_fit_rows)
-        if share < 1.0:
-            sample = lambda train, s=share: stratified_split(
-                _bounded(train, max_fit_rows), test_share=s, seed="curve").where("is_test")
-        for f, held, seen in _fold_scores(rows, range(3), sample, classifier, both=True):
-            scores.append((share, f, int(seen["n"]), float(seen["macro_f1"]), float(held["macro_f1"])))
+
+    def sample(share: float):
+        if share >= 1.0:
+            return lambda train: _bounded(train, max_fit_rows)
+        return lambda train: stratified_split(_bounded(train, max_fit_rows), test_share=share, seed="curve").where("is_test")
+
+    asked = [(share, (f, sample(share), classifier or forest())) for share in shares for f in range(3)]
+    scores = [
+        (share, f, int(seen["n"]), float(seen["macro_f1"]), float(held["macro_f1"]))
+        for (share, _), (f, held, seen) in zip(asked, _fold_scores(rows, [job for _, job in asked], both=True))
+    ]
     table = df.sparkSession.createDataFrame(
         scores, "share double, fold int, rows long, train_f1 double, held_out_f1 double"
     )

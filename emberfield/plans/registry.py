@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -631,7 +632,10 @@ def score_validity(spark, sf_dir):
 @query
 def evaluation_support(spark, sf_dir):
     """Held-out rows per class as the rows of a trained model's confusion matrix; whether it beats the largest class."""
-    _, scored = learning.train_and_evaluate(_training_rows(spark, sf_dir), learning.forest(numTrees=20))
+    return _support(*learning.train_and_evaluate(_training_rows(spark, sf_dir), learning.forest(numTrees=20)))
+
+
+def _support(_, scored: DataFrame) -> DataFrame:
     scored = written(scored, "scored")
     table = metrics.confusion_matrix(scored, CATEGORIES)
     support = sum((F.col(f"`{c}`") for c in CATEGORIES), F.lit(0))
@@ -666,20 +670,64 @@ def model_search(spark, sf_dir):
     return table
 
 
+@query
+def search_support(spark, sf_dir):
+    """Search on the training split, refit of the best settings, evaluation: support per class and number of trials."""
+    _, scored, trials = learning.search_and_refit(
+        _training_rows(spark, sf_dir), space={"numTrees": [5, 10], "maxDepth": [4, 6, 8]}, tries=2
+    )
+    return _support(None, scored).withColumn("trials", F.lit(trials.count()))
+
+
 @query
 def learning_curve(spark, sf_dir):
     return learning.learning_curve(_training_rows(spark, sf_dir), classifier=learning.forest(numTrees=10, maxDepth=6))
 
 
-@query
-def attribution_importance(spark, sf_dir):
+def _contributions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Contributions to a forest's scores, and its decisions (detection_id, verdict, p)."""
     rows, stages = learning.encoded(_training_rows(spark, sf_dir))
     model = learning.fit_weighted(rows, learning.forest(numTrees=20, maxDepth=6))
     index, inputs, target = stages.stages
     values = attribution.shapley_values(
-        model, rows.select("detection_id", "features"), inputs.getInputCols(), target.labels, orders=3
+        model, rows.select("detection_id", "features"), inputs.getInputCols(), target.labels, orders=3, with_base=True
+    )
+    verdict = F.element_at(F.array(*[F.lit(c) for c in target.labels]), F.col("prediction").cast("int") + 1)
+    decisions = model.transform(rows).select(
+        "detection_id", verdict.alias("verdict"), F.array_max(vector_to_array("probability")).alias("p")
+    )
+    return values, decisions
+
+
+@query
+def attribution_importance(spark, sf_dir):
+    return attribution.importance(_contributions(spark, sf_dir)[0])
+
+
+@query
+def explain_decisions(spark, sf_dir):
+    """Why the forest decided as it did, one sentence per detection."""
+    values, decisions = _contributions(spark, sf_dir)
+    values, decisions = written(values, "contributions"), written(decisions, "decisions")
+    return attribution.explain_text(attribution.decision_values(values, decisions), decisions)
+
+
+@query
+def decision_balance(spark, sf_dir):
+    """Whether base and contributions add up to the probability of the decided class, and to one over all classes."""
+    values, decisions = _contributions(spark, sf_dir)
+    sums = values.groupBy("detection_id", "class").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("parts"))
+    return sums.join(decisions, "detection_id").groupBy("detection_id").agg(
+        F.max("parts").alias("parts"),
+        F.bool_and((F.col("class") != F.col("verdict")) | (F.abs(F.col("total") - F.col("p")) < 1e-9)).alias("adds_up"),
+        (F.abs(F.sum("total") - 1) < 1e-9).alias("shares"),
     )
-    return attribution.importance(values)
+
+
+@query
+def boosted_support(spark, sf_dir):
+    """Held-out rows per class as the rows of a boosted model's confusion matrix; whether it beats the largest class."""
+    return _support(*learning.train_and_evaluate(_training_rows(spark, sf_dir), learning.boosted(maxIter=3, maxDepth=3)))
 
 
 # --- streaming ---------------------------------------------------------------
