@@ -225,7 +225,7 @@ def fit_pii(docs: DataFrame, max_docs: int = MAX_FIT_DOCS, max_tokens: int = MAX
     k = len(LABELS)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = []
+        found, places = [], []
         for text in strings(batch.column(0)):
             doc = read(text)
             if doc is None:
@@ -239,10 +239,13 @@ def fit_pii(docs: DataFrame, max_docs: int = MAX_FIT_DOCS, max_tokens: int = MAX
                 near[j, 2 * k + labels[i]] += 1
                 near[i, 2 * k + labels[j]] += 1
             found += [np.concatenate([[x], f, n]).astype("<f4").tobytes() for x, f, n in zip(labels, doc.flags, near)]
-        return pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["row"])
+            text_key = hashlib.md5(text.encode()).hexdigest()
+            places += [f"{text_key}:{start}" for start, _ in doc.spans]
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(places, pa.string())], ["row", "place"])
 
-    tokens = by_batch(rows.select("text"), run, "row binary")
-    got = sorted(bytes(r["row"]) for r in bounded_sample(tokens, max_tokens, "row").collect())
+    # ranked by text and position: tokens that look alike are drawn one by one
+    tokens = by_batch(rows.select("text"), run, "row binary, place string")
+    got = sorted(bytes(r["row"]) for r in bounded_sample(tokens, max_tokens, "place", "row").collect())
     data = np.frombuffer(b"".join(got), "<f4").astype(float).reshape(-1, 1 + N_FLAGS + 3 * k)
     return fit_field(data[:, 1:1 + N_FLAGS], data[:, 0].astype(int), data[:, 1 + N_FLAGS:])
 
@@ -286,46 +289,56 @@ def spell(spans: list[Span]) -> str:
 
 
 def pii_spans(docs: DataFrame, field: Field) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every whole text.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, text_md5 for every whole text.
 
     The counts and ``base_sha256`` are those of the fixed patterns; ``spans`` holds these and what the field adds, by
     start, then kind (email, ip, card, phone, secret), in code points, end exclusive. Null and empty texts have none.
+    ``text_md5`` is the text's digest, so that spans are never taken for those of another text of the same id.
     Repeated rows repeat; other columns are ignored; an empty table gives an empty result.
     """
     names = [f"n_{k}" for k in BASE_KINDS]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, digests, spelled = [], [], []
+        counts, digests, spelled, texts = [], [], [], []
         for text in strings(batch.column(1)):
             base = base_spans(text)
             every = sorted(base + added_spans(text, base, field), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
             counts.append([sum(s[0] == k for s in base) for k in BASE_KINDS])
             digests.append(hashlib.sha256(spell(base).encode()).hexdigest())
             spelled.append(spell(every))
+            texts.append(hashlib.md5(text.encode()).hexdigest())
         columns = [pa.array(c) for c in np.array(counts, np.int64).T]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(digests), pa.array(spelled)], ["doc_id", *names, "base_sha256", "spans"])
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(digests), pa.array(spelled), pa.array(texts)],
+                                          ["doc_id", *names, "base_sha256", "spans", "text_md5"])
 
-    schema = ", ".join([f"doc_id {dict(docs.dtypes)['doc_id']}", *[f"{n} long" for n in names], "base_sha256 string, spans string"])
+    schema = ", ".join([f"doc_id {dict(docs.dtypes)['doc_id']}", *[f"{n} long" for n in names], "base_sha256 string, spans string, text_md5 string"])
     return by_batch(docs.select("doc_id", "text"), run, schema)
 
 
 def masked(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``spans`` (doc_id, spans) replaced by its kind in angle brackets."""
-    joined = docs.join(spans.select(F.col("doc_id").alias("span_id"), "spans").dropDuplicates(["span_id"]), F.col("doc_id") == F.col("span_id"), "left")
-    joined = joined.select(*[f"`{c}`" for c in docs.columns], "spans")
+    """``docs`` with every span of ``spans`` (doc_id, text_md5, spans) replaced by its kind in angle brackets.
+
+    Rows find their spans by id and text, a null id like any other, so an id that comes with several texts has each
+    masked at its own places. Null and empty texts stay; repeated rows repeat; extra columns stay whatever their
+    names; an empty table gives an empty result.
+    """
+    own = docs.select(F.struct("*").alias("row")).withColumn("digest", F.md5(F.coalesce("row.text", F.lit(""))))
+    found = spans.select(F.col("doc_id").alias("span_id"), "text_md5", "spans").dropDuplicates(["span_id", "text_md5"])
+    same = F.col("row.doc_id").eqNullSafe(F.col("span_id")) & (F.col("digest") == F.col("text_md5"))
+    joined = own.join(found.where("spans <> ''"), same, "left").select("row", "spans")
     docs_columns = docs.columns
     at = docs_columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for text, spelled in zip(batch.column(at).to_pylist(), batch.column(len(docs_columns)).to_pylist()):
+        columns = batch.column(0).flatten()
+        for text, spelled in zip(columns[at].to_pylist(), batch.column(1).to_pylist()):
             pieces, done = [], 0
             for kind, a, b in (s.split(":") for s in (spelled or "").split(",") if s):
                 if int(a) >= done:
                     pieces += [text[done:int(a)], f"<{kind}>"]
                 done = max(done, int(b))
             out.append("".join([*pieces, text[done:]]) if pieces else text)
-        columns = list(batch.columns[:-1])
         columns[at] = pa.array(out, pa.string())
         return pa.RecordBatch.from_arrays(columns, docs_columns)
 
