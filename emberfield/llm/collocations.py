@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,6 +25,8 @@ RELATION_BYTES = 8 << 20
 SEGMENT_BYTES = 1 << 20
 #: Frequent keys go to every task for the semi-join up to this many (8 bytes each); beyond, the phrases are shuffled to them.
 BROADCAST_KEYS = 1_000_000
+#: Keys are counted in ranges; a range holds about this many phrase occurrences at most, so the ranges grow with the corpus.
+RANGE_KEYS = 1 << 21
 
 BREAK = b"\xff"  # in no UTF-8 text
 _FOLD = bytearray(range(256))
@@ -120,30 +124,99 @@ def _keys(lang: str, tuples: np.ndarray, words: pa.Array) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _groups(relations: DataFrame, size: int) -> DataFrame:
-    """(chunk, item, key, n): the phrases of every relation with their counts there."""
+def _leading(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The first ``bits`` bits of every key."""
+    return (keys.view(np.uint64) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _groups(relations: DataFrame, size: int, bits: int) -> DataFrame:
+    """(chunk, item, key): the phrases of every relation."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        chunks, items, keys, counts = [], [], [], []
+        chunks, items, keys = [], [], []
         for row, (chunk, lang) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
             tuples = _unpacked(batch.column(2)[row]).reshape(-1, size)
             chunks.append(np.full(len(tuples), chunk, np.int64))
             items.append(np.arange(len(tuples), dtype=np.int32))
-            keys.append(_keys(lang, tuples, _word_list(batch.column(4)[row])))
-            counts.append(_unpacked(batch.column(3)[row]))
-        columns = [pa.array(np.concatenate(x) if x else np.empty(0, k)) for x, k in ((chunks, np.int64), (items, np.int32), (keys, np.int64), (counts, np.int64))]
-        return pa.RecordBatch.from_arrays(columns, ["chunk", "item", "key", "n"])
+            keys.append(_leading(_keys(lang, tuples, _word_list(batch.column(3)[row])), bits))
+        columns = [pa.array(np.concatenate(x) if x else np.empty(0, k)) for x, k in ((chunks, np.int64), (items, np.int32), (keys, np.int64))]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "item", "key"])
+
+    return by_batch(relations.select("chunk", "lang", "tuples", "words"), run, "chunk long, item int, key long")
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sum of each one's counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
 
-    return by_batch(relations.select("chunk", "lang", "tuples", "counts", "words"), run, "chunk long, item int, key long, n long")
+def _planes(numbers: np.ndarray) -> bytes:
+    """The width of one number, then all lowest bytes, all second ones and so on: high bytes are mostly zero and compress well."""
+    kind = np.min_scalar_type(int(numbers.max()))
+    return bytes([kind.itemsize]) + numbers.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
 
 
-def _longer(relations: DataFrame, often: DataFrame, size: int, longest: int) -> DataFrame:
+def _from_planes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"u{data[0]}").ravel().astype(np.int64)
+
+
+def _frequent_keys(relations: DataFrame, size: int, least: int, bits: int, range_bits: int) -> DataFrame:
+    """(key): keys of ``bits`` bits that come at least ``least`` times.
+
+    A batch sends its sorted distinct keys as differences, a row per range of keys: two or three bytes a key instead of
+    a row each. Ranges are merged one at a time, so a task holds the distinct keys of one range, however many it gets.
+    """
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for row, lang in enumerate(batch.column(0).to_pylist()):
+            keys.append(_leading(_keys(lang, _unpacked(batch.column(1)[row]).reshape(-1, size), _word_list(batch.column(3)[row])), bits))
+            counts.append(_unpacked(batch.column(2)[row]))
+        key, n = _summed(np.concatenate(keys), np.concatenate(counts))
+        ranges, starts = np.unique(key >> (bits - range_bits), return_index=True)
+        ends = [*starts[1:], len(key)]
+        packed = [(_planes(np.diff(key[a:b], prepend=r << (bits - range_bits))), _planes(n[a:b])) for r, a, b in zip(ranges.tolist(), starts, ends)]
+        columns = [pa.array(ranges, pa.int64()), pa.array([k for k, _ in packed], pa.binary()), pa.array([c for _, c in packed], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["part", "keys", "counts"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, counts, held, limit = None, [], [], 0, RANGE_KEYS
+
+        def passing() -> pa.RecordBatch:
+            key, n = _summed(np.concatenate(keys), np.concatenate(counts))
+            return pa.RecordBatch.from_arrays([pa.array(key[n >= least])], ["key"])
+
+        for batch in batches:
+            for row, part in enumerate(batch.column(0).to_pylist()):
+                if part != now:
+                    if keys:
+                        yield passing()
+                    now, keys, counts, held, limit = part, [], [], 0, RANGE_KEYS
+                steps = _from_planes(batch.column(1)[row].as_py())
+                keys.append(np.cumsum(steps) + (part << (bits - range_bits)))
+                counts.append(_from_planes(batch.column(2)[row].as_py()))
+                held += len(steps)
+                if held > limit:
+                    key, n = _summed(np.concatenate(keys), np.concatenate(counts))
+                    keys, counts, held, limit = [key], [n], len(key), max(RANGE_KEYS, 2 * len(key))
+        if keys:
+            yield passing()
+
+    packed = by_batch(relations.select("lang", "tuples", "counts", "words"), pack, "part long, keys binary, counts binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "key long")
+
+
+def _longer(relations: DataFrame, often: DataFrame, size: int, longest: int, bits: int) -> DataFrame:
     """The relation of phrases of ``size`` + 1 words: two phrases with a key in ``often`` at neighbouring places of one piece."""
     keys, columns = None, ["lang", "step", "item", "tuples", "counts", "words"]
     if often.count() <= BROADCAST_KEYS:
         keys = np.sort(often.toArrow().column("key").to_numpy())
     else:
-        kept = _groups(relations, size).join(often, "key", "left_semi").groupBy("chunk").agg(F.collect_list("item").alias("kept"))
+        kept = _groups(relations, size, bits).join(often, "key", "left_semi").groupBy("chunk").agg(F.collect_list("item").alias("kept"))
         relations, columns = relations.join(kept, "chunk"), [*columns, "kept"]
 
     def extend(lang: str, at: np.ndarray, item: np.ndarray, tuples: np.ndarray, counts: np.ndarray, words: pa.Array, keep: np.ndarray) -> dict:
@@ -167,7 +240,7 @@ def _longer(relations: DataFrame, often: DataFrame, size: int, longest: int) ->
             if keys is None:
                 keep = np.sort(batch.column(6)[row].values.to_numpy(zero_copy_only=False))
             else:
-                own = _keys(lang, tuples, words)
+                own = _leading(_keys(lang, tuples, words), bits)
                 keep = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own) if len(keys) else np.empty(0, np.int64)
             if len(keep):
                 rows.append(extend(lang, np.cumsum(step), item, tuples, counts, words, keep))
@@ -187,17 +260,20 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     """((lang, size, phrase, f) of all phrases with at least ``least`` occurrences; (lang, n) with all words counted).
 
     Level by level, the stored relation of k-word occurrences is grouped and counted, the occurrences of phrases below
-    ``least`` leave by a semi-join, and those that stay meet at neighbouring places. The semi-join goes by 64-bit keys
-    summed over the corpus: a collision lets a rare phrase pass to the next level and no more, since the result counts
-    the phrases themselves. Only phrases, never their occurrences, are shuffled by key; a very common one is one row
-    per relation at most. Up to ``BROADCAST_KEYS`` frequent keys the relations stay where they are.
+    ``least`` leave by a semi-join, and those that stay meet at neighbouring places. The semi-join goes by hash keys
+    summed over the corpus, with at least 16 values per occurrence: a collision lets a rare phrase pass to the next level
+    and no more, since the result counts the phrases themselves. Only phrases, never their occurrences, are shuffled by
+    key; a very common one comes once per batch at most. Up to ``BROADCAST_KEYS`` frequent keys the relations stay where they are.
     """
     relations = _stored(occurrences(docs), 1)
     totals = written(relations.groupBy("lang").agg(F.sum("n").alias("n")), "words-by-language")
     found = []
     for size in range(1, longest + 1):
-        often = written(_groups(relations, size).select("key", "n").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"), "frequent-keys")
-        shorter, relations = relations, _stored(_longer(relations, often, size, longest), size + 1)
+        occurring = relations.agg(F.sum("n")).first()[0] or 0
+        range_bits = (occurring // RANGE_KEYS).bit_length()
+        bits = min(62, max(occurring.bit_length() + 4, range_bits + 8))
+        often = written(_frequent_keys(relations, size, least, bits, range_bits), "frequent-keys")
+        shorter, relations = relations, _stored(_longer(relations, often, size, longest, bits), size + 1)
         discard(shorter)
         done = relations.select("lang", F.explode(F.arrays_zip("done", "done_counts")).alias("x"))
         counted = done.groupBy("lang", F.col("x.done").alias("phrase")).agg(F.sum("x.done_counts").alias("f")).where(F.col("f") >= least)

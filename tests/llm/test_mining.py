@@ -76,6 +76,17 @@ def test_collocations_shuffled_keys(spark, monkeypatch):
     assert rows_of(collocations.collocations(docs)) == phrases_of(rows, 30)
 
 
+def test_collocations_key_ranges(spark, monkeypatch):
+    """Ranges of few keys, merged several times, give the rows of one range."""
+    rows = [(" ".join(f"w{(i * 7 + j * j) % 23}" for j in range(60)), "en" if i % 3 else None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    monkeypatch.setattr(collocations, "RANGE_KEYS", 16)
+    monkeypatch.setattr(collocations, "RELATION_BYTES", 2000)
+    assert rows_of(collocations.collocations(docs, least=5)) == phrases_of(rows, 5)
+    numbers = np.array([0, 1, 255, 256, 70_000, 1 << 40])
+    assert (collocations._from_planes(collocations._planes(numbers)) == numbers).all()
+
+
 def test_collocations_key_collisions(spark, monkeypatch):
     """Equal keys of different phrases cost work but change no count."""
     monkeypatch.setattr(collocations, "_keys", lambda lang, tuples, words: np.arange(len(tuples), dtype=np.int64) % 3)
