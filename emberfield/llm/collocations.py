@@ -38,8 +38,8 @@ _FOLD = bytes(_FOLD)
 
 #: One sorted relation: occurrence i stands ``step[i]`` places after the one before it and is phrase ``item[i]``, which
 #: has the words ``tuples[item * k : item * k + k]`` of ``words`` and comes ``counts[item]`` times. ``n`` is
-#: the number of occurrences; ``done`` and ``done_counts`` are the phrases one word shorter that passed the semi-join, with
-#: their counts. Numbers and words are plain bytes, written without compression, so that a file takes hardly more memory than disk.
+#: the number of occurrences; ``done`` and ``done_counts`` are the phrases that passed the semi-join, with their counts. Numbers
+#: and words are plain bytes, written without compression, so that a file takes hardly more memory than disk.
 _RELATION = "lang string, step binary, item binary, tuples binary, counts binary, words binary, n long, done array<string>, done_counts array<long>"
 _NAMES = ["lang", "step", "item", "tuples", "counts", "words", "n", "done", "done_counts"]
 
@@ -129,6 +129,25 @@ def _leading(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys.view(np.uint64) >> np.uint64(64 - bits)).view(np.int64)
 
 
+_READ = ["lang", "step", "item", "tuples", "counts", "words"]
+
+
+def _candidates(batch: pa.RecordBatch, row: int, size: int, joined: bool) -> tuple:
+    """(lang, places, items, tuples, counts, words) of one relation of ``size`` words.
+
+    With ``joined`` the row holds phrases one word shorter, and two of them at neighbouring places of one piece make one.
+    """
+    step, item, tuples, counts = (_unpacked(batch.column(c)[row]) for c in (1, 2, 3, 4))
+    lang, at, words = batch.column(0)[row].as_py(), np.cumsum(step), _word_list(batch.column(5)[row])
+    tuples = tuples.reshape(-1, size - joined)
+    if joined:  # the merge-join: both sides are this sorted relation
+        left = np.flatnonzero(np.diff(at) == 1)
+        pairs, items, counts = np.unique(item[left] * len(tuples) + item[left + 1], return_inverse=True, return_counts=True)
+        at, item = at[left], items
+        tuples = np.column_stack([tuples[pairs // max(len(tuples), 1)], tuples[pairs % max(len(tuples), 1), -1:]])
+    return lang, at, item, tuples, counts, words
+
+
 def _groups(relations: DataFrame, size: int, bits: int) -> DataFrame:
     """(chunk, item, key): the phrases of every relation."""
 
@@ -164,8 +183,8 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"u{data[0]}").ravel().astype(np.int64)
 
 
-def _frequent_keys(relations: DataFrame, size: int, least: int, bits: int, range_bits: int) -> DataFrame:
-    """(key): keys of ``bits`` bits that come at least ``least`` times.
+def _frequent_keys(relations: DataFrame, size: int, joined: bool, least: int, bits: int, range_bits: int) -> DataFrame:
+    """(key): keys of ``bits`` bits of the candidates that come at least ``least`` times.
 
     A batch sends its sorted distinct keys as differences, a row per range of keys: two or three bytes a key instead of
     a row each. Ranges are merged one at a time, so a task holds the distinct keys of one range, however many it gets.
@@ -173,9 +192,10 @@ def _frequent_keys(relations: DataFrame, size: int, least: int, bits: int, range
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for row, lang in enumerate(batch.column(0).to_pylist()):
-            keys.append(_leading(_keys(lang, _unpacked(batch.column(1)[row]).reshape(-1, size), _word_list(batch.column(3)[row])), bits))
-            counts.append(_unpacked(batch.column(2)[row]))
+        for row in range(batch.num_rows):
+            lang, _, _, tuples, times, words = _candidates(batch, row, size, joined)
+            keys.append(_leading(_keys(lang, tuples, words), bits))
+            counts.append(times)
         key, n = _summed(np.concatenate(keys), np.concatenate(counts))
         ranges, starts = np.unique(key >> (bits - range_bits), return_index=True)
         ends = [*starts[1:], len(key)]
@@ -206,44 +226,54 @@ def _frequent_keys(relations: DataFrame, size: int, least: int, bits: int, range
         if keys:
             yield passing()
 
-    packed = by_batch(relations.select("lang", "tuples", "counts", "words"), pack, "part long, keys binary, counts binary")
+    packed = by_batch(relations.select(*_READ), pack, "part long, keys binary, counts binary")
     return packed.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "key long")
 
 
-def _longer(relations: DataFrame, often: DataFrame, size: int, longest: int, bits: int) -> DataFrame:
-    """The relation of phrases of ``size`` + 1 words: two phrases with a key in ``often`` at neighbouring places of one piece."""
-    keys, columns = None, ["lang", "step", "item", "tuples", "counts", "words"]
+def _joined(relations: DataFrame, size: int) -> DataFrame:
+    """All candidates of ``size`` words as relations."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for row in range(batch.num_rows):
+            lang, at, item, tuples, counts, words = _candidates(batch, row, size, True)
+            if len(at):
+                rows.append(_relation(lang, at, item, tuples, counts, words.cast(pa.binary()).to_pylist(), pa.array([], pa.string()), np.empty(0, np.int64)))
+        return _batch(rows)
+
+    return by_batch(relations.select(*_READ), run, _RELATION)
+
+
+def _passed(relations: DataFrame, often: DataFrame, size: int, joined: bool, longest: int, bits: int) -> DataFrame:
+    """The relation of the candidates of ``size`` words with a key in ``often``; of the longest only phrases and counts."""
+    keys, columns = None, _READ
     if often.count() <= BROADCAST_KEYS:
         keys = np.sort(often.toArrow().column("key").to_numpy())
     else:
+        if joined:  # both sides of the join must see the same rows
+            relations, joined = _stored(_joined(relations, size), size), False
         kept = _groups(relations, size, bits).join(often, "key", "left_semi").groupBy("chunk").agg(F.collect_list("item").alias("kept"))
         relations, columns = relations.join(kept, "chunk"), [*columns, "kept"]
 
-    def extend(lang: str, at: np.ndarray, item: np.ndarray, tuples: np.ndarray, counts: np.ndarray, words: pa.Array, keep: np.ndarray) -> dict:
-        done = pc.binary_join_element_wise(*[words.take(pa.array(c)) for c in tuples[keep].T], " ")
-        passes = np.zeros(len(tuples), bool)
-        passes[keep] = True
-        stays = passes[item]
-        at, item = at[stays], item[stays]
-        # the merge-join: both sides are this sorted relation
-        left = np.flatnonzero(np.diff(at) == 1) if size < longest else np.empty(0, np.int64)
-        pairs, item_of, n = np.unique(item[left] * len(tuples) + item[left + 1], return_inverse=True, return_counts=True)
-        longer = np.column_stack([tuples[pairs // len(tuples)], tuples[pairs % len(tuples), -1:]])
-        used, codes = np.unique(longer, return_inverse=True)
-        return _relation(lang, at[left], item_of, codes, n, words.take(pa.array(used)).cast(pa.binary()).to_pylist(), done, counts[keep])
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for row, lang in enumerate(batch.column(0).to_pylist()):
-            step, item, tuples, counts = (_unpacked(batch.column(c)[row]) for c in (1, 2, 3, 4))
-            words, tuples = _word_list(batch.column(5)[row]), tuples.reshape(-1, size)
+        for row in range(batch.num_rows):
+            lang, at, item, tuples, counts, words = _candidates(batch, row, size, joined)
             if keys is None:
                 keep = np.sort(batch.column(6)[row].values.to_numpy(zero_copy_only=False))
             else:
                 own = _leading(_keys(lang, tuples, words), bits)
                 keep = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own) if len(keys) else np.empty(0, np.int64)
-            if len(keep):
-                rows.append(extend(lang, np.cumsum(step), item, tuples, counts, words, keep))
+            if not len(keep):
+                continue
+            tuples, counts = tuples[keep], counts[keep]
+            done = pc.binary_join_element_wise(*[words.take(pa.array(c)) for c in tuples.T], " ")
+            place = np.full(int(item.max()) + 1, -1, np.int64)
+            place[keep] = np.arange(len(keep))
+            item = place[item]
+            stays = np.flatnonzero(item >= 0) if size < longest else np.empty(0, np.int64)
+            used, codes = np.unique(tuples, return_inverse=True)
+            rows.append(_relation(lang, at[stays], item[stays], codes, counts, words.take(pa.array(used)).cast(pa.binary()).to_pylist(), done, counts))
         return _batch(rows)
 
     return by_batch(relations.select(*columns), run, _RELATION)
@@ -259,21 +289,24 @@ def _stored(relations: DataFrame, size: int) -> DataFrame:
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST_COUNT) -> tuple[DataFrame, DataFrame]:
     """((lang, size, phrase, f) of all phrases with at least ``least`` occurrences; (lang, n) with all words counted).
 
-    Level by level, the stored relation of k-word occurrences is grouped and counted, the occurrences of phrases below
-    ``least`` leave by a semi-join, and those that stay meet at neighbouring places. The semi-join goes by hash keys
-    summed over the corpus, with at least 16 values per occurrence: a collision lets a rare phrase pass to the next level
-    and no more, since the result counts the phrases themselves. Only phrases, never their occurrences, are shuffled by
-    key; a very common one comes once per batch at most. Up to ``BROADCAST_KEYS`` frequent keys the relations stay where they are.
+    Level by level, the stored k-word occurrences meet at neighbouring places, which gives the candidates one word
+    longer; these are grouped and counted, and those below ``least`` leave by a semi-join before the relation is
+    stored. Candidates are made twice, once to count and once to keep, and not stored, as most of them are rare. The
+    semi-join goes by hash keys summed over the corpus, with at least 16 values per occurrence: a collision lets a rare
+    phrase pass to the next level and no more, since the result counts the phrases themselves. Only phrases, never
+    their occurrences, are shuffled by key; a very common one comes once per batch at most. Above ``BROADCAST_KEYS``
+    frequent keys the candidates are stored, numbered and joined with them.
     """
-    relations = _stored(occurrences(docs), 1)
+    relations = _stored(occurrences(docs), 0)
     totals = written(relations.groupBy("lang").agg(F.sum("n").alias("n")), "words-by-language")
     found = []
     for size in range(1, longest + 1):
+        joined = size > 1
         occurring = relations.agg(F.sum("n")).first()[0] or 0
         range_bits = (occurring // RANGE_KEYS).bit_length()
         bits = min(62, max(occurring.bit_length() + 4, range_bits + 8))
-        often = written(_frequent_keys(relations, size, least, bits, range_bits), "frequent-keys")
-        shorter, relations = relations, _stored(_longer(relations, often, size, longest, bits), size + 1)
+        often = written(_frequent_keys(relations, size, joined, least, bits, range_bits), "frequent-keys")
+        shorter, relations = relations, _stored(_passed(relations, often, size, joined, longest, bits), size)
         discard(shorter)
         done = relations.select("lang", F.explode(F.arrays_zip("done", "done_counts")).alias("x"))
         counted = done.groupBy("lang", F.col("x.done").alias("phrase")).agg(F.sum("x.done_counts").alias("f")).where(F.col("f") >= least)
