@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.combine import share_brightness, tag_source, union_feeds
+from ..operators.skew import salted_join
 from ..schema import DETECTION, align
 from ..session import discard, written
 
@@ -132,12 +133,20 @@ def parse_payloads(payloads: DataFrame, columns: T.StructType | str, body: str =
     A column that a header lacks is null; columns beyond ``columns`` are left out; NaN is null.
     """
     columns = T.StructType.fromDDL(columns) if isinstance(columns, str) else columns
-    lines = F.split(F.regexp_replace(F.col(body), r"^\s+|\s+$", ""), r"\r?\n")
     rest = [c for c in payloads.columns if c != body]
-    exploded = payloads.select(
-        *rest, F.transform(F.split(lines[0], ","), lambda c: F.trim(c)).alias("_header"),
-        F.explode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("_line"),
-    ).withColumn("_cells", F.split("_line", ","))
+    split = payloads.select(*rest, F.split(F.regexp_replace(F.col(body), r"^\s+|\s+$", ""), r"\r?\n").alias("_lines"))
+    # the header is taken before the lines are unfolded, so that no row carries its whole body along
+    headed = split.select(*rest, _header(F.col("_lines")[0]), F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(0))).alias("_data"))
+    return _cells(headed.select(*rest, "_header", F.explode("_data").alias("_line")), columns, rest)
+
+
+def _header(line: Column) -> Column:
+    return F.transform(F.split(line, ","), lambda c: F.trim(c)).alias("_header")
+
+
+def _cells(lines: DataFrame, columns: T.StructType, rest: Sequence[str]) -> DataFrame:
+    """``rest`` and ``columns`` of (_header, _line)."""
+    lines = lines.withColumn("_cells", F.split("_line", ","))
 
     def cell(f: T.StructField) -> Column:
         at = F.array_position("_header", f.name)
@@ -145,7 +154,45 @@ def parse_payloads(payloads: DataFrame, columns: T.StructType | str, body: str =
         value = F.when(~F.lower(value).isin("", "nan"), value)
         return value.try_cast(f.dataType).alias(f.name)
 
-    return exploded.select(*rest, *[cell(f) for f in columns])
+    return lines.select(*rest, *[cell(f) for f in columns])
+
+
+def load_payloads(spark: SparkSession, path: str, columns: T.StructType | str) -> DataFrame:
+    """(path, columns) of the usable response files: what :func:`read_payloads`, :func:`screen` and :func:`parse_payloads` give.
+
+    The files are read line by line, so a file may be larger than a task's memory. The lines are stored once with their
+    places, since a second scan could split the files elsewhere. What decides about a file (its first and last line
+    with content, the first ``error``, any ``map_key``) comes from one aggregate over its lines.
+    """
+    columns = T.StructType.fromDDL(columns) if isinstance(columns, str) else columns
+    lines = written(spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("at"), "value",
+    ), "payload-lines")
+    text = F.lower("value")
+    content, error = F.col("value").rlike(r"\S"), F.instr(text, "error")
+    files = lines.groupBy("path").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(F.when(content, F.col("at"))).alias("first"), F.max(F.when(content, F.col("at"))).alias("last"),
+        F.min_by("value", F.when(content, F.col("at"))).alias("head"),
+        F.min(F.when(error > 0, F.col("at"))).alias("error_at"), F.min_by(error, F.when(error > 0, F.col("at"))).alias("error_in"),
+        F.bool_or(text.contains("map_key")).alias("key_message"),
+    ).where("first is not null")
+    files = written(files.withColumn("head", F.regexp_replace("head", r"^\s+|\s+$", "")), "payload-files")
+    # characters before the first error, counted as in the body without the white space around it
+    told = F.broadcast(files.where("error_at is not null").select("path", "first", "error_at"))
+    before = lines.join(told, "path").where((F.col("at") >= F.col("first")) & (F.col("at") < F.col("error_at"))).groupBy("path").agg(
+        F.sum(F.length(F.lower("value")) + 1).alias("before"))
+    indent = lines.join(told, "path").where(F.col("at") == F.col("first")).select(
+        "path", F.length(F.regexp_extract(F.lower("value"), r"^\s*", 0)).alias("indent"))
+    place = F.coalesce("before", F.lit(0)) - F.coalesce("indent", F.lit(0)) + F.col("error_in")
+    usable = files.join(before, "path", "left").join(indent, "path", "left").where(
+        ~F.lower("head").startswith("invalid") & ~F.col("key_message") & (F.col("error_at").isNull() | (place + len("error") - 1 > 100))
+    ).select("path", "_rows", "first", "last", _header(F.col("head")))
+    usable = written(usable, "payload-headers")
+    data = salted_join(lines, usable.drop("_rows"), ["path"], ["at"], how="inner", counts=usable.select("path", "_rows"))
+    data = data.where((F.col("at") > F.col("first")) & (F.col("at") <= F.col("last")))
+    end = F.when(F.col("at") == F.col("last"), r"\s+$").otherwise("\r$")
+    return _cells(data.select("path", "_header", F.regexp_replace("value", end, "").alias("_line")), columns, ["path"])
 
 
 def load_feeds(spark: SparkSession, paths: dict[str, tuple[str, T.StructType | str]]) -> DataFrame:

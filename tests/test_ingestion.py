@@ -80,3 +80,32 @@ def test_a_stopped_landing_leaves_every_chunk_once(spark, tmp_path):
     landing.land_chunks(rows.withColumn("n", F.col("n") + 100), root)  # all landed already
     assert sorted(r.n for r in landing.read_landed(spark, root).collect()) == [1, 2, 3, 4]
     assert sorted(map(tuple, landing.landed_keys(spark, root).collect())) == [("k1", 1), ("k2", 2), ("k3", 1)]
+
+
+def test_payload_files_are_read_by_line_as_by_body(spark, tmp_path):
+    texts = {
+        "plain": "latitude,longitude,frp\n1,2,3\n4,5,nan\n", "crlf": "\r\n \tfrp,latitude\r\n7, 8 \r\n\r\n9,10\t\r\n\n  ", "empty": "", "blank": " \n\t\n",
+        "invalid": "\n  Invalid API call.\n1,2,3\n", "key": "latitude\n1\nmy MAP_KEY\n", "early": "  \n latitude,note\n1,an Error here\n",
+        "late": "latitude,note\n" + "1,x\n" * 25 + "2,error\n", "edge": "latitude\n" + "1" * 85 + "\nerror", "past": "latitude\n" + "1" * 86 + "\nerror",
+        "edge2": "  latitude\n" + "1" * 85 + "\nerror", "head": "latitude,longitude\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    good, _ = landing.screen(landing.read_payloads(spark, str(tmp_path)))
+    want = landing.parse_payloads(good, COLUMNS)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60")
+    try:
+        got = sorted(map(tuple, landing.load_payloads(spark, str(tmp_path), COLUMNS).collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted(map(tuple, want.collect()), key=repr)
+    assert {r[0].rsplit("/", 1)[1] for r in got} == {"plain", "crlf", "late", "past"}
+
+
+def test_no_row_of_a_payload_carries_its_body(spark):
+    many = "latitude,frp\n" + "1,2\n" * 30_000
+    rows = spark.createDataFrame([(1, many)], "id int, body string")
+    plan = landing.parse_payloads(rows, COLUMNS)._jdf.queryExecution().optimizedPlan().toString()
+    generate = plan.index("Generate explode")
+    assert "transform(split(" not in plan[:generate]
+    assert landing.parse_payloads(rows, COLUMNS).count() == 30_000
