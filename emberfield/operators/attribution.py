@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable, Iterator
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import fixed_text
+from ..session import work_path
 from .sampling import hash_key, sample_exactly
 
 #: Rows whose values stand in for a feature that is not yet known.
@@ -32,74 +37,141 @@ FRIENDLY = {
 BASE = "(base)"
 
 
-def shapley_values(
+#: Rows that are walked through the trees at once.
+_WALK_ROWS = 2048
+
+
+def contributions(
     model, rows: DataFrame, features: list[str], classes: list[str],
     max_rows: int | None = None, orders: int = 6, seed: int = 42, background_rows: int = BACKGROUND_ROWS,
-    with_base: bool = False,
 ) -> DataFrame:
-    """(detection_id, feature, class, value): sampled Shapley contributions.
+    """The columns of ``rows`` but ``features``, plus ``base`` and ``values``: sampled Shapley contributions to a forest's scores.
 
     ``rows`` has detection_id and a ``features`` vector. All rows are explained (``max_rows``: a uniform
     sample of that size), each against one of ``background_rows`` sampled rows, picked by a hash of its id.
-    Along a feature
-    order the row's values replace those of the other row one by one, and a feature's contribution is the change it
-    causes, averaged over ``orders`` orders. A step's two vectors stand in one row and are scored there, so that
-    only sums per detection, feature and class are shuffled. ``with_base`` adds a feature ``(base)``, the class
-    probability of the other row: with it, a class's values add up to the probability that the model gives the detection.
+    Along a feature order the row's values replace those of the other row one by one, and a feature's contribution is the
+    change it causes, averaged over ``orders`` orders. ``base`` holds the class probabilities of the other row, ``values`` the
+    contributions, class after class and in each by feature (:func:`of_class`): with ``base``, a class's values add up to the
+    probability that the model gives the detection. A row is explained where it lies; nothing is shuffled.
     """
-    vectors = rows.select("detection_id", vector_to_array("features").alias("x"))
+    kept = [c for c in rows.columns if c != "features"]
+    vectors = rows.select(*kept, vector_to_array("features").alias("_x"))
     chosen = sample_exactly(vectors, max_rows, seed=seed) if max_rows else vectors
     ring = Window.orderBy(hash_key("detection_id", seed), "detection_id")  # over the background rows
     background = sample_exactly(vectors, background_rows, seed=seed + 1).select(
-        (F.row_number().over(ring) - 1).alias("slot"), F.col("x").alias("base")
+        (F.row_number().over(ring) - 1).alias("_slot"), F.col("_x").alias("_base")
     )
     slots = background.count()
     slot = F.pmod(F.xxhash64(F.lit(seed), "detection_id"), F.lit(max(slots, 1)))
-    paired = chosen.withColumn("slot", slot).join(F.broadcast(background), "slot").drop("slot")
-
-    n = len(features)
+    paired = chosen.withColumn("_slot", slot).join(F.broadcast(background), "_slot").select(*kept, "_x", "_base")
     rng = random.Random(seed)
-    place = []  # per order: the step at which each feature switches
-    for _ in range(orders):
-        order = rng.sample(range(n), n)
-        place.append([order.index(f) for f in range(n)])
-    places = F.array(*[F.array(*[F.lit(p) for p in ps]) for ps in place])
-
-    def switched(step) -> Column:
-        """The vector after ``step`` switches."""
-        return array_to_vector(F.zip_with(
-            F.col("place"), F.arrays_zip("x", "base"), lambda p, v: F.when(p < step, v["x"]).otherwise(v["base"])
-        ))
-
-    steps = (
-        paired.withColumn("place", F.explode(places)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(n))))
-        .select("detection_id", "step", F.array_position("place", F.col("step") - 1).alias("which"),
-                switched(F.col("step") - 1).alias("before"), switched(F.col("step")).alias("after"))
-    )
-    for name in ("before", "after"):
-        steps = _probabilities(model, steps, name)
-    names = F.array(*[F.lit(f) for f in features])
-    labels = F.array(*[F.lit(c) for c in classes])
-    change = F.struct(F.element_at(names, F.col("which").cast("int")).alias("feature"),
-                      F.zip_with("after", "before", lambda a, b: a - b).alias("d"))
-    start = F.struct(F.lit(BASE).alias("feature"), F.col("before").alias("d"))
-    if with_base:
-        parts = F.when(F.col("step") == 1, F.array(change, start)).otherwise(F.array(change))
-        moved = steps.select("detection_id", F.explode(parts).alias("m"))
-    else:
-        moved = steps.select("detection_id", change.alias("m"))
-    return (
-        moved.select("detection_id", "m.feature", F.posexplode("m.d").alias("k", "value"))
-        .groupBy("detection_id", "feature", F.element_at(labels, F.col("k") + 1).alias("class"))
-        .agg(F.avg("value").alias("value"))
-    )
+    taken = [rng.sample(range(len(features)), len(features)) for _ in range(orders)]
+    coded, score = _forest(model)
+    n, k = len(features), len(classes)
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _WALK_ROWS):
+                part = batch.slice(at, _WALK_ROWS)
+                x, base = (part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c in ("_x", "_base"))
+                start, values = _walk(coded(x), coded(base), score, taken, n, k)
+                lists = [pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype="int32") * v[0].size, v.ravel()) for v in (start, values)]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + lists, [*kept, "base", "values"])
+
+    schema = T.StructType([*paired.select(*kept).schema, *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("base", "values")]])
+    return paired.mapInArrow(explain, schema)
+
+
+def _walk(x: list, base: list, score: Callable, orders: list, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class probabilities of ``base``, contributions by class and feature) of coded rows, averaged over ``orders``."""
+    rows = len(x[0])
+    every = lambda columns: np.concatenate(columns, axis=1)
+    start = score(every(base))
+    values = np.zeros((rows, k, n))
+    edge = np.cumsum([0, *[c.shape[1] for c in x]])
+    differs = [np.flatnonzero((x[f] != base[f]).any(axis=1)) for f in range(n)]  # elsewhere the switch changes nothing
+    for order in orders:
+        z, p = every(base), start.copy()
+        for f in order:
+            at = differs[f]
+            if len(at):
+                z[at, edge[f]:edge[f + 1]] = x[f][at]
+                after = score(z[at])
+                values[at, :, f] += after - p[at]
+                p[at] = after
+    return start, values / max(len(orders), 1)
+
+
+def _forest(model) -> tuple[Callable, Callable]:
+    """(codes of vectors, class probabilities of codes) of a forest, from its stored nodes.
+
+    Per feature, ``coded`` gives one column with the place among the thresholds of the forest and one per set of categories
+    that a node sends left, 0 inside; a node sends a row left when its column is at most a code.
+    """
+    spark = SparkSession.active()
+    path = work_path(spark, "explained-forest")
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()
+    place = {(r.treeID, r.id): i for i, r in enumerate(nodes)}
+    inner = [r for r in nodes if r.leftChild >= 0]
+    width = model.numFeatures
+    steps = [np.unique([r.split.leftCategoriesOrThreshold[0] for r in inner if r.split.featureIndex == f and r.split.numCategories < 0]) for f in range(width)]
+    lefts = [sorted({tuple(sorted(r.split.leftCategoriesOrThreshold)) for r in inner if r.split.featureIndex == f and r.split.numCategories >= 0}) for f in range(width)]
+    first = np.cumsum([0, *[1 + len(s) for s in lefts]])
+    column, limit = np.zeros(len(nodes), "int64"), np.full(len(nodes), np.iinfo("int32").max, "int32")
+    child = np.repeat(np.arange(len(nodes)), 2)  # a leaf leads to itself
+    votes = np.zeros((len(nodes), model.numClasses))
+    for i, r in enumerate(nodes):
+        if r.leftChild < 0:
+            votes[i] = np.array(r.impurityStats) / sum(r.impurityStats)
+            continue
+        f, split = r.split.featureIndex, r.split
+        child[2 * i], child[2 * i + 1] = place[r.treeID, r.rightChild], place[r.treeID, r.leftChild]
+        if split.numCategories < 0:
+            column[i], limit[i] = first[f], np.searchsorted(steps[f], split.leftCategoriesOrThreshold[0])
+        else:
+            column[i], limit[i] = first[f] + 1 + lefts[f].index(tuple(sorted(split.leftCategoriesOrThreshold))), 0
+    roots = np.array([place[t, 0] for t in sorted({r.treeID for r in nodes})])
+    depth = max(t.depth for t in model.trees)
+
+    def coded(x: np.ndarray) -> list:
+        return [
+            np.stack([np.searchsorted(steps[f], x[:, f]), *[~np.isin(x[:, f], s) for s in lefts[f]]], axis=1).astype("int32")
+            for f in range(width)
+        ]
+
+    def score(z: np.ndarray) -> np.ndarray:
+        node = np.tile(roots, (len(z), 1))
+        flat, row = z.ravel(), (np.arange(len(z)) * z.shape[1])[:, None]
+        for _ in range(depth):
+            left = np.take(flat, row + np.take(column, node)) <= np.take(limit, node)
+            node = np.take(child, 2 * node + left)
+        return sum(votes[node[:, t]] for t in range(len(roots))) / len(roots)
+
+    return coded, score
+
+
+def of_class(which: Column | int, features: list[str]) -> Column:
+    """The contributions to class number ``which`` from 0, by feature, of a row of :func:`contributions`."""
+    n = len(features)
+    return F.slice("values", which * n + 1 if isinstance(which, int) else (which * n + 1).cast("int"), n)
 
 
-def _probabilities(model, df: DataFrame, vector: str) -> DataFrame:
-    """``df`` with the vector column replaced by the class probabilities that ``model`` gives it."""
-    there = {model.featuresCol: vector, model.probabilityCol: f"_p_{vector}", model.rawPredictionCol: "", model.predictionCol: ""}
-    scored = model.transform(df, there)
-    return scored.withColumn(vector, vector_to_array(f"_p_{vector}")).drop(f"_p_{vector}")
+def shapley_values(
+    model, rows: DataFrame, features: list[str], classes: list[str],
+    max_rows: int | None = None, orders: int = 6, seed: int = 42, background_rows: int = BACKGROUND_ROWS,
+    with_base: bool = False,
+) -> DataFrame:
+    """(detection_id, feature, class, value): :func:`contributions` with a row each, ``with_base`` also the feature ``(base)``."""
+    wide = contributions(model, rows.select("detection_id", "features"), features, classes, max_rows, orders, seed, background_rows)
+    names = F.array(*[F.lit(f) for f in features], F.lit(BASE))
+    labels = F.array(*[F.lit(c) for c in classes])
+    n, k = len(features), len(classes)
+    at, whole = F.col("at"), n * k
+    is_base = at >= whole
+    return wide.select("detection_id", F.posexplode(F.concat("values", "base") if with_base else F.col("values")).alias("at", "value")).select(
+        "detection_id", F.element_at(names, F.when(is_base, n + 1).otherwise(at % n + 1)).alias("feature"),
+        F.element_at(labels, F.when(is_base, at - whole + 1).otherwise(F.floor(at / n).cast("int") + 1)).alias("class"), "value")
 
 
 def decision_values(values: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -121,51 +193,30 @@ def importance(values: DataFrame, top: int | None = None) -> DataFrame:
 def explain_text(values: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One sentence per row from its two strongest supporting and one opposing contribution.
 
-    ``values`` is (detection_id, feature, value) for the verdict's class;
-    ``verdicts`` is (detection_id, verdict). Only the three picks per row are
-    kept while grouping, so no row's whole list is carried along.
+    ``values`` is (detection_id, feature, value) for the verdict's class, a row per feature;
+    ``verdicts`` is (detection_id, verdict).
     """
+    parts = values.groupBy("detection_id").agg(F.collect_list(F.struct("feature", "value")).alias("_parts"))
+    rows = verdicts.select("detection_id", "verdict").join(parts, "detection_id", "left")
+    return rows.select("detection_id", "verdict", explanation(F.col("verdict"), F.col("_parts")).alias("explanation"))
+
+
+def explanation(verdict: Column, parts: Column) -> Column:
+    """The sentence of :func:`explain_text` from a row's own list of (feature, value)."""
     friendly = F.create_map(*[F.lit(v) for pair in FRIENDLY.items() for v in pair])
-    name = F.concat(
-        F.lit("<b>"), F.coalesce(F.try_element_at(friendly, F.col("feature")), F.col("feature"))
-    )
-    by_sign = Window.partitionBy("detection_id", F.signum("value")).orderBy(
-        F.abs("value").desc(), "feature"
-    )
-    picked = (
-        values.where(F.col("value") != 0)
-        .withColumn("_r", F.row_number().over(by_sign))
-        .where(((F.col("value") > 0) & (F.col("_r") <= 2)) | ((F.col("value") < 0) & (F.col("_r") == 1)))
-        .withColumn(
-            "_say",
-            F.when(
-                F.col("value") > 0,
-                F.concat(name, F.lit("</b> (impact: +"), fixed_text(F.col("value"), 2), F.lit(")")),
-            ).otherwise(
-                F.concat(
-                    name, F.lit("</b> (counter: -"), fixed_text(F.abs("value"), 2), F.lit(")")
-                )
-            ),
-        )
-    )
-    at = lambda cond: F.max(F.when(cond, F.col("_say")))
-    phrases = picked.groupBy("detection_id").agg(
-        at((F.col("value") > 0) & (F.col("_r") == 1)).alias("_first"),
-        at((F.col("value") > 0) & (F.col("_r") == 2)).alias("_second"),
-        at(F.col("value") < 0).alias("_against"),
-    )
-    reasons = F.coalesce(
-        F.concat("_first", F.lit(" and "), "_second"), F.col("_first"),
-        F.lit("baseline radiometric indicators"),
-    )
-    tail = F.coalesce(
-        F.concat(F.lit(", despite counter-evidence from "), "_against", F.lit(".")), F.lit(".")
-    )
-    return verdicts.join(phrases, "detection_id", "left").select(
-        "detection_id", "verdict",
-        F.concat(
-            F.lit("This hotspot was classified as <b>"), "verdict",
-            F.lit("</b> primarily driven by "),
-            reasons, tail,
-        ).alias("explanation"),
+
+    def strongest(some: Callable) -> Column:
+        order = lambda p: F.struct((-F.abs(p["value"])).alias("weight"), p["feature"].alias("feature"))
+        return F.array_sort(F.transform(F.filter(F.coalesce(parts, F.array()), some), order))
+
+    def say(p: Column, sign: str) -> Column:
+        name = F.coalesce(F.try_element_at(friendly, p["feature"]), p["feature"])
+        return F.concat(F.lit("<b>"), name, F.lit(f"</b> ({sign}"), fixed_text(-p["weight"], 2), F.lit(")"))
+
+    support, against = strongest(lambda p: p["value"] > 0), strongest(lambda p: p["value"] < 0)
+    first, second = say(F.get(support, F.lit(0)), "impact: +"), say(F.get(support, F.lit(1)), "impact: +")
+    reasons = F.coalesce(F.concat(first, F.lit(" and "), second), first, F.lit("baseline radiometric indicators"))
+    tail = F.concat(F.lit(", despite counter-evidence from "), say(F.get(against, F.lit(0)), "counter: -"), F.lit("."))
+    return F.concat(
+        F.lit("This hotspot was classified as <b>"), verdict, F.lit("</b> primarily driven by "), reasons, F.coalesce(tail, F.lit(".")),
     )
