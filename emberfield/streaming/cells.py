@@ -1,4 +1,4 @@
-"""Stateful processors per grid cell: transitions between new, repeated and persistent, and alerts at most once."""
+"""Stateful processors over grid cells: transitions between new, repeated and persistent, and alerts at most once."""
 
 from __future__ import annotations
 
@@ -14,9 +14,10 @@ FRESH = "cell_lat bigint, cell_lon bigint, detection_id bigint, frp double, lati
 class CellHistory(StatefulProcessor):
     """Emits a row when a cell's count passes 1, 2 and ``frequent`` + 1, and when it has been quiet for ``quiet_ms``.
 
-    Rows wait in the state until the watermark has passed them and are then taken in the order of their times, so the
-    order in which files land does not matter. What waits is one counter per time, not the rows. A cell that has been
-    quiet leaves the state altogether; its next detection is new again.
+    The key is a block of neighbouring cells, so that a call and a look into the state serve many of them. Rows wait in the
+    state until the watermark has passed them and are then taken in the order of their times, so the
+    order in which files land does not matter. What waits is one counter per cell and time, not the rows. A cell that has been
+    quiet leaves the state altogether; its next detection is new again. A block has one timer, for what comes first in it.
     """
 
     def __init__(self, frequent: int, quiet_ms: int) -> None:
@@ -24,45 +25,70 @@ class CellHistory(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at bigint", "n bigint")
-        self.cell = handle.getValueState("cell", "n bigint, last bigint")
+        self.waiting = handle.getValueState("waiting", "lat array<bigint>, lon array<bigint>, at array<bigint>, n array<bigint>")
+        self.cells = handle.getValueState("cells", "lat array<bigint>, lon array<bigint>, n array<bigint>, last array<bigint>")
+        self.timer = handle.getValueState("timer", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for at, n in batch["at_ms"].value_counts().items():
-                at = int(at)
-                before = self.waiting.getValue((at,))
-                self.waiting.updateValue((at,), ((before[0] if before else 0) + int(n),))
-                if before is None:
-                    self.handle.registerTimer(at)
+        names = ["cell_lat", "cell_lon", "at_ms"]
+        parts = [pd.DataFrame(dict(zip([*names, "n"], self.waiting.get() or ([], [], [], []))), dtype="int64")]
+        parts += [batch.groupby(names, sort=False).size().reset_index(name="n") for batch in rows]
+        waiting = pd.concat(parts).groupby(names, sort=False)["n"].sum().reset_index().astype("int64")
+        self._keep_waiting(waiting)
+        self._wake(int(waiting["at_ms"].min()) if len(waiting) else None, sooner=True)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # everything up to the watermark at once: a timer set here for a time that has passed would wait for another batch
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        n, last = self.cell.get() or (0, None)
+        self.timer.clear()
+        waiting = pd.DataFrame(dict(zip(["cell_lat", "cell_lon", "at_ms", "n"], self.waiting.get() or ([], [], [], []))), dtype="int64")
+        due = waiting[waiting["at_ms"] <= now].sort_values("at_ms")
+        waiting = waiting[waiting["at_ms"] > now]
+        held = self.cells.get() or ([], [], [], [])
+        cells = {(lat, lon): (n, last) for lat, lon, n, last in zip(*held)}
         out = []
-        for at in sorted(k[0] for k in self.waiting.keys() if k[0] <= now):
-            more = self.waiting.getValue((at,))[0]
-            self.waiting.removeKey((at,))
+        for lat, lon, at, more in zip(*(due[c].tolist() for c in due.columns)):
+            n, last = cells.get((lat, lon), (0, at))
             if n and at - last > self.quiet_ms:
-                out.append(("expired", last + self.quiet_ms, n))
+                out.append((lat, lon, "expired", last + self.quiet_ms, n))
                 n = 0
             for kind, least in (("new", 1), ("repeated", 2), ("persistent", self.frequent + 1)):
                 if n < least <= n + more:
-                    out.append((kind, at, least))
-            n, last = n + more, at
-            self.handle.registerTimer(last + self.quiet_ms)
-        if n and now >= last + self.quiet_ms:
-            out.append(("expired", last + self.quiet_ms, n))
-            n = 0
-        if n:
-            self.cell.update((n, last))
+                    out.append((lat, lon, kind, at, least))
+            cells[lat, lon] = (n + more, at)
+        for (lat, lon), (n, last) in list(cells.items()):
+            if now >= last + self.quiet_ms:
+                out.append((lat, lon, "expired", last + self.quiet_ms, n))
+                del cells[lat, lon]
+        if len(due):
+            self._keep_waiting(waiting)
+        if cells:
+            self.cells.update(([c[0] for c in cells], [c[1] for c in cells], [v[0] for v in cells.values()], [v[1] for v in cells.values()]))
         else:
-            self.cell.clear()
+            self.cells.clear()
+        next_times = [last + self.quiet_ms for _, last in cells.values()] + ([int(waiting["at_ms"].min())] if len(waiting) else [])
+        self._wake(min(next_times, default=None))
         if out:
-            kinds, times, counts = zip(*out)
-            yield pd.DataFrame({"cell_lat": key[0], "cell_lon": key[1], "kind": kinds, "at_ms": times, "n": counts})
+            yield pd.DataFrame(out, columns=["cell_lat", "cell_lon", "kind", "at_ms", "n"])
+
+    def _keep_waiting(self, waiting: pd.DataFrame) -> None:
+        if len(waiting):
+            self.waiting.update(tuple(waiting[c].tolist() for c in ("cell_lat", "cell_lon", "at_ms", "n")))
+        else:
+            self.waiting.clear()
+
+    def _wake(self, at: int | None, sooner: bool = False) -> None:
+        """Sets the block's timer to ``at``; with ``sooner`` only if that is earlier than the present one."""
+        if at is None:
+            return
+        present = self.timer.get()
+        if present is not None:
+            if present[0] == at or (sooner and present[0] < at):
+                return
+            self.handle.deleteTimer(present[0])
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
 
     def close(self) -> None:
         pass

@@ -31,6 +31,8 @@ from .cells import FRESH, TRANSITIONS, CellHistory, FreshDetections
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: A detection with more repeats than this is no wildfire, whatever its power (see ``features.category``).
 ALERT_REPEATS = 1
+#: Cells along each side of a block whose histories are kept together.
+BLOCK_CELLS = 32
 
 
 def read_files(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet") -> DataFrame:
@@ -177,6 +179,17 @@ def _cell_keys(cell: float) -> list[Column]:
     return [round_cell(F.col("latitude"), cell).alias("cell_lat"), round_cell(F.col("longitude"), cell).alias("cell_lon")]
 
 
+def transitions(
+    stream: DataFrame, quiet_days: int = 30, cell: float = FREQUENCY_CELL_DEG, mode: Mode = NRT, delay: str = "2 days",
+) -> DataFrame:
+    """The stream of :func:`stream_transitions`, times as ``at_ms``. Histories are kept by block of neighbouring cells."""
+    timed = with_event_time(drop_without_coordinates(stream)).withWatermark("seen_at", delay)
+    rows = timed.select(*_cell_keys(cell), "seen_at", F.unix_millis("seen_at").alias("at_ms"))
+    block = [F.floor(F.col(c) / BLOCK_CELLS).alias(f"block_{c}") for c in ("cell_lat", "cell_lon")]
+    return rows.select(*block, "*").groupBy("block_cell_lat", "block_cell_lon").transformWithStateInPandas(
+        CellHistory(mode.frequent, quiet_days * 86_400_000), TRANSITIONS, "append", "EventTime")
+
+
 def stream_transitions(
     stream: DataFrame, quiet_days: int = 30, cell: float = FREQUENCY_CELL_DEG, mode: Mode = NRT, delay: str = "2 days",
     out: str | None = None,
@@ -186,10 +199,7 @@ def stream_transitions(
     A cell expires when ``quiet_days`` have passed without a detection; it then leaves the state, and a later detection is
     new again. Times count, not the order of arrival; a transition is told once the watermark has passed it.
     """
-    timed = with_event_time(drop_without_coordinates(stream)).withWatermark("seen_at", delay)
-    rows = timed.select(*_cell_keys(cell), "seen_at", F.unix_millis("seen_at").alias("at_ms"))
-    moves = rows.groupBy("cell_lat", "cell_lon").transformWithStateInPandas(
-        CellHistory(mode.frequent, quiet_days * 86_400_000), TRANSITIONS, "append", "EventTime")
+    moves = transitions(stream, quiet_days, cell, mode, delay)
     return append_table(moves, "transitions", out).withColumn("at", F.timestamp_millis("at_ms")).drop("at_ms")
 
 

@@ -109,6 +109,17 @@ def test_transitions_whatever_the_order(spark, shuffled_days):
     assert got == want and {k for _, _, k, _, _ in got} == {"new", "repeated", "persistent", "expired"}
 
 
+def test_histories_are_kept_by_block(spark, shuffled_days):
+    """A block of cells has a few rows of state and one timer, however many cells and times wait in it."""
+    rows, folder = shuffled_days
+    moves = jobs.transitions(stream_of(spark, rows, folder), delay="60 days")
+    query = jobs._run(moves, lambda w: w.outputMode("append").format("noop").start(), jobs.work_path(spark, "blocks"))
+    held = max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"])
+    blocks = rows.dropna(subset=["latitude", "longitude"]).select(
+        *[F.floor(c / jobs.BLOCK_CELLS) for c in jobs._cell_keys(0.01)]).distinct().count()
+    assert 0 < held <= 4 * blocks
+
+
 def test_alerts_go_on_where_they_stopped(spark, shuffled_days, tmp_path):
     """Two batches, a stop, the rest: the same log as without a stop, and nothing twice when files come again."""
     rows, folder = shuffled_days
