@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from emberfield.operators import landuse, shapes
+from emberfield.operators import encoding, landuse, shapes
 
 SHAPES = "poly_id long, landuse string, rings array<array<struct<x:double,y:double>>>, shape string"
 ROWS = "detection_id long, latitude double, longitude double"
@@ -164,3 +164,31 @@ def test_many_shapes_in_one_block(spark):
         column = (x - 75.0) / 0.0015
         in_square = column - math.floor(column + 1e-6) < 0.5
         assert got[i] == 0.0 if in_square else 0 < got[i] < 40
+
+
+def test_areas_over_each_other_are_met_once(spark):
+    """Many areas over the same cells: a row meets the least rank and the borders of lower ones, not every area."""
+    square = lambda i: [[(70.0 - i / 1000, 20.0), (72.0, 20.0), (72.0, 22.0), (70.0 - i / 1000, 22.0)]]
+    kinds = ["farmland", "forest", "residential"]
+    areas = spark.createDataFrame([(i, kinds[i % 3], square(i)) for i in range(60)] + [(60, "industrial", [[(71.0, 21.0), (71.013, 21.0), (71.0, 21.013)]])],
+                                  "poly_id long, landuse string, rings array<array<struct<x:double,y:double>>>")
+    rows = spark.createDataFrame([(i, 20.003 + i % 40 * 0.05, 69.9 + i // 40 * 0.05) for i in range(1600)] + [(1600, 21.001, 71.001)],
+                                 "detection_id long, latitude double, longitude double")
+    rank = F.array_position(F.array(*[F.lit(c) for c in landuse.CLASS_PRIORITY]), landuse.land_class(F.col("landuse")))
+    edges = shapes.edges_of(areas)
+    all_hits = shapes.containment(rows, edges)
+    want = {r[0]: r[1] for r in all_hits.groupBy("detection_id").agg(F.min(rank)).collect()}
+    got = {r[0]: r[1] for r in shapes.least_containing(rows, edges, rank).collect()}
+    assert got == want and got[1600] == 1 and set(want.values()) == {1, 2}
+    hits, _ = shapes._contained(rows, edges, shapes.CONTAIN_DEG, shapes.DEPTH, rank)
+    assert hits.count() < all_hits.count() / 10
+
+
+def test_a_common_label_stays_with_its_rows(spark):
+    rows = spark.range(1000).select("id", F.when(F.col("id") > 3, "industrial").otherwise("forest").alias("land_use_type"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = encoding.encode(rows, "land_use_type", encoding.label_dictionary(rows, "land_use_type"))
+        assert "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
