@@ -33,6 +33,8 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 ALERT_REPEATS = 1
 #: Cells along each side of a block whose histories are kept together.
 BLOCK_CELLS = 32
+#: Width of the blocks in which a confirmation looks for partners, in radii.
+BLOCK_RADII = 4
 
 
 def read_files(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet") -> DataFrame:
@@ -206,22 +208,22 @@ def stream_transitions(
 def confirmations(stream: DataFrame, radius_m: float = RADIUS_M, window_min: int = WINDOW_MIN, delay: str = "2 days") -> DataFrame:
     """The detections of a stream that another sensor confirms, each once, as soon as the second of the two is there.
 
-    Two reads of the stream meet in a left-semi join: every detection, in its block of the radius' width, and the distinct
-    places and minutes that a sensor saw, in their block and the eight around. The time bound on both sides lets a row leave
+    Two reads of the stream meet in a left-semi join: every detection, in its block of a few radii, and the distinct
+    places and minutes that a sensor saw, in each block that their reach touches, about 2.25. The time bound on both sides lets a row leave
     the state when the watermark has passed its last possible partner. A detection leaves a place to itself, so many
     detections of one place cost one partner row, and no pairs are listed.
     """
     def rows(source: DataFrame) -> DataFrame:
         placed = located(drop_without_coordinates(source), radius_m)
-        placed = placed.withColumn("_bx", F.floor(F.col("_x") / radius_m)).withColumn("_by", F.floor(F.col("_y") / radius_m))
-        return with_event_time(placed).select("detection_id", "acq_date", "_bx", "_by", "_x", "_y", "_s", "seen_at")
+        return with_event_time(placed).select("detection_id", "acq_date", "_x", "_y", "_s", "seen_at")
 
-    left = rows(stream).withWatermark("seen_at", delay)
+    block = lambda c, by=0.0: F.floor((F.col(c) + by) / (BLOCK_RADII * radius_m))
+    reach = radius_m + 0.01  # more than rounding
+    touched = lambda c: F.explode(F.sequence(block(c, -reach), block(c, reach)))
+    left = rows(stream).withColumn("_bx", block("_x")).withColumn("_by", block("_y")).withWatermark("seen_at", delay)
     names = {"acq_date": "p_date", "_x": "px", "_y": "py", "_s": "p_source", "seen_at": "p_seen"}
     sites = rows(stream).drop("detection_id").withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["acq_date", "_x", "_y", "_s", "seen_at"])
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    right = sites.withColumnsRenamed(names).withColumn("_n", F.explode(near)).select(
-        *names.values(), (F.col("_bx") + F.col("_n.i")).alias("p_bx"), (F.col("_by") + F.col("_n.j")).alias("p_by"))
+    right = sites.withColumnsRenamed(names).withColumn("p_bx", touched("px")).withColumn("p_by", touched("py"))
     apart = F.expr(f"INTERVAL {window_min} MINUTES")
     dx, dy = F.col("_x") - F.col("px"), F.col("_y") - F.col("py")
     return left.join(

@@ -120,6 +120,14 @@ def test_histories_are_kept_by_block(spark, shuffled_days):
     assert 0 < held <= 4 * blocks
 
 
+def test_a_place_waits_in_few_blocks(spark, shuffled_days):
+    rows, folder = shuffled_days
+    moves = jobs.confirmations(stream_of(spark, rows, folder), delay="60 days")
+    query = jobs._run(moves, lambda w: w.outputMode("append").format("noop").start(), jobs.work_path(spark, "few-blocks"))
+    joined = max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"] if "Join" in s["operatorName"])
+    assert 0 < joined < 5 * rows.dropna(subset=["latitude", "longitude"]).count()
+
+
 def test_alerts_go_on_where_they_stopped(spark, shuffled_days, tmp_path):
     """Two batches, a stop, the rest: the same log as without a stop, and nothing twice when files come again."""
     rows, folder = shuffled_days
