@@ -198,25 +198,36 @@ def explain_text(values: DataFrame, verdicts: DataFrame) -> DataFrame:
     """
     parts = values.groupBy("detection_id").agg(F.collect_list(F.struct("feature", "value")).alias("_parts"))
     rows = verdicts.select("detection_id", "verdict").join(parts, "detection_id", "left")
-    return rows.select("detection_id", "verdict", explanation(F.col("verdict"), F.col("_parts")).alias("explanation"))
+    return with_explanation(rows, F.col("_parts")).select("detection_id", "verdict", "explanation")
 
 
-def explanation(verdict: Column, parts: Column) -> Column:
-    """The sentence of :func:`explain_text` from a row's own list of (feature, value)."""
+def with_explanation(rows: DataFrame, parts: Column) -> DataFrame:
+    """Adds ``explanation``, the sentence of :func:`explain_text`, from ``verdict`` and a row's own list of (feature, value).
+
+    The list, its strongest entries and their wording are columns of their own, so that each is worked out once a row.
+    """
     friendly = F.create_map(*[F.lit(v) for pair in FRIENDLY.items() for v in pair])
 
     def strongest(some: Callable) -> Column:
         order = lambda p: F.struct((-F.abs(p["value"])).alias("weight"), p["feature"].alias("feature"))
-        return F.array_sort(F.transform(F.filter(F.coalesce(parts, F.array()), some), order))
+        return F.array_sort(F.transform(F.filter(F.coalesce("_list", F.array()), some), order))
 
     def say(p: Column, sign: str) -> Column:
         name = F.coalesce(F.try_element_at(friendly, p["feature"]), p["feature"])
         return F.concat(F.lit("<b>"), name, F.lit(f"</b> ({sign}"), fixed_text(-p["weight"], 2), F.lit(")"))
 
-    support, against = strongest(lambda p: p["value"] > 0), strongest(lambda p: p["value"] < 0)
-    first, second = say(F.get(support, F.lit(0)), "impact: +"), say(F.get(support, F.lit(1)), "impact: +")
-    reasons = F.coalesce(F.concat(first, F.lit(" and "), second), first, F.lit("baseline radiometric indicators"))
-    tail = F.concat(F.lit(", despite counter-evidence from "), say(F.get(against, F.lit(0)), "counter: -"), F.lit("."))
-    return F.concat(
-        F.lit("This hotspot was classified as <b>"), verdict, F.lit("</b> primarily driven by "), reasons, F.coalesce(tail, F.lit(".")),
+    steps = [
+        {"_list": parts},
+        {"_for": strongest(lambda p: p["value"] > 0), "_not": strongest(lambda p: p["value"] < 0)},
+        {"_first": F.get("_for", F.lit(0)), "_second": F.get("_for", F.lit(1)), "_other": F.get("_not", F.lit(0))},
+        {"_first": say(F.col("_first"), "impact: +"), "_second": say(F.col("_second"), "impact: +"), "_other": say(F.col("_other"), "counter: -")},
+    ]
+    out = rows
+    for step in steps:
+        out = out.withColumns(step)
+    reasons = F.coalesce(F.concat("_first", F.lit(" and "), "_second"), "_first", F.lit("baseline radiometric indicators"))
+    tail = F.concat(F.lit(", despite counter-evidence from "), "_other", F.lit("."))
+    text = F.concat(
+        F.lit("This hotspot was classified as <b>"), "verdict", F.lit("</b> primarily driven by "), reasons, F.coalesce(tail, F.lit(".")),
     )
+    return out.withColumn("explanation", text).drop("_list", "_for", "_not", "_first", "_second", "_other")

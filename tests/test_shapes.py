@@ -192,3 +192,21 @@ def test_a_common_label_stays_with_its_rows(spark):
         assert "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_wide_areas_settle_wide_cells(spark):
+    """Areas over whole wide cells leave only rows near lower borders, and only the areas there, to the fine grid."""
+    square = lambda i: [[(70.0 - i / 1000, 20.0), (72.0, 20.0), (72.0, 22.0), (70.0 - i / 1000, 22.0)]]
+    areas = spark.createDataFrame([(i, "forest", square(i)) for i in range(40)] + [(60, "industrial", [[(71.0, 21.0), (71.013, 21.0), (71.0, 21.013)]])],
+                                  "poly_id long, landuse string, rings array<array<struct<x:double,y:double>>>")
+    rows = spark.createDataFrame([(i, 20.003 + i % 40 * 0.05, 69.9 + i // 40 * 0.05) for i in range(1600)] + [(1600, 21.001, 71.001)],
+                                 "detection_id long, latitude double, longitude double")
+    rank = F.array_position(F.array(*[F.lit(c) for c in landuse.CLASS_PRIORITY]), landuse.land_class(F.col("landuse")))
+    edges = shapes.edges_of(areas)
+    want = {r[0]: r[1] for r in shapes.containment(rows, edges).groupBy("detection_id").agg(F.min(rank)).collect()}
+    assert {r[0]: r[1] for r in shapes.least_containing(rows, edges, rank).collect()} == want and want[1600] == 1
+    sure, left, near = shapes._settled(rows, edges, rank, shapes.CONTAIN_DEG * shapes.COARSER)
+    assert all(want[r[0]] <= r[1] for r in sure.collect())
+    inner = rows.where("latitude between 20.45 and 20.75 and longitude between 70.45 and 71.55")
+    assert inner.count() > 100 and inner.join(left, "detection_id", "left_semi").count() == 0
+    assert near.where("poly_id = 60").count() == 3
