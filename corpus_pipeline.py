@@ -32,8 +32,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids and the decoded text of every row of the mix."""
-    path = tokenizer_path()
-    return bpe.decode(bpe.encode(docs, path, keep=("doc_id", "source")), path)
+    return bpe.encode(docs, tokenizer_path(), keep=("doc_id", "source"), decoded=True)
 
 
 STAGES = [

@@ -86,7 +86,8 @@ class Bpe:
         suffix = model.get("end_of_word_suffix")
         if model["type"] != "BPE" or not suffix or model["dropout"] or spec["decoder"] or spec["post_processor"]:
             raise ValueError(f"{path}: not a word-end BPE file of the supported form")
-        parts = Tokenizer.from_file(path)
+        # only the normaliser and the split are the library's: its own tables stay empty
+        parts = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "model": model | {"vocab": {}, "merges": [], "unk_token": None}}))
         self.normal, self.pieces = parts.normalizer.normalize_str, parts.pre_tokenizer.pre_tokenize_str
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
@@ -236,12 +237,20 @@ def loaded_names(path: str) -> Names:
     return _NAMES[path]
 
 
-def encode(docs: DataFrame, path: str, packed: bool = False, keep: Iterable[str] = ("doc_id",)) -> DataFrame:
+def _ids_column(ids: list[bytes], packed: bool) -> pa.Array:
+    if packed:
+        return pa.array(ids, pa.binary())
+    ends = np.cumsum([0, *[len(x) // 4 for x in ids]])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
+def encode(docs: DataFrame, path: str, packed: bool = False, keep: Iterable[str] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """The columns ``keep`` and ``ids`` (array of int; ``packed``: little-endian 32-bit binary) of every whole text.
 
     Ids are those of the file's own merges, added tokens in a text included, without any that the
     text does not hold. Null and empty texts have no ids; repeated rows repeat. Every task reads the tokenizer file,
-    which must be at ``path`` on all executors, once.
+    which must be at ``path`` on all executors, once. With ``decoded`` also what :func:`decode` adds, from the ids in
+    the same worker: two steps one after the other would keep two workers a task.
     """
     keep = list(keep)
     rows = docs.select(F.col("text").alias("bpe_text"), *[F.col(f"`{c}`") for c in keep])
@@ -249,15 +258,14 @@ def encode(docs: DataFrame, path: str, packed: bool = False, keep: Iterable[str]
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = loaded(path)
         ids = [bpe.encode(t) for t in strings(batch.column(0))]
-        if packed:
-            column = pa.array(ids, pa.binary())
-        else:
-            ends = np.cumsum([0, *[len(x) // 4 for x in ids]])
-            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-        return pa.RecordBatch.from_arrays([*batch.columns[1:], column], [*keep, "ids"])
+        columns = [*batch.columns[1:], _ids_column(ids, packed)]
+        if decoded:
+            spelled = loaded_names(path)
+            columns.append(pa.array([spelled.text(np.frombuffer(x, "<u4").tolist()) for x in ids], pa.string()))
+        return pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"][:len(columns)])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], f"ids {'binary' if packed else 'array<int>'}"])
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], f"ids {'binary' if packed else 'array<int>'}", *["decoded string"] * decoded])
     return by_batch(rows, run, schema)
 
 
@@ -281,7 +289,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
 def token_report(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, then decoded from the ids."""
-    rows = decode(encode(docs, path, packed=True), path)
+    rows = encode(docs, path, packed=True, decoded=True)
     return rows.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

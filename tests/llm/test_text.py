@@ -57,6 +57,16 @@ def test_pair_test_agrees_with_merging():
         assert mine.compatible(left, right) == (mine.merged(left + right) == [left, right])
 
 
+def test_bpe_encodes_and_decodes_in_one_worker(spark):
+    docs, path = awkward(spark), queries.tokenizer_path()
+    for packed in (False, True):
+        one = bpe.encode(docs, path, packed, keep=("row", "text"), decoded=True)
+        two = bpe.decode(bpe.encode(docs, path, packed, keep=("row", "text")), path)
+        assert one.columns == two.columns and collections.Counter(map(str, one.collect())) == collections.Counter(map(str, two.collect()))
+    plan = corpus_pipeline.token_ids(spark, docs, None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_bpe_arrays_and_packed_ids_agree(spark):
     docs, path = awkward(spark), queries.tokenizer_path()
     a = {r.doc_id: r.decoded for r in bpe.decode(bpe.encode(docs, path, keep=("doc_id", "lang")), path).collect()}
