@@ -38,10 +38,10 @@ _FOLD = bytes(_FOLD)
 
 #: One sorted relation: occurrence i stands ``step[i]`` places after the one before it and is phrase ``item[i]``, which
 #: has the words ``tuples[item * k : item * k + k]`` of ``words`` and comes ``counts[item]`` times. ``n`` is
-#: the number of occurrences; ``done`` and ``done_counts`` are the phrases that passed the semi-join, with their counts. Numbers
-#: and words are plain bytes, written without compression, so that a file takes hardly more memory than disk.
-_RELATION = "lang string, step binary, item binary, tuples binary, counts binary, words binary, n long, done array<string>, done_counts array<long>"
-_NAMES = ["lang", "step", "item", "tuples", "counts", "words", "n", "done", "done_counts"]
+#: the number of occurrences. Numbers and words are plain bytes, written without compression, so that a file takes hardly
+#: more memory than disk.
+_RELATION = "lang string, step binary, item binary, tuples binary, counts binary, words binary, n long"
+_NAMES = ["lang", "step", "item", "tuples", "counts", "words", "n"]
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -80,15 +80,13 @@ def _coded(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     return np.concatenate(out) if out else np.empty(0, np.int32), list(codes)
 
 
-def _relation(lang: str, at: np.ndarray, item: np.ndarray, tuples: np.ndarray, counts: np.ndarray, words: list[bytes], done: pa.Array, done_counts: np.ndarray) -> list:
-    return [lang, _packed(np.diff(at, prepend=0)), _packed(item), _packed(tuples.ravel()), _packed(counts), b" ".join(words), len(at), done, done_counts]
+def _relation(lang: str, at: np.ndarray, item: np.ndarray, tuples: np.ndarray, counts: np.ndarray, words: list[bytes]) -> list:
+    return [lang, _packed(np.diff(at, prepend=0)), _packed(item), _packed(tuples.ravel()), _packed(counts), b" ".join(words), len(at)]
 
 
 def _batch(rows: list[list]) -> pa.RecordBatch:
-    lang, *blobs, n, done, done_counts = zip(*rows) if rows else [()] * len(_NAMES)
-    ends = pa.array(np.cumsum([0, *map(len, done)]).astype(np.int32))
-    lists = lambda flat, kind: pa.ListArray.from_arrays(ends, pa.concat_arrays([pa.array([], kind), *[pa.array(x, kind) for x in flat]]))
-    columns = [pa.array(lang, pa.string()), *[pa.array(b, pa.binary()) for b in blobs], pa.array(n, pa.int64()), lists(done, pa.string()), lists(done_counts, pa.int64())]
+    lang, *blobs, n = zip(*rows) if rows else [()] * len(_NAMES)
+    columns = [pa.array(lang, pa.string()), *[pa.array(b, pa.binary()) for b in blobs], pa.array(n, pa.int64())]
     return pa.RecordBatch.from_arrays(columns, _NAMES)
 
 
@@ -108,7 +106,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             at = np.flatnonzero(codes)
             if len(at):
                 n = len(words) - 1
-                rows.append(_relation(lang, at, codes[at] - 1, np.arange(n), np.bincount(codes[at] - 1, minlength=n), words[1:], pa.array([], pa.string()), np.empty(0, np.int64)))
+                rows.append(_relation(lang, at, codes[at] - 1, np.arange(n), np.bincount(codes[at] - 1, minlength=n), words[1:]))
         return _batch(rows)
 
     return by_batch(docs.select(F.coalesce("lang", F.lit("und")), whole("text")), run, _RELATION, RELATION_BYTES)
@@ -238,7 +236,7 @@ def _joined(relations: DataFrame, size: int) -> DataFrame:
         for row in range(batch.num_rows):
             lang, at, item, tuples, counts, words = _candidates(batch, row, size, True)
             if len(at):
-                rows.append(_relation(lang, at, item, tuples, counts, words.cast(pa.binary()).to_pylist(), pa.array([], pa.string()), np.empty(0, np.int64)))
+                rows.append(_relation(lang, at, item, tuples, counts, words.cast(pa.binary()).to_pylist()))
         return _batch(rows)
 
     return by_batch(relations.select(*_READ), run, _RELATION)
@@ -267,18 +265,73 @@ def _passed(relations: DataFrame, often: DataFrame, size: int, joined: bool, lon
             if not len(keep):
                 continue
             tuples, counts = tuples[keep], counts[keep]
-            done = pc.binary_join_element_wise(*[words.take(pa.array(c)) for c in tuples.T], " ")
             place = np.full(int(item.max()) + 1, -1, np.int64)
             place[keep] = np.arange(len(keep))
             item = place[item]
             stays = np.flatnonzero(item >= 0) if size < longest else np.empty(0, np.int64)
             used, codes = np.unique(tuples, return_inverse=True)
-            rows.append(_relation(lang, at[stays], item[stays], codes, counts, words.take(pa.array(used)).cast(pa.binary()).to_pylist(), done, counts))
+            rows.append(_relation(lang, at[stays], item[stays], codes, counts, words.take(pa.array(used)).cast(pa.binary()).to_pylist()))
         return _batch(rows)
 
     return by_batch(relations.select(*columns), run, _RELATION)
 
 
+def _counted(relations: DataFrame, size: int, least: int, range_bits: int) -> DataFrame:
+    """(lang, phrase, f): the phrases of the relations that come at least ``least`` times.
+
+    A relation sends its phrases sorted and compressed, a row per range of keys, and not a row each. Ranges are
+    merged one at a time: a task holds the distinct phrases of one language and range.
+    """
+
+    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for row, lang in enumerate(batch.column(0).to_pylist()):
+            tuples, counts = _unpacked(batch.column(1)[row]).reshape(-1, size), _unpacked(batch.column(2)[row])
+            words = _word_list(batch.column(3)[row])
+            part = _leading(_keys(lang, tuples, words), range_bits) if range_bits else np.zeros(len(tuples), np.int64)
+            phrases = pc.binary_join_element_wise(*[words.take(pa.array(c)) for c in tuples.T], " ")
+            order = pc.sort_indices(pa.table({"part": part, "phrase": phrases}), [("part", "ascending"), ("phrase", "ascending")]).to_numpy()
+            part, counts, phrases = part[order], counts[order], phrases.take(pa.array(order))
+            ranges, starts = np.unique(part, return_index=True)
+            for r, a, b in zip(ranges.tolist(), starts.tolist(), [*starts[1:].tolist(), len(part)]):
+                text = "\n".join(phrases.slice(a, b - a).to_pylist()).encode()  # no word holds a line end
+                rows.append((lang, r, len(text), pa.compress(text, "zstd", asbytes=True), _planes(counts[a:b])))
+        columns = list(zip(*rows)) if rows else [()] * 5
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "part", "bytes", "phrases", "counts"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, limit, kept = None, 0, RANGE_KEYS, []
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(kept).group_by("phrase").aggregate([("f", "sum")]).rename_columns({"f_sum": "f"}).select(["phrase", "f"])
+
+        def passing() -> list[pa.RecordBatch]:
+            found = summed()
+            found = found.filter(pc.greater_equal(found["f"], least))
+            return found.add_column(0, "lang", pa.repeat(pa.scalar(now[1], pa.string()), len(found))).to_batches()
+
+        for batch in batches:
+            for row, key in enumerate(zip(batch.column(1).to_pylist(), batch.column(0).to_pylist())):
+                if key != now:
+                    if kept:
+                        yield from passing()
+                    now, held, limit, kept = key, 0, RANGE_KEYS, []
+                text = pa.decompress(batch.column(3)[row].as_py(), batch.column(2)[row].as_py(), "zstd", asbytes=True)
+                phrases = pa.array(text.decode().split("\n"), pa.string())
+                kept.append(pa.table({"phrase": phrases, "f": _from_planes(batch.column(4)[row].as_py())}))
+                held += len(phrases)
+                if held > limit:
+                    kept = [summed()]
+                    held = len(kept[0])
+                    limit = max(RANGE_KEYS, 2 * held)
+        if kept:
+            yield from passing()
+
+    packed = by_batch(relations.select("lang", "tuples", "counts", "words"), pack, "lang string, part long, bytes long, phrases binary, counts binary")
+    return packed.repartition("part", "lang").sortWithinPartitions("part", "lang").mapInArrow(merge, "lang string, phrase string, f long")
+
+
 def _stored(relations: DataFrame, size: int) -> DataFrame:
     """The relations in the shared folder, each with a number; uncompressed."""
     path = work_path(relations.sparkSession, f"occurrences-{size}")
@@ -293,7 +346,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     longer; these are grouped and counted, and those below ``least`` leave by a semi-join before the relation is
     stored. Candidates are made twice, once to count and once to keep, and not stored, as most of them are rare. The
     semi-join goes by hash keys summed over the corpus, with at least 16 values per occurrence: a collision lets a rare
-    phrase pass to the next level and no more, since the result counts the phrases themselves. Only phrases, never
+    phrase pass to the next level and no more, since the result counts the phrases themselves (:func:`_counted`). Only phrases, never
     their occurrences, are shuffled by key; a very common one comes once per batch at most. Above ``BROADCAST_KEYS``
     frequent keys the candidates are stored, numbered and joined with them.
     """
@@ -308,8 +361,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
         often = written(_frequent_keys(relations, size, joined, least, bits, range_bits), "frequent-keys")
         shorter, relations = relations, _stored(_passed(relations, often, size, joined, longest, bits), size)
         discard(shorter)
-        done = relations.select("lang", F.explode(F.arrays_zip("done", "done_counts")).alias("x"))
-        counted = done.groupBy("lang", F.col("x.done").alias("phrase")).agg(F.sum("x.done_counts").alias("f")).where(F.col("f") >= least)
+        counted = _counted(relations, size, least, max(range_bits - 2, 0))
         found.append(written(counted.select("lang", F.lit(size).alias("size"), "phrase", "f"), f"phrases-{size}"))
     discard(relations)
     out = found[0]

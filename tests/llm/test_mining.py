@@ -87,6 +87,18 @@ def test_collocations_key_ranges(spark, monkeypatch):
     assert (collocations._from_planes(collocations._planes(numbers)) == numbers).all()
 
 
+def test_collocations_send_phrases_in_packs(spark):
+    """Passing phrases are neither stored as text nor shuffled a row each, and are counted per language."""
+    docs = spark.createDataFrame([(i, "a b c d " * 40, "en" if i % 2 else None) for i in range(50)], "doc_id long, text string, lang string").coalesce(2)
+    relations = collocations.occurrences(docs)
+    assert "done" not in relations.columns
+    for bits in (0, 3):
+        counted = collocations._counted(relations, 1, 30, bits)
+        assert sorted(map(tuple, counted.collect())) == sorted((lang, w, 1000) for lang in ("en", "und") for w in "abcd")
+        assert "HashAggregate" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert collocations._counted(relations, 1, 1001, 0).collect() == []
+
+
 def test_collocations_key_collisions(spark, monkeypatch):
     """Equal keys of different phrases cost work but change no count."""
     monkeypatch.setattr(collocations, "_keys", lambda lang, tuples, words: np.arange(len(tuples), dtype=np.int64) % 3)
