@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import discard, written
+from ..session import discard, shuffles_freed, written
 from .texts import by_batch, strings
 
 #: Bytes that the rolling hash sees, mean chunk length, longest chunk.
@@ -225,6 +225,8 @@ def _extended(docs: DataFrame, runs: DataFrame) -> DataFrame:
     grown = by_batch(both, run, f"doc_id {dict(docs.dtypes)['doc_id']}, run long, side int, more int").groupBy("doc_id", "run").agg(
         F.max(F.when(F.col("side") % 2 == 0, F.col("more"))).alias("more_left"), F.max(F.when(F.col("side") % 2 == 1, F.col("more"))).alias("more_right")
     )
+    grown = written(grown, "substring-grown")
+    discard(texts)
     own = F.col("first_doc_id") == F.col("doc_id")
     left, right = F.coalesce("more_left", F.lit(0)), F.coalesce("more_right", F.lit(0))
     room = F.greatest(F.col("start") - F.col("first_stop"), F.lit(0))
@@ -238,16 +240,8 @@ def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     return stretches(keyed(docs), least_bytes).withColumn("doc_id", F.col("doc_id.id"))
 
 
-def stretches(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """doc_id, start, stop, first_doc_ids, n_chunks for documents from :func:`keyed`: stretches of a text that come in an earlier place.
-
-    Bytes of the UTF-8 text, end exclusive. Chunks that follow one another here and at their first place form a run,
-    which grows to both sides as far as the bytes beside its first place are equal; runs that touch form one stretch. Stretches under
-    ``least_bytes`` do not count. An earlier place is an earlier document or the same one further up. ``first_doc_ids``
-    lists the ids of the documents that come first with at least ``least_bytes`` of it, where the text stays. Rows without an
-    id are searched like others, come after them and are not listed; an id with several texts is several documents;
-    repeated rows are one; rows without text have no stretch; other columns are ignored; an empty table gives an empty result.
-    """
+def _runs(docs: DataFrame, least_bytes: int) -> DataFrame:
+    """The runs of repeated chunks that can reach ``least_bytes``, stored."""
     # by document at once, for the windows below; repeated rows are few after the slices have dropped theirs
     hits, pieces = repeated_chunks(docs)
     hits = hits.repartition("doc_id").dropDuplicates(["doc_id", "start"]).withColumn("first_stop", F.col("first_start") + F.col("stop") - F.col("start"))
@@ -268,7 +262,21 @@ def stretches(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     runs = runs.withColumn("may_grow", F.max(F.col("left") | F.col("right")).over(chain) | (size + 2 * (CONTEXT - 1) >= least_bytes))
     runs = written(runs.where("may_grow").drop("chain", "may_grow"), "substring-runs")
     discard(pieces)
-    runs = _extended(docs, runs)
+    return runs
+
+
+def stretches(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """doc_id, start, stop, first_doc_ids, n_chunks for documents from :func:`keyed`: stretches of a text that come in an earlier place.
+
+    Bytes of the UTF-8 text, end exclusive. Chunks that follow one another here and at their first place form a run,
+    which grows to both sides as far as the bytes beside its first place are equal; runs that touch form one stretch. Stretches under
+    ``least_bytes`` do not count. An earlier place is an earlier document or the same one further up. ``first_doc_ids``
+    lists the ids of the documents that come first with at least ``least_bytes`` of it, where the text stays. Rows without an
+    id are searched like others, come after them and are not listed; an id with several texts is several documents;
+    repeated rows are one; rows without text have no stretch; other columns are ignored; an empty table gives an empty result.
+    """
+    with shuffles_freed(docs.sparkSession):
+        runs = _extended(docs, _runs(docs, least_bytes))
     order = W.partitionBy("doc_id").orderBy("start", "run")
     reached = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
     runs = runs.withColumn("apart", F.coalesce((F.col("start") > reached).cast("int"), F.lit(1)))
