@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..session import discard, work_path, written
+from ..session import discard, shuffles_freed, work_path, written
 from .texts import by_batch, whole
 
 LONGEST = 4
@@ -38,25 +38,46 @@ _FOLD = bytes(_FOLD)
 
 #: One sorted relation: occurrence i stands ``step[i]`` places after the one before it and is phrase ``item[i]``, which
 #: has the words ``tuples[item * k : item * k + k]`` of ``words`` and comes ``counts[item]`` times. ``n`` is
-#: the number of occurrences. Numbers and words are plain bytes, written without compression, so that a file takes hardly
-#: more memory than disk.
+#: the number of occurrences. Numbers and words are compressed a value at a time, and files are written without compression, so that a
+#: file takes hardly more memory than disk.
 _RELATION = "lang string, step binary, item binary, tuples binary, counts binary, words binary, n long"
 _NAMES = ["lang", "step", "item", "tuples", "counts", "words", "n"]
+#: Bytes of stored relations that are unpacked at a time (one relation at least).
+PACKED_BYTES = 1 << 20
 
 
-def _packed(numbers: np.ndarray) -> bytes:
-    """The width of one number, then the numbers in the narrowest unsigned type that holds them all."""
+def _planes(numbers: np.ndarray) -> bytes:
+    """The width of one number, then all lowest bytes, all second ones and so on: high bytes are mostly zero and compress well."""
     kind = np.min_scalar_type(int(numbers.max())) if len(numbers) else np.dtype(np.uint8)
-    return bytes([kind.itemsize]) + numbers.astype(kind).tobytes()
+    return bytes([kind.itemsize]) + numbers.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
 
 
-def _unpacked(value: pa.Scalar) -> np.ndarray:
+def _from_planes(data: bytes | pa.Buffer) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(np.frombuffer(data, np.uint8, 1)[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"u{len(planes)}").ravel().astype(np.int64)
+
+
+def _squeezed(data: bytes) -> bytes:
+    """The number of bytes, in 8 bytes, then the bytes compressed."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _loosened(value: pa.Scalar) -> pa.Buffer:
     data = value.as_buffer()
-    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
+    return pa.decompress(data.slice(8), int.from_bytes(data.slice(0, 8).to_pybytes(), "little"), "zstd")
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Compressed planes: steps are mostly 1, and words that come early, as frequent ones do, have low numbers."""
+    return _squeezed(_planes(numbers))
+
+
+def _unpacked(value: pa.Scalar) -> np.ndarray:
+    return _from_planes(_loosened(value))
 
 
 def _word_list(value: pa.Scalar) -> pa.Array:
-    return pa.array(value.as_py().split(b" "), pa.binary()).cast(pa.string())
+    return pa.array(_loosened(value).to_pybytes().split(b" "), pa.binary()).cast(pa.string())
 
 
 class _Codes(dict):
@@ -81,7 +102,7 @@ def _coded(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
 
 
 def _relation(lang: str, at: np.ndarray, item: np.ndarray, tuples: np.ndarray, counts: np.ndarray, words: list[bytes]) -> list:
-    return [lang, _packed(np.diff(at, prepend=0)), _packed(item), _packed(tuples.ravel()), _packed(counts), b" ".join(words), len(at)]
+    return [lang, _packed(np.diff(at, prepend=0)), _packed(item), _packed(tuples.ravel()), _packed(counts), _squeezed(b" ".join(words)), len(at)]
 
 
 def _batch(rows: list[list]) -> pa.RecordBatch:
@@ -159,7 +180,7 @@ def _groups(relations: DataFrame, size: int, bits: int) -> DataFrame:
         columns = [pa.array(np.concatenate(x) if x else np.empty(0, k)) for x, k in ((chunks, np.int64), (items, np.int32), (keys, np.int64))]
         return pa.RecordBatch.from_arrays(columns, ["chunk", "item", "key"])
 
-    return by_batch(relations.select("chunk", "lang", "tuples", "words"), run, "chunk long, item int, key long")
+    return by_batch(relations.select("chunk", "lang", "tuples", "words"), run, "chunk long, item int, key long", PACKED_BYTES)
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,17 +191,6 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """The width of one number, then all lowest bytes, all second ones and so on: high bytes are mostly zero and compress well."""
-    kind = np.min_scalar_type(int(numbers.max()))
-    return bytes([kind.itemsize]) + numbers.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
-
-
-def _from_planes(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
-    return np.ascontiguousarray(planes.T).view(f"u{data[0]}").ravel().astype(np.int64)
-
-
 def _frequent_keys(relations: DataFrame, size: int, joined: bool, least: int, bits: int, range_bits: int) -> DataFrame:
     """(key): keys of ``bits`` bits of the candidates that come at least ``least`` times.
 
@@ -224,7 +234,7 @@ def _frequent_keys(relations: DataFrame, size: int, joined: bool, least: int, bi
         if keys:
             yield passing()
 
-    packed = by_batch(relations.select(*_READ), pack, "part long, keys binary, counts binary")
+    packed = by_batch(relations.select(*_READ), pack, "part long, keys binary, counts binary", PACKED_BYTES)
     return packed.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "key long")
 
 
@@ -239,7 +249,7 @@ def _joined(relations: DataFrame, size: int) -> DataFrame:
                 rows.append(_relation(lang, at, item, tuples, counts, words.cast(pa.binary()).to_pylist()))
         return _batch(rows)
 
-    return by_batch(relations.select(*_READ), run, _RELATION)
+    return by_batch(relations.select(*_READ), run, _RELATION, PACKED_BYTES)
 
 
 def _passed(relations: DataFrame, often: DataFrame, size: int, joined: bool, longest: int, bits: int) -> DataFrame:
@@ -273,7 +283,7 @@ def _passed(relations: DataFrame, often: DataFrame, size: int, joined: bool, lon
             rows.append(_relation(lang, at[stays], item[stays], codes, counts, words.take(pa.array(used)).cast(pa.binary()).to_pylist()))
         return _batch(rows)
 
-    return by_batch(relations.select(*columns), run, _RELATION)
+    return by_batch(relations.select(*columns), run, _RELATION, PACKED_BYTES)
 
 
 def _counted(relations: DataFrame, size: int, least: int, range_bits: int) -> DataFrame:
@@ -328,7 +338,7 @@ def _counted(relations: DataFrame, size: int, least: int, range_bits: int) -> Da
         if kept:
             yield from passing()
 
-    packed = by_batch(relations.select("lang", "tuples", "counts", "words"), pack, "lang string, part long, bytes long, phrases binary, counts binary")
+    packed = by_batch(relations.select("lang", "tuples", "counts", "words"), pack, "lang string, part long, bytes long, phrases binary, counts binary", PACKED_BYTES)
     return packed.repartition("part", "lang").sortWithinPartitions("part", "lang").mapInArrow(merge, "lang string, phrase string, f long")
 
 
@@ -350,20 +360,21 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     their occurrences, are shuffled by key; a very common one comes once per batch at most. Above ``BROADCAST_KEYS``
     frequent keys the candidates are stored, numbered and joined with them.
     """
-    relations = _stored(occurrences(docs), 0)
-    totals = written(relations.groupBy("lang").agg(F.sum("n").alias("n")), "words-by-language")
-    found = []
-    for size in range(1, longest + 1):
-        joined = size > 1
-        occurring = relations.agg(F.sum("n")).first()[0] or 0
-        range_bits = (occurring // RANGE_KEYS).bit_length()
-        bits = min(62, max(occurring.bit_length() + 4, range_bits + 8))
-        often = written(_frequent_keys(relations, size, joined, least, bits, range_bits), "frequent-keys")
-        shorter, relations = relations, _stored(_passed(relations, often, size, joined, longest, bits), size)
-        discard(shorter)
-        counted = _counted(relations, size, least, max(range_bits - 2, 0))
-        found.append(written(counted.select("lang", F.lit(size).alias("size"), "phrase", "f"), f"phrases-{size}"))
-    discard(relations)
+    with shuffles_freed(docs.sparkSession):
+        relations = _stored(occurrences(docs), 0)
+        totals = written(relations.groupBy("lang").agg(F.sum("n").alias("n")), "words-by-language")
+        found = []
+        for size in range(1, longest + 1):
+            joined = size > 1
+            occurring = relations.agg(F.sum("n")).first()[0] or 0
+            range_bits = (occurring // RANGE_KEYS).bit_length()
+            bits = min(62, max(occurring.bit_length() + 4, range_bits + 8))
+            often = written(_frequent_keys(relations, size, joined, least, bits, range_bits), "frequent-keys")
+            shorter, relations = relations, _stored(_passed(relations, often, size, joined, longest, bits), size)
+            discard(shorter)
+            counted = _counted(relations, size, least, max(range_bits - 2, 0))
+            found.append(written(counted.select("lang", F.lit(size).alias("size"), "phrase", "f"), f"phrases-{size}"))
+        discard(relations)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
