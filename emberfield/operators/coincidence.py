@@ -288,7 +288,7 @@ def merge_coincident(
     the nearest of them (then the lowest id), which then carries the larger FRP
     and a source suffix (once). A keeper whose own FRP is missing keeps it missing.
     """
-    flagged = with_co_confirmed(df, radius_m, window_min)
+    flagged = written(with_co_confirmed(df, radius_m, window_min), "flagged")  # read twice
     rows = written(
         located(flagged.where("co_confirmed"), radius_m).select("detection_id", "frp", *_SITE),
         "confirmed",
