@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,45 +21,60 @@ MEAN_CHUNK = 32
 LONGEST_CHUNK = 256
 #: A repeated stretch counts from this many bytes on.
 LEAST_BYTES = 100
-#: Bytes beside a chunk whose hash it carries, and bytes compared beside a run of repeated chunks: a natural cut
-#: depends on 16 bytes, so equal text never reaches further than a chunk and these bytes without sharing a chunk.
-CONTEXT = 32
+#: Numbers of bytes beside a chunk whose 8-bit hashes it carries, and bytes compared beside a run of repeated chunks: a natural cut
+#: depends on 16 bytes, so equal text never reaches further than a chunk and the most of these bytes without sharing a chunk.
+BESIDE = (4, 8, 16, 32)
+CONTEXT = BESIDE[-1]
 REACH = 2 * LONGEST_CHUNK
+#: Bytes of text that are hashed at once: its arrays stay in a core's cache.
+BLOCK_BYTES = 1 << 18
 GEAR_SEED = 2024
 #: Up to so many repeated digests (8 bytes each) go to every task, so that only repeated chunks leave it; beyond, chunks are joined with them.
 REPEATED_KEYS = 8_000_000
 
-#: One 32-bit number per byte value.
+#: One 32-bit number per byte value, and one of 64 bits for the sums of whole chunks.
 GEAR = np.random.default_rng(GEAR_SEED).integers(0, 1 << 32, 256, np.uint32)
+LETTERS = np.random.default_rng(GEAR_SEED + 1).integers(0, 1 << 64, 256, np.uint64)
+#: An odd factor per place, and its inverse modulo 2^64.
+FACTOR = 0x9E3779B97F4A7C15
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """The gear hash after every byte: sum of GEAR[b] << k for the byte k places back, over the last 16 bytes.
+def gear_hashes(data: np.ndarray, width: int = GEAR_WINDOW) -> np.ndarray:
+    """The gear hash after every byte: sum of GEAR[b] << k for the byte k places back, over the last ``width`` bytes.
 
-    Widths 1, 2, 4, 8 and 16 follow from one another by one shift and one addition over the whole array.
+    Widths 1, 2, 4, 8 and so on follow from one another by one shift and one addition over the whole array.
     """
-    h = GEAR[data]
-    width = 1
-    while width < GEAR_WINDOW:
-        h[width:] = h[width:] + (h[:-width] << np.uint32(width))
+    return _widths(data, width)[width]
+
+
+def _widths(data: np.ndarray, *widths: int) -> dict[int, np.ndarray]:
+    """The gear hashes over several widths, powers of two in ascending order."""
+    h, width, found = GEAR.take(data), 1, {}
+    while True:
+        if width in widths:
+            found[width] = h.copy() if width < widths[-1] else h
+        if width == widths[-1]:
+            return found
+        h[width:] += h[:-width] << np.uint32(width)
         width *= 2
-    return h
 
 
-def chunk_ends(data: np.ndarray) -> np.ndarray:
+def chunk_ends(data: np.ndarray, stops: np.ndarray | None = None, hashes: np.ndarray | None = None) -> np.ndarray:
     """Where chunks end: after bytes whose hash has its lowest values, and where a chunk would grow too long.
 
     A cut depends on the 16 bytes before it alone, so insertions shift no later cut; forced cuts of an overlong chunk
-    fall on the last lowest hash of the second half, so a repeated word is cut alike wherever it starts.
+    fall on the last lowest hash of the second half, so a repeated word is cut alike wherever it starts. ``data`` may hold several
+    texts one after the other, which end at ``stops``: each is cut as if it stood alone.
     """
     n = len(data)
     if not n:
         return np.empty(0, np.int64)
-    mixed = (gear_hashes(data) >> np.uint32(8)) & np.uint32(0xFFFF)
-    ends = np.flatnonzero(mixed < 65536 // MEAN_CHUNK) + 1
-    ends = ends[ends >= GEAR_WINDOW]
-    if not len(ends) or ends[-1] != n:
-        ends = np.append(ends, n)
+    stops = np.array([n]) if stops is None else stops
+    mixed = (gear_hashes(data) if hashes is None else hashes) & np.uint32(0xFFFF00)
+    ends = np.flatnonzero(mixed < (65536 // MEAN_CHUNK << 8)) + 1
+    begins = np.append(0, stops)[np.searchsorted(stops, ends)]
+    ends = np.union1d(ends[ends - begins >= GEAR_WINDOW], stops[stops > 0])
     gaps = np.diff(ends, prepend=0)
     if gaps.max() > LONGEST_CHUNK:
         extra = []
@@ -77,32 +95,87 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("body")).alias("doc_id"), "text")
 
 
-def _cut(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, digests) of the chunks of a text, a digest being two 64-bit numbers."""
-    ends = chunk_ends(np.frombuffer(data, np.uint8))
-    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    digest = xxhash.xxh3_128_digest
-    digests = b"".join([digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())])
-    return starts, ends, np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2)
+def _blocks(column: pa.Array) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """(first row, bytes, stops): the texts of a column, null as empty, one after the other in blocks of about ``BLOCK_BYTES``."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int64)[column.offset:column.offset + len(column) + 1]
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK_BYTES, "right")) - 1)
+        yield first, data[int(at[first]):int(at[last])].to_pybytes() if data else b"", at[first + 1:last + 1] - at[first]
+        first = last
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    """At least ``n`` powers of a factor modulo 2^64, kept for blocks of usual size."""
+    if len(_POWERS.get(factor, ())) >= n:
+        return _POWERS[factor]
+    out = np.full(max(n, 2 * BLOCK_BYTES), factor, np.uint64)
+    out[0] = 1
+    out = np.multiply.accumulate(out)
+    if n <= 2 * BLOCK_BYTES:
+        _POWERS[factor] = out
+    return out
+
+
+def chunk_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit number per chunk from its bytes alone: sum of LETTERS[b] * FACTOR^k, k being the byte's place in the chunk."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(LETTERS.take(data) * _powers(FACTOR, len(data))[:len(data)], out=sums[1:])
+    return ((sums[ends] - sums[starts]) * _powers(pow(FACTOR, -1, 1 << 64), len(data) + 1)[starts]).view(np.int64)
+
+
+def _cut(data: bytes, stops: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, sums) of the chunks of texts that follow one another."""
+    letters = np.frombuffer(data, np.uint8)
+    ends = chunk_ends(letters, stops, hashes)
+    starts = np.append(0, ends[:-1]) if len(ends) else ends
+    return starts, ends, chunk_sums(letters, starts, ends)
+
+
+def _among(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where ``values`` are among sorted ``keys``; asked for in order, neighbours look at the same keys."""
+    order = np.argsort(values)
+    at = np.searchsorted(keys, values[order])
+    return np.sort(order[keys[np.minimum(at, len(keys) - 1)] == values[order]]) if len(keys) else np.empty(0, np.int64)
+
+
+def _hashes_beside(hashes: dict[int, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number per chunk: eight bits for each of ``BESIDE`` before it, then after it; whatever where a text has fewer bytes there."""
+    out = np.zeros(len(starts), np.uint64)
+    for side in (0, 1):
+        for width in BESIDE:
+            h = hashes[width]
+            at = np.minimum(ends + (width - 1), len(h) - 1) if side else np.maximum(starts - 1, 0)
+            out = out << np.uint64(8) | (h[at] >> np.uint32(24)).astype(np.uint64)
+    return out.view(np.int64)
+
+
+def most_bytes(differ: np.ndarray, side: int) -> np.ndarray:
+    """How far two chunks' texts can be equal before (side 0) or after them (1), from the exclusive or of their ``beside``."""
+    out = np.full(len(differ), REACH)
+    for k in reversed(range(len(BESIDE))):
+        out[differ >> (8 * (len(BESIDE) * (2 - side) - 1 - k)) & 0xFF != 0] = BESIDE[k] - 1
+    return out
 
 
 def _once(batch: pa.RecordBatch) -> pa.RecordBatch:
     """A slice of (doc_id, text) without its repeated rows."""
-    ids, seen, keep = batch.column(0).to_pylist(), set(), []
-    for row, (key, text) in enumerate(zip(ids, strings(batch.column(1)))):
-        mark = (key["no_id"], key["id"], text)
+    seen, keep = set(), []
+    for row, mark in enumerate(zip(*[field.to_pylist() for field in batch.column(0).flatten()])):
         if mark not in seen:
             seen.add(mark)
             keep.append(row)
-    return batch if len(keep) == len(ids) else batch.take(pa.array(keep, pa.int64()))
+    return batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int64()))
 
 
 def repeated_keys(docs: DataFrame) -> DataFrame:
-    """(d0): the first digest halves of chunks that come more than once, from one narrow pass with map-side counts."""
+    """(d0): the sums of chunks that come more than once, from one narrow pass with map-side counts."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        halves = [_cut(text.encode("utf-8", "surrogatepass"))[2][:, 0] for text in strings(_once(batch).column(1))]
-        d0, n = np.unique(np.concatenate(halves) if halves else np.empty(0, np.int64), return_counts=True)
+        sums = [_cut(data, stops)[2] for _, data, stops in _blocks(_once(batch).column(1))]
+        d0, n = np.unique(np.concatenate(sums) if sums else np.empty(0, np.int64), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(d0), pa.array(n.astype(np.int32))], ["d0", "n"])
 
     found = by_batch(docs.select("doc_id", "text"), run, "d0 long, n int")
@@ -110,33 +183,32 @@ def repeated_keys(docs: DataFrame) -> DataFrame:
 
 
 def chunks(docs: DataFrame, keys: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, d0, d1, start, stop, beside): the chunks of every whole text in bytes of UTF-8, with their 128-bit digests.
+    """(doc_id, d0, d1, start, stop, beside): the chunks of every whole text in bytes of UTF-8, with their sums and 64-bit digests.
 
-    ``beside`` holds the 32-bit hashes of the ``CONTEXT`` bytes before and after the chunk. With sorted ``keys``, only chunks
-    whose first digest half is among them.
+    ``beside`` holds hashes of the ``BESIDE`` bytes before and after the chunk. With sorted ``keys``, only chunks
+    whose sum is among them.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         batch = _once(batch)
-        rows, digests, starts, stops, beside = [], [], [], [], []
-        short = xxhash.xxh32_intdigest
-        for row, text in enumerate(strings(batch.column(1))):
-            data = text.encode("utf-8", "surrogatepass")
-            begin, ends, halves = _cut(data)
+        digest = xxhash.xxh3_64_intdigest
+        rows, sums, digests, starts, stops, beside = [], [], [], [], [], []
+        for first, data, until in _blocks(batch.column(1)):
+            hashes = _widths(np.frombuffer(data, np.uint8), *BESIDE)
+            begin, ends, sum_of = _cut(data, until, hashes[GEAR_WINDOW])
             if keys is not None:
-                at = np.searchsorted(keys, halves[:, 0])
-                here = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == halves[:, 0]) if len(keys) else np.empty(0, np.int64)
-                begin, ends, halves = begin[here], ends[here], halves[here]
-            before = np.array([short(data[max(0, a - CONTEXT):a]) for a in begin.tolist()], np.uint64)
-            after = np.array([short(data[b:b + CONTEXT]) for b in ends.tolist()], np.uint64)
-            beside.append((before << np.uint64(32) | after).view(np.int64))
-            rows.append(np.full(len(ends), row))
-            digests.append(halves)
-            starts.append(begin)
-            stops.append(ends)
+                here = _among(keys, sum_of)
+                begin, ends, sum_of = begin[here], ends[here], sum_of[here]
+            beside.append(_hashes_beside(hashes, begin, ends))
+            row = np.searchsorted(until, ends)  # a chunk's text is the first that ends there or later
+            opens = np.append(0, until)[row]
+            rows.append(first + row)
+            sums.append(sum_of)
+            digests.append(np.array([digest(data[a:b]) for a, b in zip(begin.tolist(), ends.tolist())], np.uint64).view(np.int64))
+            starts.append(begin - opens)
+            stops.append(ends - opens)
         joined = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
-        halves = np.concatenate(digests) if digests else np.empty((0, 2), np.int64)
-        columns = [batch.column(0).take(pa.array(joined(rows, np.int64))), pa.array(halves[:, 0]), pa.array(halves[:, 1]),
+        columns = [batch.column(0).take(pa.array(joined(rows, np.int64))), pa.array(joined(sums, np.int64)), pa.array(joined(digests, np.int64)),
                    pa.array(joined(starts, np.int32)), pa.array(joined(stops, np.int32)), pa.array(joined(beside, np.int64))]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "d0", "d1", "start", "stop", "beside"])
 
@@ -145,9 +217,9 @@ def chunks(docs: DataFrame, keys: np.ndarray | None = None) -> DataFrame:
 
 
 def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, start, stop, first_doc_id, first_start, left, right), the stored chunks that it reads): chunks whose digest also comes in an earlier place.
+    """((doc_id, start, stop, first_doc_id, first_start, differ), the stored chunks that it reads): chunks whose digest also comes in an earlier place.
 
-    The first place, by doc_id and then by start, keeps its chunk. ``left`` and ``right`` tell whether the bytes
+    The first place, by doc_id and then by start, keeps its chunk. ``differ`` tells for :func:`most_bytes` how many bytes
     beside both places may be equal. A first pass finds the digests that repeat; only their chunks are stored and moved in
     full. Counts and first places meet in map-side aggregates; the rows of a very frequent chunk are the long side of a
     join, which adaptive execution splits.
@@ -162,12 +234,10 @@ def repeated_chunks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = pieces.groupBy("d0", "d1").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "beside")).alias("first")
     ).where("n > 1").drop("n")
-    high = lambda c: F.shiftright(c, 32)
-    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
     hits = pieces.join(first, ["d0", "d1"]).where(F.struct("first.doc_id", "first.start") < F.struct("doc_id", "start"))
     hits = hits.select(
         "doc_id", "start", "stop", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"),
-        (high("beside") == high("first.beside")).alias("left"), (low("beside") == low("first.beside")).alias("right"),
+        F.col("beside").bitwiseXOR(F.col("first.beside")).alias("differ"),
     )
     return hits, pieces
 
@@ -240,27 +310,71 @@ def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     return stretches(keyed(docs), least_bytes).withColumn("doc_id", F.col("doc_id.id"))
 
 
+def _changes(column: pa.StructArray) -> np.ndarray:
+    """Whether a row differs from the one before it; the first one does. A field that is null in one of two has a flag beside it."""
+    out = np.arange(len(column)) == 0
+    for field in column.flatten():
+        out[1:] |= pc.not_equal(field[1:], field[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _joined(hits: pa.RecordBatch, least_bytes: int) -> list[pa.Array]:
+    """The runs of whole documents' repeated chunks, which are sorted by document and start; see :func:`_runs`."""
+    number = lambda name: hits.column(name).to_numpy().astype(np.int64)
+    new = _changes(hits.column("doc_id"))
+    again = ~new
+    again[1:] &= np.diff(number("start")) == 0  # rows that come twice
+    if again.any():
+        hits, new = hits.filter(pa.array(~again)), new[~again]
+    start, stop, first_start, differ = number("start"), number("stop"), number("first_start"), number("differ")
+    first_stop = first_start + stop - start
+    along = ~new & ~_changes(hits.column("first_doc_id"))
+    along[1:] &= (start[1:] == stop[:-1]) & (first_start[1:] == first_stop[:-1])
+    head = np.flatnonzero(~along)
+    tail = np.append(head[1:], len(along)) - 1
+    left, right = most_bytes(differ[head], 0), most_bytes(differ[tail], 1)
+    # runs that could touch once grown stay or go together; documents are set far apart
+    apart = np.cumsum(new[head]) << 33
+    begin, end = np.maximum(start[head] - left, 0) + apart, stop[tail] + right + apart
+    group = np.flatnonzero(np.append(True, np.minimum.accumulate(begin[::-1])[::-1][1:] > np.maximum.accumulate(end)[:-1]))
+    size = np.maximum.reduceat(end, group) - np.minimum.reduceat(begin, group)
+    kept = np.flatnonzero(np.repeat(size >= least_bytes, np.diff(np.append(group, len(head)))))
+    head, tail, ints = head[kept], tail[kept], lambda a: pa.array(a, pa.int32())
+    ids = lambda name: hits.column(name).take(pa.array(head))
+    return [ids("doc_id"), pa.array(kept), ints(start[head]), ints(stop[tail]), ids("first_doc_id"), ints(first_start[head]),
+            ints(first_stop[tail]), pa.array(tail - head + 1), pa.array(left[kept] == REACH), pa.array(right[kept] == REACH)]
+
+
 def _runs(docs: DataFrame, least_bytes: int) -> DataFrame:
-    """The runs of repeated chunks that can reach ``least_bytes``, stored."""
-    # by document at once, for the windows below; repeated rows are few after the slices have dropped theirs
+    """The runs of repeated chunks that can reach ``least_bytes``, alone or with runs they can touch, stored.
+
+    ``left`` and ``right`` tell whether they may grow by ``CONTEXT`` bytes or more.
+    """
     hits, pieces = repeated_chunks(docs)
-    hits = hits.repartition("doc_id").dropDuplicates(["doc_id", "start"]).withColumn("first_stop", F.col("first_start") + F.col("stop") - F.col("start"))
-    # the windows hold one document's repeated chunks
-    order = W.partitionBy("doc_id").orderBy("start")
-    near = F.coalesce(F.col("start") == F.lag("stop").over(order), F.lit(False))
-    along = near & (F.col("first_doc_id") == F.lag("first_doc_id").over(order)) & (F.col("first_start") == F.lag("first_stop").over(order))
-    runs = hits.withColumn("fresh", (~near).cast("int")).withColumn("turn", F.when(along, 0).otherwise(1))
-    runs = runs.withColumn("chain", F.sum("fresh").over(order)).withColumn("run", F.sum("turn").over(order))
-    runs = runs.groupBy("doc_id", "chain", "run").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_doc_id").alias("first_doc_id"),
-        F.min("first_start").alias("first_start"), F.max("first_stop").alias("first_stop"), F.count(F.lit(1)).alias("n"),
-        F.min_by("left", "start").alias("left"), F.max_by("right", "start").alias("right"),
-    )
-    # to grow by more than twice CONTEXT, one side at least must be equal over all of it
-    chain = W.partitionBy("doc_id", "chain")
-    size = F.max("stop").over(chain) - F.min("start").over(chain)
-    runs = runs.withColumn("may_grow", F.max(F.col("left") | F.col("right")).over(chain) | (size + 2 * (CONTEXT - 1) >= least_bytes))
-    runs = written(runs.where("may_grow").drop("chain", "may_grow"), "substring-runs")
+    hits = hits.repartition("doc_id").sortWithinPartitions("doc_id.body", "doc_id.no_id", "doc_id.id", "start")
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda parts: pa.RecordBatch.from_arrays(_joined(pa.Table.from_batches(parts).combine_chunks().to_batches()[0], least_bytes), names)
+        held: list[pa.RecordBatch] = []  # of one document, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("doc_id")
+            if held and held[-1].column("doc_id")[-1].as_py() != ids[0].as_py():
+                yield out(held)
+                held = []
+            at = int(np.flatnonzero(_changes(ids))[-1])
+            if at:
+                yield out([*held, batch.slice(0, at)])
+                held = []
+            held.append(batch.slice(at))
+        if held:
+            yield out(held)
+
+    names = ["doc_id", "run", "start", "stop", "first_doc_id", "first_start", "first_stop", "n", "left", "right"]
+    runs = hits.mapInArrow(run, f"doc_id {kind}, run long, start int, stop int, first_doc_id {kind}, first_start int, first_stop int, n long, left boolean, right boolean")
+    runs = written(runs, "substring-runs")
     discard(pieces)
     return runs
 
