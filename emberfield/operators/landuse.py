@@ -80,13 +80,9 @@ def with_land_use(df: DataFrame, polygons: DataFrame) -> DataFrame:
     """Adds ``land_use_type``: the winning class among the polygons around a detection."""
     order = F.array(*[F.lit(c) for c in CLASS_PRIORITY])
     place = F.array_position(order, land_class(F.col("landuse")))
-    best = shapes.least_containing(shapes.placed_rows(df), shapes.edges_of(polygons), F.when(place > 0, place)).select(
-        "detection_id", F.element_at(order, F.col("rank")).alias("_class")
-    )
-    return (
-        df.drop("land_use_type").join(best, "detection_id", "left")
-        .withColumn("land_use_type", F.coalesce("_class", F.lit("unknown"))).drop("_class")
-    )
+    ranked = shapes.with_least(df.drop("land_use_type"), shapes.edges_of(polygons), F.when(place > 0, place), "_place")
+    use = F.when(F.col("_place").isNull(), "unknown").otherwise(F.element_at(order, F.col("_place")))
+    return ranked.withColumn("land_use_type", use).drop("_place")
 
 
 def with_industrial_distance(df: DataFrame, polygons: DataFrame, max_m: float = MAX_DISTANCE_M) -> DataFrame:

@@ -9,6 +9,7 @@ from counts per hash prefix, which are few whatever the size of the data.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -23,6 +24,20 @@ def hash_key(id_col: str, seed: int | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
+def _keyed(df: DataFrame, id_col: str, seed: int | str, by: str | None) -> DataFrame:
+    stratum = F.col(by) if by else F.lit("all")
+    return df.select(stratum.alias("s"), hash_key(id_col, seed).alias("h"), F.col(id_col).alias("i"))
+
+
+def prefix_counts(df: DataFrame, id_col: str, seed: int | str, by: str | None = None) -> dict:
+    """{class: {hash prefix: rows}}; without ``by``, all rows are one class."""
+    prefix = F.substring("h", 1, _DIGITS)
+    counts: dict = {}
+    for s, p, n in _keyed(df, id_col, seed, by).groupBy("s", prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(s, {})[p] = n
+    return counts
+
+
 @dataclass(frozen=True)
 class Key:
     """A position in the hash order; rows up to and including it are inside."""
@@ -41,24 +56,16 @@ class Cuts:
 
 def hash_cuts(
     df: DataFrame, id_col: str, seed: int | str, ranks: Callable[[dict], dict],
-    by: str | None = None, window_rows: int = _WINDOW_ROWS,
+    by: str | None = None, window_rows: int = _WINDOW_ROWS, counts: dict | None = None,
 ) -> Cuts:
     """Keys at the ranks that ``ranks(sizes)`` asks for, per class of column ``by``.
 
     ``ranks`` maps the class sizes to {class: [rank, ...]}; rank 0 means "before
     all rows". What reaches the driver is one count per class and hash prefix,
-    so ``by`` must be a label column with few distinct values.
+    so ``by`` must be a label column with few distinct values. ``counts`` are those of :func:`prefix_counts`, if at hand.
     """
-    stratum = F.col(by) if by else F.lit("all")
-    keyed = df.select(
-        stratum.alias("s"), hash_key(id_col, seed).alias("h"), F.col(id_col).alias("i")
-    )
-    counts: dict = {}
-    prefix = F.substring("h", 1, _DIGITS)
-    for s, p, n in (
-        keyed.groupBy("s", prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
-    ):
-        counts.setdefault(s, {})[p] = n
+    keyed = _keyed(df, id_col, seed, by)
+    counts = prefix_counts(df, id_col, seed, by) if counts is None else counts
     sizes = {s: sum(c.values()) for s, c in counts.items()}
     wanted = ranks(sizes)
     # (class, rank) -> [prefix that holds the rank, rank within it]
@@ -198,17 +205,15 @@ def with_label_noise(
     """Replaces exactly max(1, int(share*n)) labels by a uniform pick among the labels
     present, which may be the old one. The result goes to the column ``to``, by default
     in place."""
-    labels: list = []
-
-    def plan(n: dict) -> dict:
-        labels.extend(sorted(s for s in n if s is not None))
-        return {}
-
-    sizes = hash_cuts(df, id_col, seed, plan, by=col).sizes
-    total = sum(sizes.values())
+    per_label = prefix_counts(df, id_col, seed, by=col)
+    labels = sorted(s for s in per_label if s is not None)
+    counts: Counter = Counter()
+    for of_label in per_label.values():
+        counts.update(of_label)
+    total = sum(counts.values())
     if total == 0:
         return df.withColumn(to or col, F.col(col))
-    cut = hash_cuts(df, id_col, seed, lambda n: {"all": [max(1, int(total * share))]})
+    cut = hash_cuts(df, id_col, seed, lambda n: {"all": [max(1, int(total * share))]}, counts={"all": dict(counts)})
     draw = F.conv(F.substring(hash_key(id_col, f"{seed}-label"), 1, 8), 16, 10).cast("bigint")
     pick = F.element_at(
         F.array(*[F.lit(s) for s in labels]), (draw % len(labels) + 1).cast("int")

@@ -151,8 +151,36 @@ def least_containing(rows: DataFrame, edges: DataFrame, rank: Column, size: floa
     return sure.unionByName(_least_on_grid(rows, edges, rank, size, depth)).groupBy("detection_id").agg(F.min("rank").alias("rank"))
 
 
+def with_least(df: DataFrame, edges: DataFrame, rank: Column, to: str, size: float = CONTAIN_DEG, depth: int = DEPTH) -> DataFrame:
+    """``df`` with the rank of :func:`least_containing` as column ``to``, null for rows that are in no area or have no place.
+
+    What a wide cell settles is looked up by cell, a small table, so the rows stay where they are. Only if cells are left
+    open are rows joined by id with what the fine grid finds.
+    """
+    edges = written(spread_out(edges.where("closed").where(rank.isNotNull()), "poly_id"), "ranked-edges")
+    rows, wide = placed_rows(df), size * COARSER
+    placed, cells, least, lower = _wide_ranks(rows, edges, rank, wide)
+    y, x = F.col("latitude"), F.col("longitude")
+    here = y.isNotNull() & x.isNotNull() & ~F.isnan(y) & ~F.isnan(x)
+    at = df.drop(to).withColumn("_ci", F.when(here, floor_cell(y, wide))).withColumn("_cj", F.when(here, floor_cell(x, wide)))
+    out = salted_join(at, least, _CELL, ["detection_id"], counts=cells).withColumnRenamed("_least", to)
+    out = out.select("detection_id", *[c for c in df.columns if c not in ("detection_id", to)], to)
+    if lower.isEmpty():
+        return out
+    # stored, so that its size is known before the join and few open rows move no others
+    fine = written(_least_on_grid(*_open(placed, edges, lower), rank, size, depth).withColumnRenamed("rank", "_fine"), "fine-ranks")
+    return out.join(fine, "detection_id", "left").withColumn(to, F.least(to, "_fine")).drop("_fine")
+
+
 def _settled(rows: DataFrame, edges: DataFrame, rank: Column, size: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """((detection_id, rank) from areas wholly over a row's cell, the rows that another area could change, edges of such areas)."""
+    placed, cells, least, lower = _wide_ranks(rows, edges, rank, size)
+    sure = salted_join(placed, least, _CELL, ["detection_id"], how="inner", counts=cells).select("detection_id", F.col("_least").alias("rank"))
+    return sure, *_open(placed, edges, lower)
+
+
+def _wide_ranks(rows: DataFrame, edges: DataFrame, rank: Column, size: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows with their cells, rows per cell, least rank of the areas wholly over a cell, the areas by cell that could change it)."""
     placed = rows.withColumn("_ci", floor_cell(F.col("latitude"), size)).withColumn("_cj", floor_cell(F.col("longitude"), size))
     cells = written(placed.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("_rows")), "wide-cells")
     area = [*_CELL, "poly_id", rank.cast("int").alias("_rank")]
@@ -161,10 +189,13 @@ def _settled(rows: DataFrame, edges: DataFrame, rank: Column, size: float) -> tu
     whole = _inside_centres(edges, cells, size).select(*area).join(border, [*_CELL, "poly_id"], "left_anti")
     least = written(whole.groupBy(*_CELL).agg(F.min("_rank").alias("_least")), "wide-ranks")
     lower = border.join(least, _CELL, "left").where(F.col("_least").isNull() | (F.col("_rank") < F.col("_least")))
-    lower = written(lower.select(*_CELL, "poly_id"), "wide-open")
-    sure = salted_join(placed, least, _CELL, ["detection_id"], how="inner", counts=cells).select("detection_id", F.col("_least").alias("rank"))
+    return placed, cells, least, written(lower.select(*_CELL, "poly_id"), "wide-open")
+
+
+def _open(placed: DataFrame, edges: DataFrame, lower: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of the cells that are not settled, and the edges of the areas that matter there."""
     left = placed.join(lower.select(*_CELL).distinct(), _CELL, "left_semi").select("detection_id", "longitude", "latitude")
-    return sure, left, edges.join(lower.select("poly_id").distinct(), "poly_id", "left_semi")
+    return left, edges.join(lower.select("poly_id").distinct(), "poly_id", "left_semi")
 
 
 def _least_on_grid(rows: DataFrame, edges: DataFrame, rank: Column, size: float, depth: int) -> DataFrame:
